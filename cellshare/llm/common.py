@@ -6,6 +6,7 @@ single longer text is a block of its own), so the memory of a Python worker does
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -62,9 +63,16 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of buckets for key-dealt data: follows the session's shuffle setting, which follows the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

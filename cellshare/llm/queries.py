@@ -6,8 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from . import common as C
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def op3_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .superkmer import dedup
+
+    out = dedup(C.documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP3 = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) AS k
+        FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 11, 1))) AS i FROM w)),
+low AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN low USING (k) WHERE doc_id > d),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+         FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id"""
+
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import join
@@ -15,9 +40,25 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(C.documents(spark, sf_dir))[0]
 
 
+def op4_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .huffman import read, write
+    from .tokens import tokenizer_path
+
+    path = f"{C.shared_dir(spark)}/token_ids"
+    write(C.documents(spark, sf_dir), path, tokenizer_path("byte_bpe_50k.json"), end=0)
+    return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    from .tokens import tokenizer_path
+
+    return pack(C.documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end=1).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_ngram_jaccard,)}
+    return {f.__name__: f for f in (op3_superkmer_dedup, op4_huffman_token_ids, op8_ngram_jaccard, op9_bin_slack_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_superkmer_dedup": _OP3}
