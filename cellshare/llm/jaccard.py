@@ -22,13 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Each frequency class of the global order is cut into 2**FRAGMENT_BITS fragments by the hash's top bits.
-FRAGMENT_BITS = 2
+#: A fragment holds 2**FRAGMENT_BITS neighbouring frequency classes of the global order.
+FRAGMENT_BITS = 1
+#: 64-bit words of a text's bitmap, in which each repeated n-gram sets one bit.
+BITMAP = 8
 
 
 def shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,19 +136,22 @@ def _assemble(percent: int):
         cut = np.concatenate([[0], np.cumsum(np.where(able, held, 0))])
         packed = [key[cut[i] : cut[i + 1]].tobytes() if able[i] else None for i in range(len(ids))]
         full = [xxhash.xxh3_128_hexdigest(p) if p is not None and held[i] == n[i] else None for i, p in enumerate(packed)]
+        bits = np.zeros((len(ids), BITMAP * 64), np.uint8)
+        bits[doc[order], key & (BITMAP * 64 - 1)] = 1
+        maps = np.packbits(bits, axis=1).view(np.int64)
         lists = pa.array([None if p is None else np.frombuffer(p, np.int64) for p in packed], pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(full, pa.string()), lists], names=["doc_id", "n_shingles", "class_key", "keys"])
+        return pa.Table.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(full, pa.string()), lists, pa.array(list(maps), pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class_key", "keys", "bitmap"])
 
     return run
 
 
 def sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, class_key, keys``: keys only for texts that can link, in the global order."""
+    """``doc_id, n_shingles, class_key, keys, bitmap``: keys only for texts that can link, in the global order."""
     spark = C.ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     sent = own.mapInArrow(_deal(n, C.partitions(spark), "doc_id", "text"), _SENT)
     back = C.grouped(sent, "bucket", _repeated, "block long, ids binary, sizes binary, grams binary, freqs binary")
-    return C.materialise(C.grouped(back, "block", _assemble(percent), "doc_id long, n_shingles long, class_key string, keys array<long>"), "sets")
+    return C.materialise(C.grouped(back, "block", _assemble(percent), "doc_id long, n_shingles long, class_key string, keys array<long>, bitmap array<long>"), "sets")
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -168,25 +173,31 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     classes = able.filter("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"))
     members = able.filter("class_key is not null").select("doc_id", "class_key").join(classes, "class_key").select("doc_id", "rep")
     reps = able.filter("class_key is null").unionByName(able.join(classes.select(F.col("rep").alias("doc_id"), "class_key"), ["doc_id", "class_key"], "left_semi").select(able.columns))
-    reps = C.materialise(reps.dropDuplicates(["doc_id", "class_key"]).select("doc_id", "n_shingles", "keys"), "reps")
+    reps = C.materialise(reps.dropDuplicates(["doc_id", "class_key"]).select("doc_id", "n_shingles", F.size("keys").alias("able"), "bitmap", "keys"), "reps")
     # prefixes: n-grams of frequency one come first in the order and can't match, so they only shorten the rest
     need = F.ceil(F.col("n_shingles") * percent / 100)
     prefix = F.slice("keys", 1, (F.size("keys") - need + 1).cast("int"))
-    postings = C.materialise(reps.filter(F.size("keys") >= need).select(F.explode(prefix).alias("key"), "doc_id", "n_shingles"), "postings")
+    postings = C.materialise(reps.filter(F.col("able") >= need).select(F.explode(prefix).alias("key"), "doc_id", F.struct("n_shingles", "able", "bitmap").alias("size")), "postings")
     # a fragment is a range of the order: the key's top bits
-    fragment = F.shiftrightunsigned("k", 58 - FRAGMENT_BITS).cast("int").alias("fragment")
+    fragment = F.shiftrightunsigned("k", 58 + FRAGMENT_BITS).cast("int").alias("fragment")
     exploded = reps.select("doc_id", F.explode("keys").alias("k")).groupBy("doc_id", fragment).agg(F.collect_list("k").alias("keys"))
     segments = C.materialise(exploded, "segments")
 
+    def possible(x: str, y: str) -> Column:
+        """Needed are p/(1+p) of both sizes together.  What sets a bit in one bitmap alone isn't common to both."""
+        alone = sum((F.bit_count(F.col(f"{x}.bitmap")[i].bitwiseXOR(F.col(f"{y}.bitmap")[i])) for i in range(BITMAP)), F.lit(0))
+        most = F.least(F.least(f"{x}.able", f"{y}.able") * 2, F.col(f"{x}.able") + F.col(f"{y}.able") - alone)
+        return most * (100 + percent) >= (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")) * 2 * percent
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        near = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "na", "nb").distinct()
+        near = pairs.select("a", "b", "na", "nb").distinct()
         got = overlaps(near, segments).join(near, ["a", "b"])
         return C.materialise(got.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b", "common"), name)
 
     def stars(left: DataFrame) -> DataFrame:
         """The smallest member of each list with the list's other members."""
-        centre = left.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "component")).alias("c"), F.countDistinct("component").alias("parts")).filter("parts > 1")
-        return left.join(centre, "key").filter("component != c.component").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("c.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
+        centre = left.groupBy("key").agg(F.min(F.struct("doc_id", "size", "component")).alias("c"), F.countDistinct("component").alias("parts")).filter("parts > 1")
+        return left.join(centre, "key").filter((F.col("component") != F.col("c.component")) & possible("size", "c.size")).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("c.size.n_shingles").alias("na"), F.col("size.n_shingles").alias("nb"))
 
     def labelled(label: DataFrame | None) -> DataFrame:
         if label is None:
@@ -198,7 +209,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     # what hasn't joined its list's smallest member
     now = labelled(label)
     low = now.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("c"), F.countDistinct("component").alias("parts")).filter("parts > 1")
-    rest = now.join(low, "key").filter("component != c.component").select("key", "doc_id", "n_shingles", "component")
+    rest = now.join(low, "key").filter("component != c.component").select("key", "doc_id", "size", "component")
     links = links.unionByName(verified(stars(C.materialise(rest, "rest")), "links2"))
     label = C.components(links)
     # every pair of a list whose components still differ: one side isn't in the component that the list has most of
@@ -206,10 +217,11 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     shares = now.groupBy("key", "component").agg(F.count("*").alias("m"))
     most = shares.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
     open_lists = C.materialise(now.join(most.select("key", F.col("most.component").alias("main")), "key"), "open")
-    x = open_lists.filter("component != main").select("key", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx"))
-    y = open_lists.select("key", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("component").alias("cy"))
-    far = x.join(y, (x.key == y.key) & (x.cx != y.cy) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent))
-    pairs = far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+    x = open_lists.filter("component != main").select("key", F.col("doc_id").alias("x"), F.col("size").alias("sx"), F.col("component").alias("cx"))
+    y = open_lists.select("key", F.col("doc_id").alias("y"), F.col("size").alias("sy"), F.col("component").alias("cy"))
+    far = x.join(y, (x.key == y.key) & (x.cx != y.cy) & possible("sx", "sy"))
+    first = F.col("x") < F.col("y")
+    pairs = far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("sx.n_shingles")).otherwise(F.col("sy.n_shingles")).alias("na"), F.when(first, F.col("sy.n_shingles")).otherwise(F.col("sx.n_shingles")).alias("nb"))
     links = links.unionByName(verified(pairs, "links3"))
     label = C.components(links)
     # members of a class follow their representative
