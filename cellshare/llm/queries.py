@@ -56,8 +56,17 @@ def op9_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(C.documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end=1).drop("ids")
 
 
+def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify, crc_of, train
+
+    docs = C.documents(spark, sf_dir)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held = F.coalesce(crc_of("doc_id") % 5 == 0, F.lit(False))
+    return classify(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_superkmer_dedup, op4_huffman_token_ids, op8_ngram_jaccard, op9_bin_slack_packing)}
+    return {f.__name__: f for f in (op3_superkmer_dedup, op4_huffman_token_ids, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
