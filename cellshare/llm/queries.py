@@ -13,6 +13,12 @@ from . import common as C
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op2_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import matches
+
+    return matches(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .superkmer import dedup
 
@@ -66,7 +72,7 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_superkmer_dedup, op4_huffman_token_ids, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity)}
+    return {f.__name__: f for f in (op2_pigeonhole_decontamination, op3_superkmer_dedup, op4_huffman_token_ids, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
