@@ -17,6 +17,7 @@ ids, each in its own text, in any order among themselves.  An empty table gives
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +74,7 @@ def pack_bits(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, bytes
     at = end - lengths
     words = np.zeros(int(end[-1] // 32 + 2) if len(end) else 2, np.uint64)
     word, shift = at >> 5, 64 - (at & 31) - lengths
-    value = codes.astype(np.uint64) << shift.astype(np.uint64)
+    value = codes.astype(np.uint64, copy=False) << shift.astype(np.uint64)
     first = C.runs(word)[:-1]
     if len(word):
         high = np.bitwise_or.reduceat(value >> np.uint64(32), first)
@@ -90,24 +91,24 @@ class Table:
         s, b, _ = canonical(symbols, lengths)
         self.bits = int(b[-1]) if len(b) else 1
         share = np.left_shift(np.int64(1), self.bits - b)
-        self.symbol = np.zeros(1 << self.bits, np.uint32)
-        self.length = np.zeros(1 << self.bits, np.int64)
-        filled = int(share.sum())
-        self.symbol[:filled], self.length[:filled] = np.repeat(s, share), np.repeat(b, share)
+        # one look-up gives both: the symbol above, the length in the low five bits
+        self.entry = np.zeros(1 << self.bits, np.uint32 if not len(s) or s.max() < 1 << 27 else np.uint64)
+        self.entry[: int(share.sum())] = np.repeat(s.astype(self.entry.dtype) << self.entry.dtype.type(5) | b.astype(self.entry.dtype), share)
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         raw = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint32)
         word = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
         out = np.empty((STEP, len(checkpoints)), np.uint32)
-        at, last, down = checkpoints.astype(np.int64).copy(), len(word) - 1, np.uint32(32 - self.bits)
+        at, last, down = checkpoints.astype(np.uint32), np.uint32(len(word) - 1), np.uint32(32 - self.bits)
+        three, seven, five, low = np.uint32(3), np.uint32(7), self.entry.dtype.type(5), self.entry.dtype.type(31)
         for k in range(min(STEP, n)):
-            look = word[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32) >> down
-            out[k] = self.symbol[look]
-            at += self.length[look]
+            entry = self.entry[word[np.minimum(at >> three, last)] << (at & seven) >> down]
+            out[k] = entry >> five
+            at += (entry & low).astype(np.uint32)
         return out.T.reshape(-1)[:n] if n >= STEP else out[:n, 0]
 
 
-_CHUNK = "part int, chunk int, start long, doc_ids binary, sizes binary, n long, ids binary"
+_CHUNK = "part int, chunk int, start long, doc_ids binary, sizes binary, n long, ids binary, seen binary"
 
 
 def _tokenise(path: str, end: int):
@@ -123,7 +124,10 @@ def _tokenise(path: str, end: int):
             docs, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             wide = len(ids) and int(ids.max()) >= 1 << 16
             row = (part, chunk, start, docs.tobytes(), sizes.astype("<u4").tobytes(), len(ids), (b"4" if wide else b"2") + ids.astype("<u4" if wide else "<u2").tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.int64()), pa.array([row[3]], pa.binary()), pa.array([row[4]], pa.binary()), pa.array([row[5]], pa.int64()), pa.array([row[6]], pa.binary())], names=["part", "chunk", "start", "doc_ids", "sizes", "n", "ids"])
+            symbol, times = np.unique(ids, return_counts=True) if wide else ((c := np.bincount(ids)).nonzero()[0], c[c > 0])
+            seen = np.stack([symbol, times], 1).astype("<i8").tobytes()
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*row, seen), kinds, strict=True)], names=["part", "chunk", "start", "doc_ids", "sizes", "n", "ids", "seen"])
 
         for b in C.blocks(batches, limit=2 << 20):
             ids, off = enc.encode(b.column(1).to_pylist(), end)
@@ -143,15 +147,12 @@ def _ids(packed: bytes) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
+    total: Counter = Counter()
     for b in batches:
         for packed in b.column(0).to_pylist():
-            c = np.bincount(_ids(packed))
-            if len(c) > len(total):
-                c, total = total, c
-            total[: len(c)] += c
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], names=["symbol", "n"])
+            pairs = np.frombuffer(packed, "<i8").reshape(-1, 2)
+            total.update(dict(zip(pairs[:, 0].tolist(), pairs[:, 1].tolist(), strict=True)))
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["symbol", "n"])
 
 
 _FILE = "part int, chunk int, start long, doc_ids binary, sizes binary, n long, checkpoints binary, payload binary"
@@ -160,7 +161,7 @@ _FILE = "part int, chunk int, start long, doc_ids binary, sizes binary, n long,
 def _encode(symbols: np.ndarray, lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, b, codes = canonical(symbols, lengths)
-        code, size = np.zeros(int(s.max()) + 1, np.int64), np.zeros(int(s.max()) + 1, np.int64)
+        code, size = np.zeros(int(s.max()) + 1, np.uint64), np.zeros(int(s.max()) + 1, np.int64)
         code[s], size[s] = codes, b
         for batch in batches:
             for i in range(batch.num_rows):
@@ -181,11 +182,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0, id_col: str
     del dealt
     C.release(spark)
     # as many rows as the vocabulary has ids, at most
-    counts = chunks.select("ids").mapInArrow(_count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
+    counts = chunks.select("seen").mapInArrow(_count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
     symbols, n = counts["symbol"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     lengths = code_lengths(n, max(12, int(np.ceil(np.log2(max(len(n), 2)))) + 3)) if len(n) else n
     spark.createDataFrame(list(zip(symbols.tolist(), lengths.tolist(), strict=True)), "symbol long, bits int").coalesce(1).sort("bits", "symbol").write.parquet(f"{path}/code")
-    coded = chunks.mapInArrow(_encode(symbols, lengths), _FILE) if len(n) else spark.createDataFrame([], _FILE)
+    coded = chunks.drop("seen").mapInArrow(_encode(symbols, lengths), _FILE) if len(n) else spark.createDataFrame([], _FILE)
     coded.write.option("compression", "none").parquet(f"{path}/data")
 
 
