@@ -40,6 +40,12 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id"""
 
 
+def op6_adaptive_scan_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import join
 
@@ -72,7 +78,7 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pigeonhole_decontamination, op3_superkmer_dedup, op4_huffman_token_ids, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity)}
+    return {f.__name__: f for f in (op2_pigeonhole_decontamination, op3_superkmer_dedup, op4_huffman_token_ids, op6_adaptive_scan_neighbours, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
