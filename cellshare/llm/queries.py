@@ -46,6 +46,38 @@ def op6_adaptive_scan_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op7_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import digest, spans
+
+    docs = C.documents(spark, sf_dir)
+    return digest(docs, spans(docs))
+
+
+def _op7() -> str:
+    from .secret_scan import RULES
+
+    def kind(n: int, r) -> str:
+        p = r.pattern.replace("'", "''")
+        size = f"length(regexp_extract(h, '{p}', {r.group}))" if r.group else "length(h)"
+        return f"""SELECT doc_id, {n} AS place, '{r.kind}' AS kind, s, s + length(h) AS e FROM (
+            SELECT doc_id, hs[i] AS h, list_sum(list_transform(gs[1:i], lambda x: length(x)))
+                   + coalesce(list_sum(list_transform(hs[1:i - 1], lambda x: length(x))), 0) AS s
+            FROM (SELECT doc_id, hs, gs, unnest(range(1, len(hs) + 1)) AS i FROM (
+                  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS hs,
+                         string_split_regex(coalesce(text, ''), '{p}') AS gs FROM documents
+                  WHERE regexp_matches(text, '{p if r.kind != "hex" else "[0-9a-f]{24,}"}')))) WHERE {size} >= {r.least}"""
+
+    every = " UNION ALL ".join(kind(n, r) for n, r in enumerate(RULES))
+    word = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    return f"""WITH m AS ({every}), g AS (SELECT doc_id,
+        count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg({word}, ',' ORDER BY s, place) FILTER (place < 3) AS base, string_agg({word}, ',' ORDER BY s, place) AS every
+        FROM m GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+        FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import join
 
@@ -78,8 +110,8 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pigeonhole_decontamination, op3_superkmer_dedup, op4_huffman_token_ids, op6_adaptive_scan_neighbours, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity)}
+    return {f.__name__: f for f in (op2_pigeonhole_decontamination, op3_superkmer_dedup, op4_huffman_token_ids, op6_adaptive_scan_neighbours, op7_trigram_secret_scan, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_superkmer_dedup": _OP3}
+    return {"op3_superkmer_dedup": _OP3, "op7_trigram_secret_scan": _op7()}
