@@ -13,6 +13,12 @@ from . import common as C
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctw import score
+
+    return score(C.documents(spark, sf_dir)).drop("n_bytes")
+
+
 def op2_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import matches
 
@@ -132,7 +138,7 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pigeonhole_decontamination, op3_superkmer_dedup, op4_huffman_token_ids, op5_suffix_array_line_dedup, op6_adaptive_scan_neighbours, op7_trigram_secret_scan, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity)}
+    return {f.__name__: f for f in (op1_context_tree_weighting, op2_pigeonhole_decontamination, op3_superkmer_dedup, op4_huffman_token_ids, op5_suffix_array_line_dedup, op6_adaptive_scan_neighbours, op7_trigram_secret_scan, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
