@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DEPTH = 5
+DEPTH = 6
 CHUNK_BYTES = 1 << 20
 END = np.uint64(0x9D39247E33776D41)  # the end token's place among the word hashes
 
