@@ -58,11 +58,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/cellshare_{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
+def materialise(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 

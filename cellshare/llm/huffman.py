@@ -69,19 +69,20 @@ def canonical(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def pack_bits(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Bit offset of each code and the packed bits."""
-    end = np.cumsum(lengths)
+    """Bit offset of each code and the packed bits; ``lengths`` in a small unsigned type."""
+    end = np.cumsum(lengths, dtype=np.uint32 if len(lengths) < 1 << 26 else np.uint64)
     at = end - lengths
-    words = np.zeros(int(end[-1] // 32 + 2) if len(end) else 2, np.uint64)
-    word, shift = at >> 5, 64 - (at & 31) - lengths
-    value = codes.astype(np.uint64, copy=False) << shift.astype(np.uint64)
+    total = int(end[-1]) if len(end) else 0
+    words = np.zeros(total // 32 + 2, np.uint64)
+    word = at >> at.dtype.type(5)
+    # a word's codes side by side, the last one reaching into the next word
+    value = codes << (np.uint64(64) - ((at & at.dtype.type(31)) + lengths).astype(np.uint64))
     first = C.runs(word)[:-1]
     if len(word):
-        high = np.bitwise_or.reduceat(value >> np.uint64(32), first)
-        low = np.bitwise_or.reduceat(value & np.uint64(0xFFFFFFFF), first)
-        words[word[first]] |= high
-        words[word[first] + 1] |= low
-    return at, words.astype(">u4").tobytes()[: int(-(-(end[-1] if len(end) else 0) // 8)) + TAIL]
+        both = np.bitwise_or.reduceat(value, first)
+        words[word[first]] |= both >> np.uint64(32)
+        words[word[first] + 1] |= both & np.uint64(0xFFFFFFFF)
+    return at, words.astype(">u4").tobytes()[: -(-total // 8) + TAIL]
 
 
 class Table:
@@ -129,8 +130,8 @@ def _tokenise(path: str, end: int):
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*row, seen), kinds, strict=True)], names=["part", "chunk", "start", "doc_ids", "sizes", "n", "ids", "seen"])
 
-        for b in C.blocks(batches, limit=2 << 20):
-            ids, off = enc.encode(b.column(1).to_pylist(), end)
+        for b in C.blocks(batches, limit=8 << 20):
+            ids, off = enc.encode(b.column(1), end)
             held.append((b.column(0).to_numpy(zero_copy_only=False), np.diff(off), ids))
             size += len(ids)
             if size >= CHUNK:
@@ -161,7 +162,7 @@ _FILE = "part int, chunk int, start long, doc_ids binary, sizes binary, n long,
 def _encode(symbols: np.ndarray, lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, b, codes = canonical(symbols, lengths)
-        code, size = np.zeros(int(s.max()) + 1, np.uint64), np.zeros(int(s.max()) + 1, np.int64)
+        code, size = np.zeros(int(s.max()) + 1, np.uint64), np.zeros(int(s.max()) + 1, np.uint8)
         code[s], size[s] = codes, b
         for batch in batches:
             for i in range(batch.num_rows):
@@ -178,7 +179,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0, id_col: str
     spark = C.ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     dealt = own.repartitionByRange(C.partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    chunks = C.materialise(dealt.mapInArrow(_tokenise(tokenizer, end), _CHUNK), "chunks")
+    chunks = C.materialise(dealt.mapInArrow(_tokenise(tokenizer, end), _CHUNK), "chunks", "lz4_raw")
     del dealt
     C.release(spark)
     # as many rows as the vocabulary has ids, at most

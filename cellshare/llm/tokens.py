@@ -13,13 +13,16 @@ import os
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHE = 800_000
+CACHE = 1_000_000
 JOIN = 256
 MARK = "\x01"
-#: Neighbouring white space, what we use between pieces, and what some call white space.
-_SPECIAL = ("  ", "\n\n", " \n", "\n ", "\0", MARK, "\u180e", "\u200b", "\ufeff")
+#: What makes a text be encoded whole: neighbouring or outer white space, what we use between pieces, and
+#: whatever else is called white space.
+_WHOLE = "[ \\n]{2}|^[ \\n]|[ \\n]$|[\\x00\\x01\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 _held: dict[str, Encoder] = {}
 
 
@@ -116,52 +119,53 @@ class Encoder:
         self.off = np.concatenate([self.off, self.off[-1] + off[1:]])
         new.clear()
 
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, ``end`` appended to each text's, and the offsets of the texts in them; None is empty."""
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, ``end`` appended to each text's, and the offsets of the texts in them; null is empty."""
         if len(self.number) > CACHE:
             self._shrink()
-        of = self.number.__getitem__
-        codes, counts, whole = [], np.zeros(len(texts), np.int64), []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if any(x in text for x in _SPECIAL):
-                whole.append(i)
-                continue
-            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-            if not pieces[0]:
-                del pieces[0]
-            if len(text.split()) != len(pieces):  # other white space, or some at the end
-                whole.append(i)
-                continue
-            codes.append(np.fromiter(map(of, pieces), np.int64, len(pieces)))
-            counts[i] = len(pieces)
+        texts = pc.fill_null(texts, "")
+        whole = np.flatnonzero(pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False))
+        plain = np.ones(len(texts), bool)
+        plain[whole] = False
+        plain &= pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
+        cut = texts.filter(pa.array(plain))
+        for space in (" ", "\n"):
+            cut = pc.replace_substring(cut, space, f"\0{space}")
+        lists = pc.split_pattern(cut, "\0")
+        counts = np.zeros(len(texts), np.int64)
+        counts[plain] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        # a block's distinct pieces, and which each is
+        block = pc.list_flatten(lists).dictionary_encode()
+        known = np.fromiter(map(self.number.__getitem__, block.dictionary.to_pylist()), np.int64, len(block.dictionary))
         self._learn()
-        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        used = np.bincount(code, minlength=len(self.number))
+        inner = known[block.indices.to_numpy(zero_copy_only=False)] if len(block) else np.zeros(0, np.int64)
+        used = np.bincount(inner, minlength=len(self.number))
         used[: len(self.used)] += self.used
         self.used = used
-        size = self.off[code + 1] - self.off[code]
-        at = np.concatenate([[0], np.cumsum(size)])
-        flat = self.flat[np.arange(at[-1]) + np.repeat(self.off[code] - at[:-1], size)]
-        edge = np.concatenate([[0], np.cumsum(counts)])
-        sizes = at[edge[1:]] - at[edge[:-1]]
-        long = {}
-        if whole:
-            ids, n = self._each([texts[i] for i in whole])
-            long = dict(zip(whole, np.split(ids, np.cumsum(n)[:-1]), strict=True))
-        for i, ids in long.items():
-            sizes[i] = len(ids)
-        off = np.concatenate([[0], np.cumsum(sizes + 1)])
-        out = np.empty(off[-1], np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[off[1:] - 1] = False
-        out[off[1:] - 1] = end
-        for i, ids in long.items():
-            out[off[i] : off[i + 1] - 1] = ids
-            keep[off[i] : off[i + 1] - 1] = False
-        out[keep] = flat
-        return out, off
+        # texts encoded whole and the end id are pieces for this call alone
+        flat, first = [self.flat], len(self.number)
+        sizes = [np.diff(self.off)]
+        if len(whole):
+            ids, n = self._each(texts.take(pa.array(whole)).to_pylist())
+            flat.append(ids)
+            sizes.append(n)
+        flat, sizes = np.concatenate([*flat, np.array([end], np.uint32)]), np.concatenate([*sizes, [1]]).astype(np.int32)
+        starts = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32)
+        counts[whole] = 1
+        last = np.cumsum(counts + 1) - 1
+        code = np.empty(int(last[-1]) + 1 if len(last) else 0, np.int64)
+        mine = np.ones(len(code), bool)
+        mine[last] = False
+        code[last] = len(sizes) - 1
+        if len(whole):
+            mine[last[whole] - 1] = False
+            code[last[whole] - 1] = first + np.arange(len(whole))
+        code[mine] = inner
+        size = sizes[code]
+        end_at = np.cumsum(size, dtype=np.int64)
+        place = np.repeat(starts[code] - (end_at - size).astype(np.int32), size)
+        place += np.arange(len(place), dtype=np.int32)
+        return flat[place], np.concatenate([[0], end_at[last]])
 
 
 def encoder(path: str) -> Encoder:
