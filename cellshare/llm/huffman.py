@@ -130,7 +130,7 @@ def _tokenise(path: str, end: int):
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*row, seen), kinds, strict=True)], names=["part", "chunk", "start", "doc_ids", "sizes", "n", "ids", "seen"])
 
-        for b in C.blocks(batches, limit=8 << 20):
+        for b in C.blocks(batches, limit=4 << 20):
             ids, off = enc.encode(b.column(1), end)
             held.append((b.column(0).to_numpy(zero_copy_only=False), np.diff(off), ids))
             size += len(ids)
@@ -161,6 +161,9 @@ _FILE = "part int, chunk int, start long, doc_ids binary, sizes binary, n long,
 
 def _encode(symbols: np.ndarray, lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .tokens import forget
+
+        forget()
         s, b, codes = canonical(symbols, lengths)
         code, size = np.zeros(int(s.max()) + 1, np.uint64), np.zeros(int(s.max()) + 1, np.uint8)
         code[s], size[s] = codes, b
@@ -193,6 +196,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0, id_col: str
 
 def _decode(symbols: np.ndarray, lengths: np.ndarray, base: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .tokens import forget
+
+        forget()
         table = Table(symbols, lengths)
         for batch in batches:
             for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):

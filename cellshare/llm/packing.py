@@ -78,7 +78,7 @@ def _pieces(path: str, end: int, capacity: int):
         from .tokens import encoder
 
         enc, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in C.blocks(batches, limit=8 << 20):
+        for b in C.blocks(batches, limit=4 << 20):
             ids, off = enc.encode(b.column(1), end)
             total = np.diff(off)
             per = -(-total // capacity)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHE = 1_000_000
+CACHE = 700_000
 JOIN = 256
 MARK = "\x01"
 #: What makes a text be encoded whole: neighbouring or outer white space, what we use between pieces, and
@@ -173,3 +173,9 @@ def encoder(path: str) -> Encoder:
         _held.clear()
         _held[path] = Encoder(path)
     return _held[path]
+
+
+def forget() -> None:
+    """Free the cache in a worker that goes on with other work."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
