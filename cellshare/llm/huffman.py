@@ -182,7 +182,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0, id_col: str
     spark = C.ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     dealt = own.repartitionByRange(C.partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    chunks = C.materialise(dealt.mapInArrow(_tokenise(tokenizer, end), _CHUNK), "chunks", "lz4_raw")
+    chunks = C.materialise(dealt.mapInArrow(_tokenise(tokenizer, end), _CHUNK), "chunks", "uncompressed")
     del dealt
     C.release(spark)
     # as many rows as the vocabulary has ids, at most

@@ -17,7 +17,7 @@ their text's hash.  Rows with a null id come first, as one document for each tex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -26,11 +26,13 @@ MIN_LINES = 2
 MIN_CHARS = 100
 NO_ID = -(1 << 63)
 DOC = ["d", "t"]
+#: Names that a table's own columns don't have.
+OWN = "__line_runs_"
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table with ``d, t``, the id and the hash of the text: the order of documents and the key of a row."""
-    return docs.withColumns({"d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "t": F.xxhash64(text_col)})
+def key_columns(id_col: str, text_col: str) -> dict[str, Column]:
+    """The id and the hash of the text: the order of documents and the key of a row."""
+    return {"d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "t": F.xxhash64(text_col)}
 
 
 def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -80,26 +82,33 @@ def runs(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return marked.groupBy(*DOC, "island").agg(F.min("seq").alias("first"), F.max("to").alias("last")).drop("island")
 
 
+def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All rows and columns, and under ``OWN`` names the lines and numbers of lines to delete."""
+    keys = key_columns(id_col, text_col)
+    slim = docs.select(*[v.alias(k) for k, v in keys.items()], F.col(text_col).alias("text"))
+    every = runs(slim, "text").groupBy(*DOC).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    every = every.select(*[F.col(c).alias(f"{OWN}{c}") for c in every.columns])
+    own = docs.withColumns({f"{OWN}{k}k": v for k, v in keys.items()})
+    on = [F.col(f"{OWN}{k}k") == F.col(f"{OWN}{k}") for k in DOC]
+    both = own.join(every, on, "left").withColumn(f"{OWN}lines", F.split(text_col, "\n"))
+    gone = F.flatten(F.transform(f"{OWN}runs", lambda r: F.sequence(r["first"], r["last"] - 1)))
+    both = both.withColumn(f"{OWN}gone", F.coalesce(gone, F.array().cast("array<int>")))
+    left = F.array_except(F.sequence(F.lit(0), F.size(f"{OWN}lines") - 1), f"{OWN}gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get(f"{OWN}lines", i)), "\n")
+    return both.withColumn(f"{OWN}kept", F.when(F.size(f"{OWN}gone") == 0, F.col(text_col)).otherwise(kept))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns, and ``kept`` (the text without later copies), ``n_lines, n_deleted, n_runs``."""
-    own = keyed(docs, id_col, text_col)
-    every = runs(own.select(*DOC, text_col), text_col).groupBy(*DOC).agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
-    both = own.join(every, [*DOC], "left").withColumn("_lines", F.split(text_col, "\n"))
-    gone = F.flatten(F.transform("_runs", lambda r: F.sequence(r["first"], r["last"] - 1)))
-    both = both.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>")))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
-    return both.select(
-        *[F.col(c) for c in docs.columns],
-        F.when(F.size("_gone") == 0, F.col(text_col)).otherwise(kept).alias("kept"),
-        F.coalesce(F.when(F.col("_lines").isNotNull(), F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_deleted"),
-        F.coalesce(F.when(F.col("_runs").isNotNull(), F.size("_runs")), F.lit(0)).cast("long").alias("n_runs"),
-    )
+    """``doc_id, kept, n_lines, n_deleted, n_runs`` for every row; ``kept`` is the text without later copies."""
+    size = lambda c: F.coalesce(F.when(F.col(f"{OWN}{c}").isNotNull(), F.size(f"{OWN}{c}")), F.lit(0)).cast("long")
+    return _cut(docs, id_col, text_col).select(
+        F.col(id_col).alias("doc_id"), F.col(f"{OWN}kept").alias("kept"), size("lines").alias("n_lines"), size("gone").alias("n_deleted"), size("runs").alias("n_runs")
+    )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs are cut from the texts; a document of which nothing is left goes."""
-    out = dedup(docs).filter((F.col("n_deleted") == 0) | (F.trim(F.regexp_replace("kept", "\n", "")) != ""))
-    new = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(new).select(docs.columns)
+    kept = F.col(f"{OWN}kept")
+    out = _cut(docs, "doc_id", "text").filter((F.size(f"{OWN}gone") == 0) | (F.trim(F.regexp_replace(kept, "\n", "")) != ""))
+    new = {"text": kept} | ({"n_chars": F.length(kept).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

@@ -55,6 +55,8 @@ class Encoder:
         self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
             self.leads[i] = token[:1] in ("Ġ", "Ċ")  # how byte-level files write space and newline
+        #: White space is dropped and case doesn't matter: such pieces need one entry for all their forms.
+        self.folds = len(self.mark) == 1 and "Lowercase" in str(self.tok.normalizer)
         self.number = _Numbers()
         self.flat, self.off, self.used = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
@@ -136,7 +138,10 @@ class Encoder:
         counts[plain] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         # a block's distinct pieces, and which each is
         block = pc.list_flatten(lists).dictionary_encode()
-        known = np.fromiter(map(self.number.__getitem__, block.dictionary.to_pylist()), np.int64, len(block.dictionary))
+        pieces = block.dictionary.to_pylist()
+        if self.folds:  # beyond ASCII, case and normalisation may depend on each other
+            pieces = [f" {p.strip().lower()}" if p.isascii() else p for p in pieces]
+        known = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
         inner = known[block.indices.to_numpy(zero_copy_only=False)] if len(block) else np.zeros(0, np.int64)
         used = np.bincount(inner, minlength=len(self.number))

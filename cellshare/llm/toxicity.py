@@ -198,11 +198,19 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def _accept(model: Model, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = C.utf8(batch.column(at))
+            raw = data.tobytes()
+            s = model.score([raw[x:y] for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
+            yield batch.filter(pa.array(s < 0.5))
+
+    return run
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go; every column stays."""
     C.ship(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    first = [c for c in docs.columns if c != "text"]
-    kept = docs.select(*first, F.col("text"), F.col("text").alias("_scored"))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
-    return kept.mapInArrow(_score(model), ", ".join([*fields, "score double"])).filter("score < 0.5").select(docs.columns)
+    return docs.mapInArrow(_accept(model, docs.columns.index("text")), docs.schema)
