@@ -37,6 +37,7 @@ from . import common as C
 
 DEPTH = 6
 CHUNK_BYTES = 1 << 20
+_MULTIPLIERS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 END = np.uint64(0x9D39247E33776D41)  # the end token's place among the word hashes
 
 
@@ -85,7 +86,7 @@ class Level:
             zero.append(count * (1 - set_))
             one.append(count * set_)
         keys = np.concatenate(nodes)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         at = C.runs(keys[order])[:-1]
         self.keys = keys[order][at] if len(keys) else keys
         self.zeros = np.add.reduceat(np.concatenate(zero)[order], at) if len(keys) else np.zeros(0, np.int64)
@@ -190,7 +191,7 @@ def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _distinct(values: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     at = C.runs(values[order])[:-1]
     return (values[order][at], np.add.reduceat(learned[order].astype(np.int64), at)) if len(values) else (values, np.zeros(0, np.int64))
 
@@ -256,6 +257,24 @@ def _thick(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(d).view("<u8").reshape(-1), dtype=np.uint64)
 
 
+def _logs(values: np.ndarray) -> bytes:
+    """Logarithms in single precision with 15 bits of mantissa, compressed by byte planes."""
+    import zstandard
+
+    v = values.astype("<f4").view(np.uint32)
+    v = (v + np.uint32(128)) & np.uint32(0xFFFFFF00)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 4)[:, 1:].T).tobytes())
+
+
+def _unlogs(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(3, -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, 1:] = planes.T
+    return out.view("<f4").reshape(-1)
+
+
 def _counts(packed: bytes, n: int) -> np.ndarray:
     return np.frombuffer(packed, np.uint32 if len(packed) == 4 * n else np.uint64).astype(np.int64)
 
@@ -365,14 +384,14 @@ def _answer(top: Top, depth: int):
             k, c = _thick(held["keys"]), np.frombuffer(held["counts"], np.int64)
             if kind == "gram":
                 seen = c > 0
-                value = predict(k, top.levels | grow(k[seen], c[seen], 2, depth)).astype(np.float32) if seen.any() else np.full(len(k), -8 * np.log10(2), np.float32)
+                value = predict(k, top.levels | grow(k[seen], c[seen], 2, depth)) if seen.any() else np.full(len(k), -8 * np.log10(2))
             else:
                 value = c
             for r in rows:
                 if r["kind"] == "ask_" + kind:
                     keys = _thick(r["keys"])
                     v = value[np.searchsorted(k, keys)]
-                    out.append((r["block"], kind, r["keys"], (v if kind == "gram" else v.astype(np.uint32) if v.max() < 1 << 32 else v.astype(np.uint64)).tobytes()))
+                    out.append((r["block"], kind, r["keys"], _logs(v) if kind == "gram" else (v.astype(np.uint32) if v.max() < 1 << 32 else v.astype(np.uint64)).tobytes()))
         cols = list(zip(*out, strict=True))
         kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["block", "kind", "keys", "counts"])
@@ -383,6 +402,42 @@ def _answer(top: Top, depth: int):
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
+class Lookup:
+    """Place of keys among sorted distinct ones: hash tables tried in turn, each for what the one before lost."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.tables = keys, []
+        left = np.arange(len(keys), dtype=np.int32)
+        for mul in _MULTIPLIERS:
+            if len(left) < 64:
+                break
+            bits = max(8, int(len(left)).bit_length() + 1)
+            shift = np.uint64(64 - bits)
+            table = np.zeros(1 << bits, np.int32)
+            slot = keys[left] * mul >> shift
+            table[slot] = left
+            self.tables.append((mul, shift, table))
+            left = left[table[slot] != left]
+
+    def find(self, q: np.ndarray) -> np.ndarray:
+        """All of ``q`` must be there."""
+        out, open_ = None, None
+        for mul, shift, table in self.tables:
+            at = table[(q if open_ is None else q[open_]) * mul >> shift]
+            if open_ is None:
+                out = at
+                open_ = np.flatnonzero(self.keys[at] != q)
+            else:
+                out[open_] = at
+                open_ = open_[self.keys[at] != q[open_]]
+            if not len(open_):
+                return out
+        if out is None:
+            return np.searchsorted(self.keys, q)
+        out[open_] = np.searchsorted(self.keys, q[open_])
+        return out
+
+
 def _apply(depth: int, tokens: int, kinds: int):
     base = np.log10(float(tokens + kinds + 1))
 
@@ -393,22 +448,22 @@ def _apply(depth: int, tokens: int, kinds: int):
         for kind in ("gram", "word"):
             some = [r for r in rows if r["kind"] == kind]
             keys = [_thick(r["keys"]) for r in some]
-            values = [np.frombuffer(r["counts"], np.float32) if kind == "gram" else _counts(r["counts"], len(k)) for r, k in zip(some, keys, strict=True)]
+            values = [_unlogs(r["counts"]) if kind == "gram" else _counts(r["counts"], len(k)) for r, k in zip(some, keys, strict=True)]
             k, v = (np.concatenate(keys), np.concatenate(values)) if keys else (np.zeros(0, np.uint64), np.zeros(0))
             order = np.argsort(k)
-            model[kind] = k[order], v[order]
+            model[kind] = Lookup(k[order]), v[order]
         n = texts.num_rows
         score, plain, known, words, size = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         k, v = model["word"]
-        end = int(v[np.searchsorted(k, END)])
+        end = int(v[k.find(np.array([END]))[0]])
         for a, b, data, offs in _chunks(texts.column("text")):
             g, logs = model["gram"]
             if len(data):
-                each = logs[np.searchsorted(g, _strings(data, offs, depth))].astype(np.float64)
+                each = logs[g.find(_strings(data, offs, depth))].astype(np.float64)
                 run_ = np.concatenate([[0.0], np.cumsum(each)])
                 score[a:b] = run_[offs[1:]] - run_[offs[:-1]]
             s, e, first = C.word_spans(data, offs)
-            c = v[np.searchsorted(k, C.word_hashes(data, s, e))] if len(s) else np.zeros(0, np.int64)
+            c = v[k.find(C.word_hashes(data, s, e))] if len(s) else np.zeros(0, np.int64)
             run_ = np.concatenate([[0.0], np.cumsum(np.log10(c + 1.0) - base)])
             plain[a:b] = run_[first[1:]] - run_[first[:-1]] + np.log10(end + 1.0) - base
             run_ = np.concatenate([[0], np.cumsum(c > 0)])
@@ -435,6 +490,5 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH, id
     top = Top(tops["node"].to_numpy(np.int64), tops["below"].to_numpy(float), tops["zeros"].to_numpy(np.int64), tops["ones"].to_numpy(np.int64))
     total = held.filter("kind = 'word'").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).collect()[0]
     replies = C.grouped(held.filter("kind not in ('top')").select("bucket", "kind", "block", "keys", "counts"), "bucket", _answer(top, depth), _REPLY)
-    replies = C.materialise(replies, "replies")
     texts = own.select("doc_id", "held_out", "text", "block")
     return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_apply(depth, int(total[0]), int(total[1])), _SCORED)
