@@ -30,12 +30,18 @@ _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 64, 256, dtype=U64, endpoint=False)
 _MUL = U64(0x9E3779B97F4A7C15)
 _LONG_WORD = 64
+#: What crosses to a Python worker at once, whatever the rows hold.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 # --------------------------------------------------------------------------------------------- session
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the Python workers, once for each SparkContext."""
+    """Make this package importable in the Python workers, once for each SparkContext; bound Arrow batches."""
     sc = spark.sparkContext
+    for k, most in BATCH.items():
+        held = spark.conf.get(k).rstrip("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(k, most)
     if not getattr(sc, "_cellshare_shipped", False):
         root = Path(__file__).resolve().parents[1]
         target = os.path.join(tempfile.mkdtemp(), f"{root.name}_pkg.zip")

@@ -31,6 +31,7 @@ from . import common as C
 FRAGMENT_BITS = 1
 #: 64-bit words of a text's bitmap, in which each repeated n-gram sets one bit.
 BITMAP = 8
+BUCKETS_PER_PARTITION = 3
 
 
 def shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +58,17 @@ def distinct_by_text(grams: np.ndarray, doc: np.ndarray, texts: int) -> tuple[np
     return (np.concatenate(parts) if parts else grams), sizes
 
 
+def _small(sizes: np.ndarray) -> bytes:
+    """Numbers in the smallest of three types, its width first."""
+    top = int(sizes.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([width]) + sizes.astype(f"<u{width}").tobytes()
+
+
+def _sizes(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1)
+
+
 _SENT = "block long, bucket int, ids binary, sizes binary, grams binary"
 
 
@@ -80,8 +92,8 @@ def _deal(n: int, buckets: int, id_col: str, text_col: str):
             out = [(block, block % buckets, ids.tobytes(), sizes.astype(np.int32).tobytes(), None)]
             for k in range(buckets):
                 if cut[k] < cut[k + 1]:
-                    held = np.bincount(doc[cut[k] : cut[k + 1]], minlength=len(ids)).astype(np.uint32)
-                    out.append((block, k, None, held.tobytes(), grams[cut[k] : cut[k + 1]].tobytes()))
+                    held = np.bincount(doc[cut[k] : cut[k + 1]], minlength=len(ids))
+                    out.append((block, k, None, _small(held), grams[cut[k] : cut[k + 1]].tobytes()))
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["block", "bucket", "ids", "sizes", "grams"])
 
@@ -105,10 +117,9 @@ def _repeated(table: pa.Table) -> pa.Table:
             c, g = count[cut[i] : cut[i + 1]], grams[i]
             keep = c > 1
             if keep.any():
-                held = np.frombuffer(r["sizes"], np.uint32)
+                held = _sizes(r["sizes"])
                 doc = np.repeat(np.arange(len(held)), held)[keep]
-                held = np.bincount(doc, minlength=len(held)).astype(np.uint32)
-                out.append((r["block"], None, held.tobytes(), g[keep].tobytes(), c[keep].tobytes()))
+                out.append((r["block"], None, _small(np.bincount(doc, minlength=len(held))), g[keep].tobytes(), c[keep].tobytes()))
     cols = list(zip(*out, strict=True)) if out else [[]] * 5
     return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["block", "ids", "sizes", "grams", "freqs"])
 
@@ -120,7 +131,7 @@ def _assemble(percent: int):
         head = next(r for r in rows if r["ids"] is not None)
         ids, n = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["sizes"], np.int32)
         rows = [r for r in rows if r["grams"] is not None]
-        docs = [np.repeat(np.arange(len(ids)), np.frombuffer(r["sizes"], np.uint32)) for r in rows]
+        docs = [np.repeat(np.arange(len(ids)), _sizes(r["sizes"])) for r in rows]
         empty = np.zeros(0, np.int64)
         doc = np.concatenate(docs) if docs else empty
         grams = np.concatenate([np.frombuffer(r["grams"], C.U64) for r in rows]) if rows else empty.astype(C.U64)
@@ -149,7 +160,7 @@ def sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     """``doc_id, n_shingles, class_key, keys, bitmap``: keys only for texts that can link, in the global order."""
     spark = C.ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    sent = own.mapInArrow(_deal(n, C.partitions(spark), "doc_id", "text"), _SENT)
+    sent = own.mapInArrow(_deal(n, BUCKETS_PER_PARTITION * C.partitions(spark), "doc_id", "text"), _SENT)
     back = C.grouped(sent, "bucket", _repeated, "block long, ids binary, sizes binary, grams binary, freqs binary")
     return C.materialise(C.grouped(back, "block", _assemble(percent), "doc_id long, n_shingles long, class_key string, keys array<long>, bitmap array<long>"), "sets")
 
