@@ -101,7 +101,7 @@ def _deal(n: int, buckets: int, id_col: str, text_col: str):
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of one bucket: each block's n-grams that two or more documents hold, with their frequencies."""
+    """Of one bucket: each block's n-grams that two or more documents hold, with their frequency classes (powers of two, from 2)."""
     rows = table.to_pylist()
     out = [(r["block"], r["ids"], r["sizes"], None, None) for r in rows if r["grams"] is None]
     rows = [r for r in rows if r["grams"] is not None]
@@ -111,11 +111,12 @@ def _repeated(table: pa.Table) -> pa.Table:
         every = np.concatenate(grams)
         order = np.argsort(every)
         at = C.runs(every[order])
-        count = np.empty(len(every), np.uint32)
-        count[order] = np.repeat(np.diff(at), np.diff(at)).astype(np.uint32)
+        count = np.empty(len(every), np.uint8)
+        n = np.diff(at)
+        count[order] = np.repeat(np.where(n > 1, 1 + np.log2(n).astype(np.uint8), 0).astype(np.uint8), n)
         for i, r in enumerate(rows):
             c, g = count[cut[i] : cut[i + 1]], grams[i]
-            keep = c > 1
+            keep = c > 0
             if keep.any():
                 held = _sizes(r["sizes"])
                 doc = np.repeat(np.arange(len(held)), held)[keep]
@@ -135,12 +136,12 @@ def _assemble(percent: int):
         empty = np.zeros(0, np.int64)
         doc = np.concatenate(docs) if docs else empty
         grams = np.concatenate([np.frombuffer(r["grams"], C.U64) for r in rows]) if rows else empty.astype(C.U64)
-        freq = np.concatenate([np.frombuffer(r["freqs"], np.uint32) for r in rows]) if rows else empty
+        freq = np.concatenate([np.frombuffer(r["freqs"], np.uint8) for r in rows]) if rows else empty
         held = np.bincount(doc, minlength=len(ids))
         able = (held * 100 >= n.astype(np.int64) * percent) & (n > 0)
         keep = able[doc] if len(doc) else np.zeros(0, bool)
         doc, grams, freq = doc[keep], grams[keep], freq[keep]
-        rank = np.log2(np.maximum(freq, 1)).astype(np.uint64)
+        rank = freq.astype(np.uint64)
         order = np.lexsort((grams, rank, doc))
         # the global order as one number: frequency class in the top six bits, then the hash
         key = (rank[order] << C.U64(58) | grams[order] >> C.U64(6)).view(np.int64)
