@@ -73,8 +73,13 @@ def materialise(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that nothing refers to any more."""
+def release(spark: SparkSession, flush: bool = False) -> None:
+    """Let Spark drop the shuffle files of steps that nothing refers to any more.
+
+    The listeners refer to the last query until there is another; ``flush`` runs a small one.
+    """
+    if flush:
+        spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

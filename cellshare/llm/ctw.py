@@ -489,6 +489,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH, id
     tops = tops.groupBy("node").agg(F.sum("below").alias("below"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toPandas()
     top = Top(tops["node"].to_numpy(np.int64), tops["below"].to_numpy(float), tops["zeros"].to_numpy(np.int64), tops["ones"].to_numpy(np.int64))
     total = held.filter("kind = 'word'").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).collect()[0]
+    del asked
+    C.release(spark, flush=True)
     replies = C.grouped(held.filter("kind not in ('top')").select("bucket", "kind", "block", "keys", "counts"), "bucket", _answer(top, depth), _REPLY)
     texts = own.select("doc_id", "held_out", "text", "block")
     return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_apply(depth, int(total[0]), int(total[1])), _SCORED)

@@ -184,7 +184,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0, id_col: str
     dealt = own.repartitionByRange(C.partitions(spark), "doc_id").sortWithinPartitions("doc_id")
     chunks = C.materialise(dealt.mapInArrow(_tokenise(tokenizer, end), _CHUNK), "chunks", "uncompressed")
     del dealt
-    C.release(spark)
+    C.release(spark, flush=True)
     # as many rows as the vocabulary has ids, at most
     counts = chunks.select("seen").mapInArrow(_count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
     symbols, n = counts["symbol"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)

@@ -180,6 +180,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     Links are between class representatives; those not needed to connect a component are left out.
     """
     every = sets(docs, n, percent, id_col, text_col)
+    C.release(docs.sparkSession, flush=True)
     able = every.filter("keys is not null")
     # a class: the same set; its smallest id goes on.  A text with an n-gram of its own is alone in its class.
     classes = able.filter("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"))

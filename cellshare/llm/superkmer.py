@@ -175,6 +175,7 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
     """``doc_id, kept, n_words, n_removed`` for every row: the text without repeated words, joined by one space."""
     # written, so that the packed strings' shuffle files can go before the texts move
     found = C.materialise(repeats(docs, width, id_col, text_col), "spans").groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"))
+    C.release(docs.sparkSession, flush=True)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     both = own.join(found, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut, "doc_id long, kept string, n_words long, n_removed long")
