@@ -44,9 +44,12 @@ def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def later_copies(level: DataFrame, lines: int) -> DataFrame:
-    """``d, t, seq, to``: the stretches of an interval of the suffix array, but for the first."""
+    """``d, t, seq, to``: the stretches of an interval of the suffix array, but for the first.
+
+    The firsts are a table of their own, so that the join may split a line that has very many copies.
+    """
     place = F.struct(*DOC, "seq")
-    first = level.groupBy("rank").agg(F.min(place).alias("first"))
+    first = C.materialise(level.groupBy("rank").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), f"first{lines}")
     return level.join(first, "rank").filter(place > F.col("first")).select(*DOC, "seq", (F.col("seq") + lines).alias("to"))
 
 
