@@ -208,8 +208,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
         return C.materialise(got.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b", "common"), name)
 
     def stars(left: DataFrame) -> DataFrame:
-        """The smallest member of each list with the list's other members."""
+        """The smallest member of each list with the list's other members; a long list may be split."""
         centre = left.groupBy("key").agg(F.min(F.struct("doc_id", "size", "component")).alias("c"), F.countDistinct("component").alias("parts")).filter("parts > 1")
+        centre = C.materialise(centre, "centres")
         return left.join(centre, "key").filter((F.col("component") != F.col("c.component")) & possible("size", "c.size")).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("c.size.n_shingles").alias("na"), F.col("size.n_shingles").alias("nb"))
 
     def labelled(label: DataFrame | None) -> DataFrame:
@@ -222,14 +223,15 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     # what hasn't joined its list's smallest member
     now = labelled(label)
     low = now.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("c"), F.countDistinct("component").alias("parts")).filter("parts > 1")
-    rest = now.join(low, "key").filter("component != c.component").select("key", "doc_id", "size", "component")
+    rest = now.join(C.materialise(low, "lows"), "key").filter("component != c.component").select("key", "doc_id", "size", "component")
     links = links.unionByName(verified(stars(C.materialise(rest, "rest")), "links2"))
     label = C.components(links)
     # every pair of a list whose components still differ: one side isn't in the component that the list has most of
     now = C.materialise(labelled(label), "now")
     shares = now.groupBy("key", "component").agg(F.count("*").alias("m"))
     most = shares.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    open_lists = C.materialise(now.join(most.select("key", F.col("most.component").alias("main")), "key"), "open")
+    most = C.materialise(most.select("key", F.col("most.component").alias("main")), "most")
+    open_lists = C.materialise(now.join(most, "key"), "open")
     x = open_lists.filter("component != main").select("key", F.col("doc_id").alias("x"), F.col("size").alias("sx"), F.col("component").alias("cx"))
     y = open_lists.select("key", F.col("doc_id").alias("y"), F.col("size").alias("sy"), F.col("component").alias("cy"))
     far = x.join(y, (x.key == y.key) & (x.cx != y.cy) & possible("sx", "sy"))
