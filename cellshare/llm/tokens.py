@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHE = 700_000
+CACHE = 1_000_000
 JOIN = 256
 MARK = "\x01"
 #: What makes a text be encoded whole: neighbouring or outer white space, what we use between pieces, and
