@@ -37,6 +37,8 @@ from . import common as C
 
 DEPTH = 6
 CHUNK_BYTES = 1 << 20
+#: A bucket's share of the tree is in a worker's memory.
+BUCKETS_PER_PARTITION = 2
 _MULTIPLIERS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 END = np.uint64(0x9D39247E33776D41)  # the end token's place among the word hashes
 
@@ -483,7 +485,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH, id
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(crc == fold, F.lit(False)).alias("held_out"), F.coalesce(crc != fold, F.lit(False)).alias("learned"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.pmod(F.xxhash64(id_col, F.xxhash64(text_col)), F.lit(n)).cast("int").alias("block"),
     )
-    asked = C.grouped(own.select("block", "learned", "text"), "block", _ask(depth, n), _ASK)
+    asked = C.grouped(own.select("block", "learned", "text"), "block", _ask(depth, BUCKETS_PER_PARTITION * n), _ASK)
     held = C.materialise(C.grouped(asked, "bucket", _gather(depth), _HELD), "held")
     tops = held.filter("kind = 'top'").select("keys", "counts", "logs").mapInArrow(_add_tops, "node long, below double, zeros long, ones long")
     tops = tops.groupBy("node").agg(F.sum("below").alias("below"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toPandas()
