@@ -260,21 +260,18 @@ def _thick(packed: bytes) -> np.ndarray:
 
 
 def _logs(values: np.ndarray) -> bytes:
-    """Logarithms in single precision with 15 bits of mantissa, compressed by byte planes."""
+    """Logarithms in single precision, compressed by byte planes."""
     import zstandard
 
-    v = values.astype("<f4").view(np.uint32)
-    v = (v + np.uint32(128)) & np.uint32(0xFFFFFF00)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 4)[:, 1:].T).tobytes())
+    v = values.astype("<f4").view(np.uint8).reshape(-1, 4)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(v.T).tobytes())
 
 
 def _unlogs(packed: bytes) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(3, -1)
-    out = np.zeros((planes.shape[1], 4), np.uint8)
-    out[:, 1:] = planes.T
-    return out.view("<f4").reshape(-1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<f4").reshape(-1)
 
 
 def _counts(packed: bytes, n: int) -> np.ndarray:
