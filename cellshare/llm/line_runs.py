@@ -39,7 +39,8 @@ def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``d, t, seq, rank, long``: lines that occur more than once, with their ids as first ranks."""
     lines = docs.select(*DOC, F.posexplode(F.split(text_col, "\n")).alias("seq", "line")).filter(F.trim("line") != "")
     lines = C.materialise(lines.select(*DOC, "seq", F.xxhash64("line").alias("rank"), (F.length("line") >= MIN_CHARS).alias("long")), "lines")
-    shared = lines.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank")
+    # a table of its own: the join may then split a line that has very many copies
+    shared = C.materialise(lines.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"), "shared")
     return C.materialise(lines.join(shared, "rank", "left_semi").select(*DOC, "seq", "rank", "long").dropDuplicates([*DOC, "seq"]), "level0")
 
 
