@@ -157,11 +157,11 @@ def postings(docs: DataFrame, trigrams: set[str], text_col: str = "text") -> Dat
 
 
 def candidates(index: DataFrame, rules: list[tuple[Rule, Query]]) -> DataFrame:
-    """``key, kind``: rows that hold all trigrams of one conjunction of a rule."""
+    """``key, kind``: rows that hold all trigrams of one conjunction of a rule; rows that share a key count each once."""
     rows = [(t, r.kind, n, len(q)) for r, query in rules for n, q in enumerate(query) for t in q]
     # one row for each trigram of each rule: as small as the rules
     terms = index.sparkSession.createDataFrame(rows, "trigram string, kind string, part int, size int")
-    held = index.join(F.broadcast(terms), "trigram").groupBy("key", "kind", "part", "size").agg(F.count("*").alias("n"))
+    held = index.join(F.broadcast(terms), "trigram").groupBy("key", "kind", "part", "size").agg(F.count_distinct("trigram").alias("n"))
     return held.filter("n = size").select("key", "kind").distinct()
 
 
