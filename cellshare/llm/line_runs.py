@@ -8,7 +8,8 @@ rounds work on repeated stretches alone and end when the longest is passed.
 Suffixes of equal rank are an interval of the suffix array whose common prefix has at least 2**k lines.  The first
 suffix of an interval, by id and line, is the original; the others start later copies of 2**k lines.  Over all
 rounds these stretches overlap and join to the maximal repeated runs.  Lines of later copies are deleted, if
-the run has ``MIN_LINES`` lines or the line has ``MIN_CHARS`` characters.
+the run has ``MIN_LINES`` lines or the line has ``min_chars`` characters (``MIN_CHARS`` if not given; with 1 no
+later copy of a line that isn't blank stays).
 
 Blank lines (empty or spaces) are never deleted and end a run.  Null texts stay null; empty texts stay.  Rows
 alike in id and text count as one document and keep the same lines; rows that share an id alone are ordered by
@@ -35,10 +36,10 @@ def key_columns(id_col: str, text_col: str) -> dict[str, Column]:
     return {"d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "t": F.xxhash64(text_col)}
 
 
-def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``d, t, seq, rank, long``: lines that occur more than once, with their ids as first ranks."""
     lines = docs.select(*DOC, F.posexplode(F.split(text_col, "\n")).alias("seq", "line")).filter(F.trim("line") != "")
-    lines = C.materialise(lines.select(*DOC, "seq", F.xxhash64("line").alias("rank"), (F.length("line") >= MIN_CHARS).alias("long")), "lines")
+    lines = C.materialise(lines.select(*DOC, "seq", F.xxhash64("line").alias("rank"), (F.length("line") >= min_chars).alias("long")), "lines")
     # a table of its own: the join may then split a line that has very many copies
     shared = C.materialise(lines.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"), "shared")
     return C.materialise(lines.join(shared, "rank", "left_semi").select(*DOC, "seq", "rank", "long").dropDuplicates([*DOC, "seq"]), "level0")
@@ -65,9 +66,9 @@ def doubled(level: DataFrame, step: int, k: int) -> DataFrame:
     return C.materialise(pairs.join(C.materialise(ranked, f"ranks{k}"), ["rank", "next"]).select(*DOC, "seq", F.col("new").alias("rank")), f"level{k}")
 
 
-def runs(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def runs(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``d, t, first, last``: maximal stretches of lines to delete, the last exclusive."""
-    level = repeated_lines(docs, text_col)
+    level = repeated_lines(docs, text_col, min_chars)
     found = later_copies(level.filter("long"), 1)
     step, k = 1, 0
     while True:
@@ -86,11 +87,11 @@ def runs(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return marked.groupBy(*DOC, "island").agg(F.min("seq").alias("first"), F.max("to").alias("last")).drop("island")
 
 
-def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _cut(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """All rows and columns, and under ``OWN`` names the lines and numbers of lines to delete."""
     keys = key_columns(id_col, text_col)
     slim = docs.select(*[v.alias(k) for k, v in keys.items()], F.col(text_col).alias("text"))
-    every = runs(slim, "text").groupBy(*DOC).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    every = runs(slim, "text", min_chars).groupBy(*DOC).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     every = every.select(*[F.col(c).alias(f"{OWN}{c}") for c in every.columns])
     own = docs.withColumns({f"{OWN}{k}k": v for k, v in keys.items()})
     on = [F.col(f"{OWN}{k}k") == F.col(f"{OWN}{k}") for k in DOC]
@@ -102,17 +103,17 @@ def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return both.withColumn(f"{OWN}kept", F.when(F.size(f"{OWN}gone") == 0, F.col(text_col)).otherwise(kept))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, kept, n_lines, n_deleted, n_runs`` for every row; ``kept`` is the text without later copies."""
     size = lambda c: F.coalesce(F.when(F.col(f"{OWN}{c}").isNotNull(), F.size(f"{OWN}{c}")), F.lit(0)).cast("long")
-    return _cut(docs, id_col, text_col).select(
+    return _cut(docs, id_col, text_col, min_chars).select(
         F.col(id_col).alias("doc_id"), F.col(f"{OWN}kept").alias("kept"), size("lines").alias("n_lines"), size("gone").alias("n_deleted"), size("runs").alias("n_runs")
     )
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """Later copies of line runs are cut from the texts; a document of which nothing is left goes."""
     kept = F.col(f"{OWN}kept")
-    out = _cut(docs, "doc_id", "text").filter((F.size(f"{OWN}gone") == 0) | (F.trim(F.regexp_replace(kept, "\n", "")) != ""))
+    out = _cut(docs, "doc_id", "text", min_chars).filter((F.size(f"{OWN}gone") == 0) | (F.trim(F.regexp_replace(kept, "\n", "")) != ""))
     new = {"text": kept} | ({"n_chars": F.length(kept).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

@@ -53,6 +53,14 @@ def op5_suffix_array_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later copies of single lines go too, however short."""
+    from .line_runs import dedup
+
+    out = dedup(C.documents(spark, sf_dir), min_chars=1)
+    return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 _OP5 = """
 WITH l AS (SELECT doc_id, i, ls[i] AS line, ls[i + 1] AS next FROM (
            SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (
@@ -67,6 +75,19 @@ total AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
 SELECT d.doc_id, coalesce(total.n, 0) AS n_lines, coalesce(n.n, 0) AS n_deleted, coalesce(n.r, 0) AS n_runs, sha256(coalesce(t, '')) AS kept_sha256
 FROM documents d LEFT JOIN total ON total.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
+# a run of two lines repeats only if each of its lines does
+_OP5_EVERY = """
+WITH l AS (SELECT doc_id, i, ls[i] AS line FROM (
+           SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (
+           SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS n FROM l WHERE trim(line) <> '') WHERE n > 1),
+n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (first) AS r FROM (
+      SELECT doc_id, i - lag(i, 1, -1) OVER (PARTITION BY doc_id ORDER BY i) <> 1 AS first FROM gone) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+total AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(total.n, 0) AS n_lines, coalesce(n.n, 0) AS n_deleted, coalesce(n.r, 0) AS n_runs, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN total ON total.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
 
 def op6_adaptive_scan_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import search
@@ -138,8 +159,8 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_context_tree_weighting, op2_pigeonhole_decontamination, op3_superkmer_dedup, op4_huffman_token_ids, op5_suffix_array_line_dedup, op6_adaptive_scan_neighbours, op7_trigram_secret_scan, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity)}
+    return {f.__name__: f for f in (op1_context_tree_weighting, op2_pigeonhole_decontamination, op3_superkmer_dedup, op4_huffman_token_ids, op5_suffix_array_line_dedup, op5_every_line_dedup, op6_adaptive_scan_neighbours, op7_trigram_secret_scan, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_superkmer_dedup": _OP3, "op5_suffix_array_line_dedup": _OP5, "op7_trigram_secret_scan": _op7()}
+    return {"op3_superkmer_dedup": _OP3, "op5_suffix_array_line_dedup": _OP5, "op5_every_line_dedup": _OP5_EVERY, "op7_trigram_secret_scan": _op7()}

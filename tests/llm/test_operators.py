@@ -323,6 +323,12 @@ def test_line_runs(spark):
     assert (got[61].n_deleted, got[61].n_runs, got[61].kept) == (37, 1, "")
 
 
+def test_no_later_copy_of_a_line_stays(spark):
+    rows = [(1, "a\nShort line.\n\nb\nShort line."), (2, "Short line.\nc\n \na"), (3, "d\n\nShort line."), (4, "Short line.")]
+    got = {r.doc_id: (r.kept, r.n_deleted, r.n_runs) for r in line_runs.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=1).collect()}
+    assert got == {1: ("a\nShort line.\n\nb", 1, 1), 2: ("c\n ", 2, 2), 3: ("d\n", 1, 1), 4: ("", 1, 1)}
+
+
 def test_line_runs_awkward(spark):
     df = awkward(spark)
     got = line_runs.dedup(df).collect()
