@@ -122,6 +122,13 @@ def _(spark, sf):
     return coverage.densify(mask_of(spark, sf, "fx_boxes").filter("region_id in ('N01', 'N07')"), GRID, two, normalised=False)
 
 
+@query("a9_dense_mask_all_regions", f"""WITH m AS ({_cov('fx_boxes')}), g AS (SELECT region_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col FROM (
+    SELECT *, unnest(range(32)) AS col FROM (SELECT region_id, unnest(range(16)) AS row FROM fx_boxes)))
+    SELECT g.region_id, g.row, g.col, CAST(coalesce(m.frac, 0) AS FLOAT) AS frac FROM g LEFT JOIN m ON g.region_id = m.region_id AND g.row = m.row AND g.col = m.col""")
+def _(spark, sf):
+    return coverage.densify(mask_of(spark, sf, "fx_boxes"), GRID, load(spark, sf, "fx_boxes"), normalised=False)
+
+
 @query("mask_region_totals", f"SELECT m.region_id, n_name AS name, cells, covered FROM (SELECT region_id, count(*) AS cells, sum(frac) AS covered FROM ({_cov('fx_boxes')}) GROUP BY region_id) m JOIN nation ON m.region_id = concat('N', lpad(CAST(n_nationkey AS STRING), 2, '0'))")
 def region_totals(spark, sf):
     names = spark.read.parquet(f"{sf}/nation.parquet").selectExpr("concat('N', lpad(cast(n_nationkey as string), 2, '0')) as region_id", "n_name as name")

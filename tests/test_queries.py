@@ -32,6 +32,12 @@ def test_same_rows(spark, duck, name):
     assert plain(got) == plain(want)
 
 
+def test_dense_mask_has_every_region(spark):
+    regions = {r.region_id for r in Q.load(spark, SF, "fx_boxes").select("region_id").collect()}
+    n = {r.region_id: r["count"] for r in Q.QUERIES["a9_dense_mask_all_regions"](spark, SF).groupBy("region_id").count().collect()}
+    assert len(regions) == 25 and n == dict.fromkeys(regions, 16 * 32)
+
+
 def test_entry(spark):
     import __spark_entry__ as E
 
