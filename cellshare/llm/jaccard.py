@@ -12,7 +12,8 @@
 
 Nulls, empty texts and texts without words have an empty set, link with nothing and are their own component.
 A text with fewer than n words has one n-gram: its whole sequence.  A null id takes no part.  If an id
-occurs in several rows, the rows count as documents of their own in a class but share the id's component.
+occurs in several rows, the rows count as documents of their own but share the id's component: links are between
+rows, known by a number, and components between ids.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ FRAGMENT_BITS = 1
 #: 64-bit words of a text's bitmap, in which each repeated n-gram sets one bit.
 BITMAP = 8
 BUCKETS_PER_PARTITION = 3
+#: A row's number is its block's and, in so many bits, its place in it.
+ROW_BITS = 20
 
 
 def shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +79,7 @@ def _deal(n: int, buckets: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 43 - ROW_BITS
         for b in C.blocks(batches, text_col):
             block += 1
             ids = np.asarray(b.column(b.schema.get_field_index(id_col)).to_numpy(zero_copy_only=False), np.int64)
@@ -151,25 +154,26 @@ def _assemble(percent: int):
         bits = np.zeros((len(ids), BITMAP * 64), np.uint8)
         bits[doc[order], key & (BITMAP * 64 - 1)] = 1
         maps = np.packbits(bits, axis=1).view(np.int64)
+        row = (head["block"] << ROW_BITS) + np.arange(len(ids), dtype=np.int64)
         lists = pa.array([None if p is None else np.frombuffer(p, np.int64) for p in packed], pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(full, pa.string()), lists, pa.array(list(maps), pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class_key", "keys", "bitmap"])
+        return pa.Table.from_arrays([pa.array(row), pa.array(ids), pa.array(n.astype(np.int64)), pa.array(full, pa.string()), lists, pa.array(list(maps), pa.list_(pa.int64()))], names=["row", "doc_id", "n_shingles", "class_key", "keys", "bitmap"])
 
     return run
 
 
 def sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, class_key, keys, bitmap``: keys only for texts that can link, in the global order."""
+    """``row, doc_id, n_shingles, class_key, keys, bitmap``: keys only for texts that can link, in the global order."""
     spark = C.ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     sent = own.mapInArrow(_deal(n, BUCKETS_PER_PARTITION * C.partitions(spark), "doc_id", "text"), _SENT)
     back = C.grouped(sent, "bucket", _repeated, "block long, ids binary, sizes binary, grams binary, freqs binary")
-    return C.materialise(C.grouped(back, "block", _assemble(percent), "doc_id long, n_shingles long, class_key string, keys array<long>, bitmap array<long>"), "sets")
+    return C.materialise(C.grouped(back, "block", _assemble(percent), "row long, doc_id long, n_shingles long, class_key string, keys array<long>, bitmap array<long>"), "sets")
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """``a, b, common``: partial overlaps counted fragment by fragment and summed by pair."""
-    left = pairs.join(segments.select(F.col("doc_id").alias("a"), "fragment", F.col("keys").alias("ka")), "a")
-    both = left.join(segments.select(F.col("doc_id").alias("b"), "fragment", F.col("keys").alias("kb")), ["b", "fragment"])
+    """``a, b, common``: of rows, partial overlaps counted fragment by fragment and summed by pair."""
+    left = pairs.join(segments.select(F.col("row").alias("a"), "fragment", F.col("keys").alias("ka")), "a")
+    both = left.join(segments.select(F.col("row").alias("b"), "fragment", F.col("keys").alias("kb")), ["b", "fragment"])
     part = both.select("a", "b", F.size(F.array_intersect("ka", "kb")).cast("long").alias("part"))
     return part.groupBy("a", "b").agg(F.sum("part").alias("common"))
 
@@ -182,18 +186,23 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     every = sets(docs, n, percent, id_col, text_col)
     C.release(docs.sparkSession, flush=True)
     able = every.filter("keys is not null")
-    # a class: the same set; its smallest id goes on.  A text with an n-gram of its own is alone in its class.
-    classes = able.filter("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"))
-    members = able.filter("class_key is not null").select("doc_id", "class_key").join(classes, "class_key").select("doc_id", "rep")
-    reps = able.filter("class_key is null").unionByName(able.join(classes.select(F.col("rep").alias("doc_id"), "class_key"), ["doc_id", "class_key"], "left_semi").select(able.columns))
-    reps = C.materialise(reps.dropDuplicates(["doc_id", "class_key"]).select("doc_id", "n_shingles", F.size("keys").alias("able"), "bitmap", "keys"), "reps")
+    # a class: the same set; a row of its smallest id goes on.  A text with an n-gram of its own is alone in its class.
+    classes = able.filter("class_key is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "row")).alias("r"))
+    classes = classes.select("class_key", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("row"))
+    members = able.filter("class_key is not null").select("doc_id", "class_key").join(classes.drop("row"), "class_key").select("doc_id", "rep")
+    # an id of several rows joins the classes that these are in
+    several = able.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    bridges = members.filter("doc_id <> rep").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    bridges = C.materialise(bridges, "bridges")
+    reps = able.filter("class_key is null").unionByName(able.join(classes.select("row"), "row", "left_semi").select(able.columns))
+    reps = C.materialise(reps.select("row", "doc_id", "n_shingles", F.size("keys").alias("able"), "bitmap", "keys"), "reps")
     # prefixes: n-grams of frequency one come first in the order and can't match, so they only shorten the rest
     need = F.ceil(F.col("n_shingles") * percent / 100)
     prefix = F.slice("keys", 1, (F.size("keys") - need + 1).cast("int"))
-    postings = C.materialise(reps.filter(F.col("able") >= need).select(F.explode(prefix).alias("key"), "doc_id", F.struct("n_shingles", "able", "bitmap").alias("size")), "postings")
+    postings = C.materialise(reps.filter(F.col("able") >= need).select(F.explode(prefix).alias("key"), "doc_id", "row", F.struct("n_shingles", "able", "bitmap").alias("size")), "postings")
     # a fragment is a range of the order: the key's top bits
     fragment = F.shiftrightunsigned("k", 58 + FRAGMENT_BITS).cast("int").alias("fragment")
-    exploded = reps.select("doc_id", F.explode("keys").alias("k")).groupBy("doc_id", fragment).agg(F.collect_list("k").alias("keys"))
+    exploded = reps.select("row", F.explode("keys").alias("k")).groupBy("row", fragment).agg(F.collect_list("k").alias("keys"))
     segments = C.materialise(exploded, "segments")
 
     def possible(x: str, y: str) -> Column:
@@ -203,15 +212,18 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
         return most * (100 + percent) >= (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")) * 2 * percent
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        near = pairs.select("a", "b", "na", "nb").distinct()
+        near = pairs.select("a", "b", "ia", "ib", "na", "nb").distinct()
         got = overlaps(near, segments).join(near, ["a", "b"])
-        return C.materialise(got.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b", "common"), name)
+        return C.materialise(got.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "common"), name)
+
+    def connected(links: DataFrame) -> DataFrame:
+        return C.components(links.select("a", "b").unionByName(bridges))
 
     def stars(left: DataFrame) -> DataFrame:
         """The smallest member of each list with the list's other members; a long list may be split."""
-        centre = left.groupBy("key").agg(F.min(F.struct("doc_id", "size", "component")).alias("c"), F.countDistinct("component").alias("parts")).filter("parts > 1")
+        centre = left.groupBy("key").agg(F.min(F.struct("doc_id", "row", "size", "component")).alias("c"), F.countDistinct("component").alias("parts")).filter("parts > 1")
         centre = C.materialise(centre, "centres")
-        return left.join(centre, "key").filter((F.col("component") != F.col("c.component")) & possible("size", "c.size")).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("c.size.n_shingles").alias("na"), F.col("size.n_shingles").alias("nb"))
+        return left.join(centre, "key").filter((F.col("component") != F.col("c.component")) & possible("size", "c.size")).select(F.col("c.row").alias("a"), F.col("row").alias("b"), F.col("c.doc_id").alias("ia"), F.col("doc_id").alias("ib"), F.col("c.size.n_shingles").alias("na"), F.col("size.n_shingles").alias("nb"))
 
     def labelled(label: DataFrame | None) -> DataFrame:
         if label is None:
@@ -219,26 +231,26 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
         return postings.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
     links = verified(stars(labelled(None)), "links1")
-    label = C.components(links)
+    label = connected(links)
     # what hasn't joined its list's smallest member
     now = labelled(label)
     low = now.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("c"), F.countDistinct("component").alias("parts")).filter("parts > 1")
-    rest = now.join(C.materialise(low, "lows"), "key").filter("component != c.component").select("key", "doc_id", "size", "component")
+    rest = now.join(C.materialise(low, "lows"), "key").filter("component != c.component").select("key", "doc_id", "row", "size", "component")
     links = links.unionByName(verified(stars(C.materialise(rest, "rest")), "links2"))
-    label = C.components(links)
+    label = connected(links)
     # every pair of a list whose components still differ: one side isn't in the component that the list has most of
     now = C.materialise(labelled(label), "now")
     shares = now.groupBy("key", "component").agg(F.count("*").alias("m"))
     most = shares.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
     most = C.materialise(most.select("key", F.col("most.component").alias("main")), "most")
     open_lists = C.materialise(now.join(most, "key"), "open")
-    x = open_lists.filter("component != main").select("key", F.col("doc_id").alias("x"), F.col("size").alias("sx"), F.col("component").alias("cx"))
-    y = open_lists.select("key", F.col("doc_id").alias("y"), F.col("size").alias("sy"), F.col("component").alias("cy"))
+    x = open_lists.filter("component != main").select("key", F.col("row").alias("x"), F.col("doc_id").alias("ix"), F.col("size").alias("sx"), F.col("component").alias("cx"))
+    y = open_lists.select("key", F.col("row").alias("y"), F.col("doc_id").alias("iy"), F.col("size").alias("sy"), F.col("component").alias("cy"))
     far = x.join(y, (x.key == y.key) & (x.cx != y.cy) & possible("sx", "sy"))
     first = F.col("x") < F.col("y")
-    pairs = far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("sx.n_shingles")).otherwise(F.col("sy.n_shingles")).alias("na"), F.when(first, F.col("sy.n_shingles")).otherwise(F.col("sx.n_shingles")).alias("nb"))
+    pairs = far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("ix")).otherwise(F.col("iy")).alias("ia"), F.when(first, F.col("iy")).otherwise(F.col("ix")).alias("ib"), F.when(first, F.col("sx.n_shingles")).otherwise(F.col("sy.n_shingles")).alias("na"), F.when(first, F.col("sy.n_shingles")).otherwise(F.col("sx.n_shingles")).alias("nb"))
     links = links.unionByName(verified(pairs, "links3"))
-    label = C.components(links)
+    label = connected(links)
     # members of a class follow their representative
     own = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     named = own.unionByName(label.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))).groupBy("doc_id").agg(F.min("c").alias("c"))

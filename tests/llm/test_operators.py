@@ -452,6 +452,19 @@ def test_jaccard_chain_in_one_list(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_rows_of_one_id(spark):
+    """Each row of an id counts with a set of its own, and what one row links joins what the others do."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(9, text("a") + " own nine"), (9, text("b") + " own also"), (3, text("a") + " own three"), (4, text("b") + " own four")]
+    rows += [(2, text("c")), (8, text("c")), (8, text("d")), (5, text("d"))]  # classes that an id joins
+    half = [" ".join(f"e{k}" for k in ks) for ks in (range(50), range(40, 90))]
+    rows += [(20, half[0]), (20, half[1]), (21, " ".join(f"e{k}" for k in range(90)))]  # alike only to both together
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in jaccard.join(docs)[0].select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute_components(rows)
+    assert {i: c for i, _, c in got} == {9: 3, 3: 3, 4: 3, 2: 2, 8: 2, 5: 2, 20: 20, 21: 21}
+
+
 def test_jaccard_awkward(spark):
     df = awkward(spark)
     got = sorted(tuple(r) for r in jaccard.join(df)[0].select("doc_id", "n_shingles", "component_id").collect())
