@@ -106,7 +106,7 @@ class Model:
         rest = lambda rows: rows[::3]
         ordinary = [w for t in fit(plain) for w in windows(t)]
         try:
-            base = zstandard.train_dictionary(BASE, ordinary[: 8 * BASE], k=64, d=8).as_bytes()
+            base = zstandard.train_dictionary(BASE, ordinary, k=64, d=8).as_bytes()
         except zstandard.ZstdError:  # too little text to choose from
             base = b" ".join(ordinary)[:BASE]
         self.toxic = base + cover(fit(toxic), fit(plain), DICTIONARY)

@@ -536,6 +536,18 @@ def test_toxicity_held_out(spark):
     assert len(right) > 100 and sum(right) / len(right) > 0.9
 
 
+def test_base_learns_from_all_sampled_windows(monkeypatch):
+    seen = []
+
+    def record(size, samples, **_):
+        seen.append(len(samples))
+        raise toxicity.zstandard.ZstdError
+
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", record)
+    toxicity.Model([b"grobian varlet"] * 6, [b"a bb " * 144_000] * 6, 0.1)
+    assert seen == [4 * 36_000]
+
+
 def test_toxicity_awkward(spark):
     df = awkward(spark)
     labels = spark.createDataFrame([(0, None), (None, 1), (1, 1), (1, 0), (4, 0), (99, 1)], "doc_id long, toxic int").withColumn("quality", F.lit(None).cast("int"))
