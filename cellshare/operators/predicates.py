@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,10 +77,24 @@ def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, project: bool = Tr
     """``a_id, b_id, distance``: for each region of ``a`` those of ``b`` at the least distance, ties all kept.
 
     Distances are planar, in Mercator metres if ``project``; 0 if regions touch, overlap or contain each other.
-    ``b`` is a table of regions whose number is checked; bounding boxes rule out most before edges are compared.
+    ``b`` is taken in blocks of about ``SMALL`` regions, of which the least distances are kept; in each, bounding boxes
+    rule out most before edges are compared.
     """
-    if b.limit(SMALL + 1).count() > SMALL:
-        raise ValueError(f"more than {SMALL} regions to choose from: give them in parts")
+    n = b.count()
+    if n <= SMALL:
+        return _nearest(a, b, a_id, b_id, project)
+    blocks = -(-n * 5 // (4 * SMALL))  # hashed, so filled to four fifths
+    block = F.pmod(F.xxhash64(b_id), F.lit(blocks))
+    found = [_nearest(a, b.filter(block == k), a_id, b_id, project) for k in range(blocks)]
+    return _least(reduce(DataFrame.unionByName, found), a_id, b_id)
+
+
+def _least(pairs: DataFrame, a_id: str, b_id: str) -> DataFrame:
+    return pairs.withColumn("r", F.rank().over(Window.partitionBy(a_id).orderBy("distance"))).filter("r = 1").select(a_id, b_id, "distance")
+
+
+def _nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, project: bool) -> DataFrame:
+    """``nearest`` among one block of regions."""
     move = (lambda p: G.point(*G.mercator(p["x"], p["y"]))) if project else (lambda p: p)
     ga, gb = (df.select(F.col(i), G.map_points("geometry", move).alias("geometry")) for df, i in ((a, a_id), (b, b_id)))
     sa, sb = ga.select(a_id, G.bounds("geometry").alias("s")), gb.select(b_id, G.bounds("geometry").alias("t"))
@@ -98,4 +114,4 @@ def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, project: bool = Tr
     odd = lambda df: df.groupBy(a_id, b_id).agg(F.count("*").alias("n")).filter("n % 2 = 1").select(a_id, b_id)
     inside = odd(right).union(odd(left)).distinct().withColumn("in", F.lit(True))
     exact = apart.join(inside, [a_id, b_id], "left").withColumn("distance", F.when(F.col("in"), 0.0).otherwise(F.sqrt("d2")))
-    return exact.withColumn("r", F.rank().over(Window.partitionBy(a_id).orderBy("distance"))).filter("r = 1").select(a_id, b_id, "distance")
+    return _least(exact, a_id, b_id)

@@ -23,6 +23,14 @@ def test_nearest_keeps_ties(spark):
     assert len(predicates.nearest(gap, sea, "gap", "sea").collect()) == 2
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    boxes = lambda rows, i: G.from_boxes(spark.createDataFrame(rows, f"{i} string, minx double, miny double, maxx double, maxy double"))
+    gap = boxes([("g", 0.0, 0.0, 1.0, 1.0)], "gap")
+    sea = boxes([(f"s{k}", 4.0 + k // 2, 0.0, 5.0 + k // 2, 1.0) for k in range(8)], "sea")
+    monkeypatch.setattr(predicates, "SMALL", 4)
+    assert {(r.sea, r.distance) for r in predicates.nearest(gap, sea, "gap", "sea", project=False).collect()} == {("s0", 3.0), ("s1", 3.0)}
+
+
 def test_touching_counts_contact_and_containment(spark):
     parts = boxes(spark, [("edge", 0.0, 0.0, 1.0, 1.0), ("around", -9.0, -9.0, 9.0, 9.0), ("off", 3.5, 3.5, 4.0, 4.0)]).select("id", "geometry")
     box = spark.createDataFrame([(1, 3.0, 3.0, 1.0, 1.0)], "box_id int, minx double, miny double, maxx double, maxy double")
