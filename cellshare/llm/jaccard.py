@@ -4,11 +4,14 @@
    n-grams and sends back, packed for each block, those that two or more documents hold, with their frequency.
    A text that can link has at least the threshold's share of such n-grams; the others are done.
 2. Documents with the same n-gram set form a class at once; only the class's smallest id goes on.
-3. The global order of the n-grams (rarest frequency class first, then hash) is cut into fragments.  Candidates
-   share an n-gram of both prefixes.  For them, partial overlaps are counted in each fragment and summed by pair.
-4. Candidates come in rounds: first each list's smallest member against the others, then, of what hasn't joined
-   it, again the smallest; in the end every pair of a list whose components still differ.  Pairs inside a
-   component can't change the result and are never made.
+3. The global order of the n-grams (rarest frequency class first, then hash) is cut into fragments of equal weight.
+   Candidates share an n-gram of both prefixes.  For them, partial overlaps are counted in each fragment and
+   summed by pair.
+4. N-grams of the same rows make one posting list.  Candidates come in rounds: each list's smallest member with the
+   others, then, of what hasn't joined it, again the smallest, while a round halves what is left; in the end every
+   pair of a list whose components still differ.  Pairs inside a component can't change the result and are never made.
+
+N-grams are known by 64-bit hashes: two that collide count as one.
 
 Nulls, empty texts and texts without words have an empty set, link with nothing and are their own component.
 A text with fewer than n words has one n-gram: its whole sequence.  A null id takes no part.  If an id
@@ -18,6 +21,7 @@ rows, known by a number, and components between ids.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: A fragment holds 2**FRAGMENT_BITS neighbouring frequency classes of the global order.
-FRAGMENT_BITS = 1
+#: Parts of the global order, with equally many n-grams each.
+FRAGMENTS = 4
+#: Names of a posting list: a 128-bit hash of its rows.
+LIST = ["l0", "l1"]
 #: 64-bit words of a text's bitmap, in which each repeated n-gram sets one bit.
 BITMAP = 8
 BUCKETS_PER_PARTITION = 3
@@ -104,7 +110,7 @@ def _deal(n: int, buckets: int, id_col: str, text_col: str):
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of one bucket: each block's n-grams that two or more documents hold, with their frequency classes (powers of two, from 2)."""
+    """Of one bucket: each block's n-grams that two or more documents hold, with their frequency classes (quarter octaves)."""
     rows = table.to_pylist()
     out = [(r["block"], r["ids"], r["sizes"], None, None) for r in rows if r["grams"] is None]
     rows = [r for r in rows if r["grams"] is not None]
@@ -116,7 +122,7 @@ def _repeated(table: pa.Table) -> pa.Table:
         at = C.runs(every[order])
         count = np.empty(len(every), np.uint8)
         n = np.diff(at)
-        count[order] = np.repeat(np.where(n > 1, 1 + np.log2(n).astype(np.uint8), 0).astype(np.uint8), n)
+        count[order] = np.repeat(np.floor(4 * np.log2(n)).astype(np.uint8), n)
         for i, r in enumerate(rows):
             c, g = count[cut[i] : cut[i + 1]], grams[i]
             keep = c > 0
@@ -139,35 +145,76 @@ def _assemble(percent: int):
         empty = np.zeros(0, np.int64)
         doc = np.concatenate(docs) if docs else empty
         grams = np.concatenate([np.frombuffer(r["grams"], C.U64) for r in rows]) if rows else empty.astype(C.U64)
-        freq = np.concatenate([np.frombuffer(r["freqs"], np.uint8) for r in rows]) if rows else empty
+        freq = np.concatenate([np.frombuffer(r["freqs"], np.uint8) for r in rows]) if rows else empty.astype(np.uint8)
         held = np.bincount(doc, minlength=len(ids))
         able = (held * 100 >= n.astype(np.int64) * percent) & (n > 0)
         keep = able[doc] if len(doc) else np.zeros(0, bool)
         doc, grams, freq = doc[keep], grams[keep], freq[keep]
-        rank = freq.astype(np.uint64)
-        order = np.lexsort((grams, rank, doc))
-        # the global order as one number: frequency class in the top six bits, then the hash
-        key = (rank[order] << C.U64(58) | grams[order] >> C.U64(6)).view(np.int64)
+        # the global order: frequency class, then hash
+        order = np.lexsort((grams, freq, doc))
+        doc, freq, key = doc[order], freq[order], grams[order].view(np.int64)
         cut = np.concatenate([[0], np.cumsum(np.where(able, held, 0))])
-        packed = [key[cut[i] : cut[i + 1]].tobytes() if able[i] else None for i in range(len(ids))]
-        full = [xxhash.xxh3_128_hexdigest(p) if p is not None and held[i] == n[i] else None for i, p in enumerate(packed)]
+        packed = [key[cut[i] : cut[i + 1]] if able[i] else None for i in range(len(ids))]
+        full = [xxhash.xxh3_128_hexdigest(p.tobytes()) if p is not None and held[i] == n[i] else None for i, p in enumerate(packed)]
         bits = np.zeros((len(ids), BITMAP * 64), np.uint8)
-        bits[doc[order], key & (BITMAP * 64 - 1)] = 1
+        bits[doc, key & (BITMAP * 64 - 1)] = 1
         maps = np.packbits(bits, axis=1).view(np.int64)
+        at = C.runs(doc.astype(np.int64) << 8 | freq)
+        head_of = np.searchsorted(doc[at[:-1]], np.arange(len(ids) + 1))
+        classes, each = freq[at[:-1]].astype(np.int32), np.diff(at).astype(np.int32)
+        of = lambda values: pa.array([values[head_of[i] : head_of[i + 1]] if able[i] else None for i in range(len(ids))], pa.list_(pa.int32()))
         row = (head["block"] << ROW_BITS) + np.arange(len(ids), dtype=np.int64)
-        lists = pa.array([None if p is None else np.frombuffer(p, np.int64) for p in packed], pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array(row), pa.array(ids), pa.array(n.astype(np.int64)), pa.array(full, pa.string()), lists, pa.array(list(maps), pa.list_(pa.int64()))], names=["row", "doc_id", "n_shingles", "class_key", "keys", "bitmap"])
+        return pa.Table.from_arrays([pa.array(row), pa.array(ids), pa.array(n.astype(np.int64)), pa.array(full, pa.string()), pa.array(packed, pa.list_(pa.int64())), of(classes), of(each), pa.array(list(maps), pa.list_(pa.int64()))], names=["row", "doc_id", "n_shingles", "class_key", "keys", "classes", "each", "bitmap"])
 
     return run
 
 
 def sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row, doc_id, n_shingles, class_key, keys, bitmap``: keys only for texts that can link, in the global order."""
+    """``row, doc_id, n_shingles, class_key, keys, classes, each, bitmap``: keys only for texts that can link, in the global
+    order; ``classes`` are their frequency classes, each with as many keys as ``each`` says."""
     spark = C.ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     sent = own.mapInArrow(_deal(n, BUCKETS_PER_PARTITION * C.partitions(spark), "doc_id", "text"), _SENT)
     back = C.grouped(sent, "bucket", _repeated, "block long, ids binary, sizes binary, grams binary, freqs binary")
-    return C.materialise(C.grouped(back, "block", _assemble(percent), "row long, doc_id long, n_shingles long, class_key string, keys array<long>, bitmap array<long>"), "sets")
+    return C.materialise(C.grouped(back, "block", _assemble(percent), "row long, doc_id long, n_shingles long, class_key string, keys array<long>, classes array<int>, each array<int>, bitmap array<long>"), "sets")
+
+
+def bounds(reps: DataFrame, fragments: int) -> list[tuple[int, int]]:
+    """Where the global order is cut, as (frequency class, hash): into parts that hold equally many n-grams of all sets.
+
+    Hashes are spread evenly, so that within a class a share of the n-grams is a share of the hashes.
+    """
+    both = F.arrays_zip(F.col("classes").alias("c"), F.col("each").alias("n"))
+    # as many rows as there are classes: 256 at most
+    held = sorted((r.c, r.n) for r in reps.select(F.explode(both).alias("x")).groupBy(F.col("x.c").alias("c")).agg(F.sum("x.n").alias("n")).collect())
+    total, out, before = sum(n for _, n in held), [], 0
+    for c, n in held:
+        while len(out) < fragments - 1 and (at := total * (len(out) + 1) // fragments) < before + n:
+            out.append((c, ((at - before) << 64) // n))
+        before += n
+    return out
+
+
+def _segments(cuts: list[tuple[int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, fragment, parts = [], [], []
+            for r, keys, classes, each in zip(*(c.to_pylist() if k != 1 else c for k, c in enumerate(batch.columns)), strict=True):
+                signed = np.asarray(keys.values, np.int64)
+                grams, at = signed.view(C.U64), np.concatenate([[0], np.cumsum(each)])
+                edge = [0]
+                for c, h in cuts:
+                    i = bisect_left(classes, c)
+                    start = int(at[i])
+                    edge.append(start + int(np.searchsorted(grams[start : at[i + 1]], C.U64(h))) if i < len(classes) and classes[i] == c else start)
+                for k, (x, y) in enumerate(zip(edge, [*edge[1:], len(grams)], strict=True)):
+                    if x < y:
+                        row.append(r)
+                        fragment.append(k)
+                        parts.append(signed[x:y])
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(fragment, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["row", "fragment", "keys"])
+
+    return run
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -178,6 +225,34 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return part.groupBy("a", "b").agg(F.sum("part").alias("common"))
 
 
+def posting_lists(reps: DataFrame, percent: int) -> DataFrame:
+    """``l0, l1, row, place, doc_id, size``: who shares a prefix n-gram, each set of rows once.
+
+    Neighbouring n-grams of a passage stand in the same rows.  Lists alike are known by a 128-bit hash of their
+    rows and become one, with each row's first place in the order: what a pair can still have in common is largest there.
+    """
+    need = F.ceil(F.col("n_shingles") * percent / 100)
+    # n-grams of frequency one come first in the order and can't match, so they only shorten the rest
+    prefix = F.slice("keys", 1, (F.size("keys") - need + 1).cast("int"))
+    posts = reps.filter(F.col("able") >= need).select("row", F.posexplode(prefix).alias("place", "key"))
+    alike = posts.groupBy("key").agg(F.bit_xor(F.xxhash64("row")).alias("l0"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("l1"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    # a table of its own, so that the join may split an n-gram of very many rows
+    merged = posts.join(C.materialise(alike, "alike"), "key").groupBy(*LIST, "row").agg(F.min("place").alias("place"))
+    return C.materialise(merged.join(reps.select("row", "doc_id", F.struct("n_shingles", "able", "bitmap").alias("size")), "row"), "postings")
+
+
+def possible(x: str, y: str, percent: int) -> Column:
+    """Whether two postings of a list can be of rows that link, were this the first n-gram that they share.
+
+    Needed are p/(1+p) of both sizes together.  What sets a bit in one bitmap alone isn't common to both, and only
+    what stands from this place on can be.
+    """
+    alone = sum((F.bit_count(F.col(f"{x}.size.bitmap")[i].bitwiseXOR(F.col(f"{y}.size.bitmap")[i])) for i in range(BITMAP)), F.lit(0))
+    rest = F.least(F.col(f"{x}.size.able") - F.col(f"{x}.place"), F.col(f"{y}.size.able") - F.col(f"{y}.place"))
+    needed = (F.col(f"{x}.size.n_shingles") + F.col(f"{y}.size.n_shingles")) * percent
+    return (rest * (100 + percent) >= needed) & ((F.col(f"{x}.size.able") + F.col(f"{y}.size.able") - alone) * (100 + percent) >= needed * 2)
+
+
 def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents and links: ``(doc_id, n_shingles, component_id)`` and the verified links ``(a, b, common)``.
 
@@ -195,62 +270,63 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     bridges = members.filter("doc_id <> rep").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     bridges = C.materialise(bridges, "bridges")
     reps = able.filter("class_key is null").unionByName(able.join(classes.select("row"), "row", "left_semi").select(able.columns))
-    reps = C.materialise(reps.select("row", "doc_id", "n_shingles", F.size("keys").alias("able"), "bitmap", "keys"), "reps")
-    # prefixes: n-grams of frequency one come first in the order and can't match, so they only shorten the rest
-    need = F.ceil(F.col("n_shingles") * percent / 100)
-    prefix = F.slice("keys", 1, (F.size("keys") - need + 1).cast("int"))
-    postings = C.materialise(reps.filter(F.col("able") >= need).select(F.explode(prefix).alias("key"), "doc_id", "row", F.struct("n_shingles", "able", "bitmap").alias("size")), "postings")
-    # a fragment is a range of the order: the key's top bits
-    fragment = F.shiftrightunsigned("k", 58 + FRAGMENT_BITS).cast("int").alias("fragment")
-    exploded = reps.select("row", F.explode("keys").alias("k")).groupBy("row", fragment).agg(F.collect_list("k").alias("keys"))
-    segments = C.materialise(exploded, "segments")
-
-    def possible(x: str, y: str) -> Column:
-        """Needed are p/(1+p) of both sizes together.  What sets a bit in one bitmap alone isn't common to both."""
-        alone = sum((F.bit_count(F.col(f"{x}.bitmap")[i].bitwiseXOR(F.col(f"{y}.bitmap")[i])) for i in range(BITMAP)), F.lit(0))
-        most = F.least(F.least(f"{x}.able", f"{y}.able") * 2, F.col(f"{x}.able") + F.col(f"{y}.able") - alone)
-        return most * (100 + percent) >= (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")) * 2 * percent
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        near = pairs.select("a", "b", "ia", "ib", "na", "nb").distinct()
+    reps = C.materialise(reps.select("row", "doc_id", "n_shingles", F.size("keys").alias("able"), "bitmap", "keys", "classes", "each"), "reps")
+    cut = _segments(bounds(reps, FRAGMENTS))
+    segments = C.materialise(reps.select("row", "keys", "classes", "each").mapInArrow(cut, "row long, fragment int, keys array<long>"), "segments")
+    postings = posting_lists(reps, percent)
+
+    def verified(met: DataFrame, name: str) -> DataFrame:
+        """Of rows ``x`` and ``y`` that met in some list, those that link."""
+        turn = F.col("x.row") < F.col("y.row")
+        pick = lambda c, low: F.when(turn, F.col(f"{'x' if low else 'y'}.{c}")).otherwise(F.col(f"{'y' if low else 'x'}.{c}"))
+        near = met.select(pick("row", True).alias("a"), pick("row", False).alias("b"), pick("doc_id", True).alias("ia"), pick("doc_id", False).alias("ib"), pick("size.n_shingles", True).alias("na"), pick("size.n_shingles", False).alias("nb")).distinct()
         got = overlaps(near, segments).join(near, ["a", "b"])
         return C.materialise(got.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "common"), name)
 
-    def connected(links: DataFrame) -> DataFrame:
-        return C.components(links.select("a", "b").unionByName(bridges))
-
-    def stars(left: DataFrame) -> DataFrame:
-        """The smallest member of each list with the list's other members; a long list may be split."""
-        centre = left.groupBy("key").agg(F.min(F.struct("doc_id", "row", "size", "component")).alias("c"), F.countDistinct("component").alias("parts")).filter("parts > 1")
-        centre = C.materialise(centre, "centres")
-        return left.join(centre, "key").filter((F.col("component") != F.col("c.component")) & possible("size", "c.size")).select(F.col("c.row").alias("a"), F.col("row").alias("b"), F.col("c.doc_id").alias("ia"), F.col("doc_id").alias("ib"), F.col("c.size.n_shingles").alias("na"), F.col("size.n_shingles").alias("nb"))
-
-    def labelled(label: DataFrame | None) -> DataFrame:
-        if label is None:
-            return postings.withColumn("component", F.col("doc_id"))
-        return postings.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-    links = verified(stars(labelled(None)), "links1")
-    label = connected(links)
-    # what hasn't joined its list's smallest member
-    now = labelled(label)
-    low = now.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("c"), F.countDistinct("component").alias("parts")).filter("parts > 1")
-    rest = now.join(C.materialise(low, "lows"), "key").filter("component != c.component").select("key", "doc_id", "row", "size", "component")
-    links = links.unionByName(verified(stars(C.materialise(rest, "rest")), "links2"))
-    label = connected(links)
+    def labelled(some: DataFrame, label: DataFrame) -> DataFrame:
+        own = some.drop("component").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        return own.withColumn("component", F.coalesce("component", "doc_id"))
+
+    def centred(some: DataFrame, name: str) -> DataFrame:
+        """``l0, l1, c``: the smallest member of each list that has several components."""
+        low = some.groupBy(*LIST).agg(F.min(F.struct("doc_id", "row", "place", "size", "component")).alias("c"), F.min("component").alias("p"), F.max("component").alias("q"))
+        return C.materialise(low.filter("p <> q").drop("p", "q"), name)
+
+    def apart(now: DataFrame) -> int:
+        """Pairs of a list whose components differ, over all lists."""
+        shares = now.groupBy(*LIST, "component").agg(F.count("*").alias("m"))
+        lists = shares.groupBy(*LIST).agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
+        return lists.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).collect()[0][0]
+
+    # rounds: the smallest member of each list with the others, then, of what hasn't joined it, again the smallest
+    total, before, k = postings.count(), float("inf"), 0
+    rest, links, label = postings.withColumn("component", F.col("doc_id")), None, None
+    centres = centred(rest, "centres0")
+    while True:
+        k += 1
+        met = rest.alias("x").join(centres, LIST).filter("component <> c.component").select(F.struct("x.row", "x.doc_id", "x.place", "x.size").alias("x"), F.col("c").alias("y"))
+        found = verified(met.filter(possible("x", "y", percent)), f"links{k}")
+        links = found if links is None else links.unionByName(found)
+        label = C.components(links.select("a", "b").unionByName(bridges))
+        now = C.materialise(labelled(postings, label), f"now{k}")
+        left = apart(now)
+        if left <= total or left > before / 2:
+            break
+        before = left
+        rest = labelled(rest, label)
+        joined = centred(rest, f"joined{k}").select(*LIST, F.col("c.component").alias("main"))
+        rest = C.materialise(rest.join(joined, LIST).filter("component <> main").drop("main"), f"rest{k}")
+        centres = centred(rest, f"centres{k}")
     # every pair of a list whose components still differ: one side isn't in the component that the list has most of
-    now = C.materialise(labelled(label), "now")
-    shares = now.groupBy("key", "component").agg(F.count("*").alias("m"))
-    most = shares.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    most = C.materialise(most.select("key", F.col("most.component").alias("main")), "most")
-    open_lists = C.materialise(now.join(most, "key"), "open")
-    x = open_lists.filter("component != main").select("key", F.col("row").alias("x"), F.col("doc_id").alias("ix"), F.col("size").alias("sx"), F.col("component").alias("cx"))
-    y = open_lists.select("key", F.col("row").alias("y"), F.col("doc_id").alias("iy"), F.col("size").alias("sy"), F.col("component").alias("cy"))
-    far = x.join(y, (x.key == y.key) & (x.cx != y.cy) & possible("sx", "sy"))
-    first = F.col("x") < F.col("y")
-    pairs = far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("ix")).otherwise(F.col("iy")).alias("ia"), F.when(first, F.col("iy")).otherwise(F.col("ix")).alias("ib"), F.when(first, F.col("sx.n_shingles")).otherwise(F.col("sy.n_shingles")).alias("na"), F.when(first, F.col("sy.n_shingles")).otherwise(F.col("sx.n_shingles")).alias("nb"))
-    links = links.unionByName(verified(pairs, "links3"))
-    label = connected(links)
+    shares = now.groupBy(*LIST, "component").agg(F.count("*").alias("m"))
+    most = shares.groupBy(*LIST).agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    open_lists = C.materialise(now.join(C.materialise(most.select(*LIST, F.col("most.component").alias("main")), "most"), LIST), "open")
+    x, y = open_lists.filter("component <> main").alias("x"), open_lists.alias("y")
+    # two rows that are both outside it meet once
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.row") < F.col("y.row"))
+    far = x.join(y, (F.col("x.l0") == F.col("y.l0")) & (F.col("x.l1") == F.col("y.l1")) & (F.col("x.component") != F.col("y.component")) & once & possible("x", "y", percent))
+    links = links.unionByName(verified(far, "links"))
+    label = C.components(links.select("a", "b").unionByName(bridges))
     # members of a class follow their representative
     own = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     named = own.unionByName(label.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))).groupBy("doc_id").agg(F.min("c").alias("c"))
