@@ -359,10 +359,43 @@ def test_neighbours_recall_and_scores(spark):
     assert hits / 300 >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_neighbours_recall_on_the_tables(spark, sf):
+    """Vectors without clusters, the hardest case; a hit is as near as the fifth true neighbour."""
+    table = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+    got = collections.defaultdict(list)
+    for r in neighbours.search(table, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].append(r.score)
+    x = {r.vec_id: np.array(r.embedding, float) for r in table.select("vec_id", "embedding").collect()}
+    every = np.array(list(x.values()))
+    norm, hits = np.sqrt((every**2).sum(1)), 0
+    for q in (i for i in x if i % 50 == 0):
+        true = np.sort(every @ x[q] / norm / np.sqrt((x[q] ** 2).sum()))[-6]
+        hits += sum(s >= true - 1e-9 for s in got[q])
+    assert hits >= 0.9 * 5 * len(got)
+
+
+def test_neighbours_beta_quantile():
+    assert neighbours.beta_quantile(1, 1, 0.25) == pytest.approx(0.25, abs=1e-3)
+    assert neighbours.beta_quantile(2, 2, 0.5) == pytest.approx(0.5, abs=1e-3)
+    assert neighbours.beta_quantile(1, 3, 0.875) == pytest.approx(0.5, abs=1e-3)
+
+
+def test_neighbours_many_rows_alike(spark):
+    """A third of the rows is one vector: ties go to the smaller id, and a row in two lists counts once."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0] if i % 3 == 0 else rng.standard_normal(4).tolist()) for i in range(900)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    found = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found[r.query_id].append(r.vec_id)
+    assert found[0] == [3, 6, 9, 12, 15] and found[150] == [0, 3, 6, 9, 12] and all(len(set(v)) == 5 for v in found.values())
+
+
 def test_neighbours_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, [1.0, 2.0, 3.0]), (50, [0.0, 1e-200]), (None, [1.0, 1.0]), (1, [2.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(0) for c in CLASH + ["v", "list", "salt"]})
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(0) for c in CLASH + ["v", "list", "salt", "bound", "query", "bounds"]})
     got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in neighbours.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 1, 0.0), (50, 3, 1, 0.0), (50, 4, 2, 0.0)]
     assert neighbours.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
