@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries share a base trained on ordinary text.  At its end one holds words whose byte grams
-are significantly more frequent in toxic documents, the other words of ordinary documents, chosen greedily by
-what each adds (a contrastive cover).  A text is compressed in windows of ``WINDOW`` words with both; how much
-shorter the toxic dictionary makes each window gives a few numbers for the text, and a logistic curve fitted on
-training rows that the dictionaries haven't seen turns them into a calibrated score.
+Each class has a zstandard dictionary trained on its own text.  Toxic documents consist of ordinary words but for a
+few, so what a dictionary learns from is its class's distinctive text: the words most of whose byte grams are
+significantly more frequent in documents of the class than in those of the other.  Behind both stands the same base,
+trained on all ordinary windows, so that lengths differ by what tells the classes apart.  A text is compressed in
+windows of ``WINDOW`` words with both; how much shorter the toxic dictionary makes each window gives a few numbers for
+the text, and a logistic curve fitted on training rows that the dictionaries haven't seen turns them into a calibrated
+score.
 
 The fit uses a bounded sample of the labelled training rows: ``PER_CLASS`` rows of each class (smallest hash of
 the id) and at most ``SAMPLE_BYTES`` of text, in that order.  Scoring reads all rows and whole texts.
@@ -16,7 +18,6 @@ classes every score is the share of toxic training labels (0 without any).
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -32,8 +33,11 @@ PER_CLASS = 3000
 SAMPLE_BYTES = 32 << 20
 WINDOW = 8
 GRAM = 6
-DICTIONARY = 512
+#: Bytes of a class's own dictionary and of the base.
+DICTIONARY = 768
 BASE = 16384
+#: The three start offsets 1, 4, 8 of the format.
+OFFSETS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 LEVEL = 6
 SIGNIFICANT = 5.0
 
@@ -51,46 +55,43 @@ def _grams(word: bytes) -> set[bytes]:
     return {word[i : i + GRAM] for i in range(len(word) - GRAM + 1)}
 
 
-def cover(own: list[bytes], other: list[bytes], size: int) -> bytes:
-    """Words of ``own`` texts that add most to the grams typical of them; the best stands last."""
-    words: set[bytes] = set()
+def typical(own: list[bytes], other: list[bytes]) -> set[bytes]:
+    """Byte grams that significantly more texts of ``own`` hold than of ``other``."""
 
-    def frequency(texts: list[bytes], into: set[bytes] | None) -> Counter:
+    def frequency(texts: list[bytes]) -> Counter:
         n: Counter = Counter()
         for t in texts:
-            w = _words(t)
-            n.update(set().union(*map(_grams, w)) if w else ())
-            if into is not None:
-                into |= w
+            n.update(set().union(*map(_grams, _words(t))))
         return n
 
-    a, b = frequency(own, words), frequency(other, None)
-    gain = {}
+    a, b, out = frequency(own), frequency(other), set()
     for g, n in a.items():
         p, q = n / len(own), (b[g] + 1) / (len(other) + 1)
         mean = (n + b[g] + 1) / (len(own) + len(other) + 1)
         if p > 2 * q and (p - q) / np.sqrt(mean * (1 - mean) * (1 / len(own) + 1 / len(other)) + 1e-12) > SIGNIFICANT:
-            gain[g] = p * float(np.log(p / q))
-
-    def worth(w: bytes) -> float:
-        return sum(gain.get(g, 0.0) for g in _grams(w)) / len(w)
-
-    heap = [(-v, w) for w in words if (v := worth(w)) > 0]
-    heapq.heapify(heap)
-    out, n = [], 0
-    while heap and n < size:
-        _, w = heapq.heappop(heap)
-        v = worth(w)
-        if v <= 0:
-            continue
-        if heap and -v > heap[0][0]:
-            heapq.heappush(heap, (-v, w))
-            continue
-        out.append(w.strip(b" "))
-        n += len(w)
-        for g in _grams(w):
-            gain.pop(g, None)
-    return b" ".join([b"", *reversed(out), b""])
+            out.add(g)
+    return out
+
+
+def distinctive(own: list[bytes], other: list[bytes]) -> list[bytes]:
+    """Of each text of ``own`` its distinct words at least half of whose grams are typical."""
+    grams, out = typical(own, other), []
+    for t in own if grams else []:
+        if words := sorted(w for w in _words(t) if (g := _grams(w)) and 2 * len(g & grams) >= len(g)):
+            out.append(b"".join(words))
+    return out
+
+
+def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """The content of a zstandard dictionary trained on the samples; too few of them are the dictionary themselves."""
+    if not samples:
+        return b""
+    try:
+        whole = zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(dict.fromkeys(samples))[:size]
+    # entropy tables end with the three start offsets; the content follows
+    return whole.partition(OFFSETS)[2] or whole
 
 
 class Model:
@@ -104,13 +105,9 @@ class Model:
         # two of three rows for the dictionaries, the third for the curve
         fit = lambda rows: [r for i, r in enumerate(rows) if i % 3]
         rest = lambda rows: rows[::3]
-        ordinary = [w for t in fit(plain) for w in windows(t)]
-        try:
-            base = zstandard.train_dictionary(BASE, ordinary, k=64, d=8).as_bytes()
-        except zstandard.ZstdError:  # too little text to choose from
-            base = b" ".join(ordinary)[:BASE]
-        self.toxic = base + cover(fit(toxic), fit(plain), DICTIONARY)
-        self.plain = base + cover(fit(plain), fit(toxic), DICTIONARY)
+        base = trained([w for t in fit(plain) for w in windows(t)], BASE, 64, 8)
+        self.toxic = trained(distinctive(fit(toxic), fit(plain)), DICTIONARY, 32, 8) + base
+        self.plain = trained(distinctive(fit(plain), fit(toxic)), DICTIONARY, 32, 8) + base
         held = [rest(toxic), rest(plain)]
         x = self.measure([t for rows in held for t in rows])
         y = np.concatenate([np.ones(len(held[0])), np.zeros(len(held[1]))])

@@ -569,16 +569,47 @@ def test_toxicity_held_out(spark):
     assert len(right) > 100 and sum(right) / len(right) > 0.9
 
 
-def test_base_learns_from_all_sampled_windows(monkeypatch):
-    seen = []
+def test_dictionaries_learn_from_their_class_alone(monkeypatch):
+    """zstandard trains each class's dictionary on that class's words, and the base on all ordinary windows."""
+    seen, train = [], toxicity.zstandard.train_dictionary
 
-    def record(size, samples, **_):
-        seen.append(len(samples))
-        raise toxicity.zstandard.ZstdError
+    def record(size, samples, **options):
+        seen.append((size, samples))
+        return train(size, samples, **options)
 
     monkeypatch.setattr(toxicity.zstandard, "train_dictionary", record)
-    toxicity.Model([b"grobian varlet"] * 6, [b"a bb " * 144_000] * 6, 0.1)
-    assert seen == [4 * 36_000]
+    rng = random.Random(9)
+    syllables = ["tion", "er", "the", "and", "ing", "est", "wh", "ou"]
+    plain = [" ".join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(400)).encode() for _ in range(60)]
+    toxic = [t + b" grobian varlet knavish" for t in plain[:30]]
+    model = toxicity.Model(toxic, plain[30:], 0.1)
+    sizes = {size: samples for size, samples in seen}
+    assert set(sizes) == {toxicity.BASE, toxicity.DICTIONARY}
+    assert len(sizes[toxicity.BASE]) == 20 * 50
+    assert {w for s in sizes[toxicity.DICTIONARY] for w in s.split()} == {b"grobian", b"varlet", b"knavish"}
+    assert all(w in model.toxic and w not in model.plain for w in (b"grobian", b"varlet", b"knavish"))
+
+
+def test_toxicity_scores_are_lengths_on_a_curve():
+    """The numbers and the score of a text, once more from zstandard alone."""
+    import zstandard as z
+
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice(["tion", "er", "the", "and", "ing"]) for _ in range(2))
+    plain = [" ".join(word() for _ in range(120)).encode() for _ in range(60)]
+    toxic = [b" ".join([*t.split()[:60], b"Grobian varlet", *t.split()[60:]]) for t in plain[:30]]
+    model = toxicity.Model(toxic, plain[30:], 0.2)
+    options = z.ZstdCompressionParameters.from_level(toxicity.LEVEL, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    press = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=options) for d in (model.plain, model.toxic)]
+    for text in [*toxic[:3], *plain[-3:], b"", b"one  Two\nthree"]:
+        words = text.lower().split()
+        parts = [b" ".join(words[i : i + toxicity.WINDOW]) for i in range(0, len(words), toxicity.WINDOW)] or [b""]
+        gain = sorted(len(press[0].compress(p)) - len(press[1].compress(p)) for p in parts)
+        share = lambda f: sum(f(g) for g in gain) / len(gain)
+        x = [share(float), gain[-1], sum(gain[-3:]) / len(gain[-3:]), share(lambda g: max(g - 1, 0)), share(lambda g: max(g - 2, 0)), *(share(lambda g, k=k: g >= k) for k in (1, 2, 3, 4)), math.log(len(gain))]
+        z_ = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale, strict=True)]
+        sum_ = sum(c * v for c, v in zip(model.coef, [*z_, *(v * v for v in z_), 1.0], strict=True))
+        assert model.score([text])[0] == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, sum_)))), abs=1e-9)
 
 
 def test_toxicity_awkward(spark):
