@@ -6,10 +6,16 @@ sorted over all partitions, and a pair's place is the new rank.  A suffix whose
 rounds work on repeated stretches alone and end when the longest is passed.
 
 Suffixes of equal rank are an interval of the suffix array whose common prefix has at least 2**k lines.  The first
-suffix of an interval, by id and line, is the original; the others start later copies of 2**k lines.  Over all
-rounds these stretches overlap and join to the maximal repeated runs.  Lines of later copies are deleted, if
-the run has ``MIN_LINES`` lines or the line has ``min_chars`` characters (``MIN_CHARS`` if not given; with 1 no
-later copy of a line that isn't blank stays).
+suffix of an interval, by id and line, is the original; the others start later copies.  How long a later copy is, its
+longest common prefix with a suffix before it, is searched between the last round that has it as a copy and the next:
+n lines, 2**k <= n <= 2**(k+1), are alike if the first and the last 2**k of them are, so the ranks of round k at two
+places tell, and all suffixes of an interval are searched side by side, one bit of the length at a time.  Of an
+interval only the first suffix of each interval of the next round takes part: it stands for the others.
+
+A later copy that isn't the tail of one that starts a line before is a maximal repeated run: it can't be extended to
+either side.  Its lines are deleted if together they have ``min_chars`` characters (``MIN_CHARS`` if not given; with
+1 no later copy of a line that isn't blank stays).  A copy may overlap its own original, as in ``a a a``: the
+second and third line are a later copy of the first and second, and the first alone stays.
 
 Blank lines (empty or spaces) are never deleted and end a run.  Null texts stay null; empty texts stay.  Rows
 alike in id and text count as one document and keep the same lines; rows that share an id alone are ordered by
@@ -23,8 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_LINES = 2
-MIN_CHARS = 100
+MIN_CHARS = 30
 NO_ID = -(1 << 63)
 DOC = ["d", "t"]
 #: Names that a table's own columns don't have.
@@ -36,23 +41,27 @@ def key_columns(id_col: str, text_col: str) -> dict[str, Column]:
     return {"d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "t": F.xxhash64(text_col)}
 
 
-def repeated_lines(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``d, t, seq, rank, long``: lines that occur more than once, with their ids as first ranks."""
+def place() -> Column:
+    """What a suffix is known and ordered by."""
+    return F.struct(*DOC, "seq")
+
+
+def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``d, t, seq, rank, size``: lines that occur more than once, with their ids as first ranks and their lengths."""
     lines = docs.select(*DOC, F.posexplode(F.split(text_col, "\n")).alias("seq", "line")).filter(F.trim("line") != "")
-    lines = C.materialise(lines.select(*DOC, "seq", F.xxhash64("line").alias("rank"), (F.length("line") >= min_chars).alias("long")), "lines")
+    lines = C.materialise(lines.select(*DOC, "seq", F.xxhash64("line").alias("rank"), F.length("line").alias("size")), "lines")
     # a table of its own: the join may then split a line that has very many copies
     shared = C.materialise(lines.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"), "shared")
-    return C.materialise(lines.join(shared, "rank", "left_semi").select(*DOC, "seq", "rank", "long").dropDuplicates([*DOC, "seq"]), "level0")
+    return C.materialise(lines.join(shared, "rank", "left_semi").select(*DOC, "seq", "rank", "size").dropDuplicates([*DOC, "seq"]), "repeated")
 
 
-def later_copies(level: DataFrame, lines: int) -> DataFrame:
-    """``d, t, seq, to``: the stretches of an interval of the suffix array, but for the first.
+def flagged(level: DataFrame, k: int) -> DataFrame:
+    """``d, t, seq, rank, later``: whether a suffix isn't the first of its interval.
 
     The firsts are a table of their own, so that the join may split a line that has very many copies.
     """
-    place = F.struct(*DOC, "seq")
-    first = C.materialise(level.groupBy("rank").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), f"first{lines}")
-    return level.join(first, "rank").filter(place > F.col("first")).select(*DOC, "seq", (F.col("seq") + lines).alias("to"))
+    first = C.materialise(level.groupBy("rank").agg(F.min(place()).alias("first")), f"first{k}")
+    return C.materialise(level.join(first, "rank").select(*DOC, "seq", "rank", (place() > F.col("first")).alias("later")), f"level{k}")
 
 
 def doubled(level: DataFrame, step: int, k: int) -> DataFrame:
@@ -63,28 +72,72 @@ def doubled(level: DataFrame, step: int, k: int) -> DataFrame:
     n = C.partitions(level.sparkSession)
     # sorted over all partitions, ids given in order are ranks
     ranked = shared.repartitionByRange(n, "rank", "next").sortWithinPartitions("rank", "next").withColumn("new", F.monotonically_increasing_id())
-    return C.materialise(pairs.join(C.materialise(ranked, f"ranks{k}"), ["rank", "next"]).select(*DOC, "seq", F.col("new").alias("rank")), f"level{k}")
+    return C.materialise(pairs.join(C.materialise(ranked, f"ranks{k}"), ["rank", "next"]).select(*DOC, "seq", F.col("new").alias("rank")), f"doubled{k}")
+
+
+def _longest(levels: list[DataFrame]) -> DataFrame:
+    """``d, t, seq, len``: every later copy with the lines that it has in common with the suffix before it that has most."""
+    copies = [level.filter("later").select(*DOC, "seq") for level in levels]
+    beyond = [*copies[1:], copies[-1].limit(0)]
+    found = copies[0].join(beyond[0], [*DOC, "seq"], "left_anti").withColumn("len", F.lit(1))
+    if len(levels) == 1:
+        return found
+    members = None
+    for k, level in enumerate(levels[1:], 1):
+        own = level.join(beyond[k], [*DOC, "seq"], "left_anti")
+        own = own.join(own.filter("later").select("rank").distinct(), "rank", "left_semi")
+        own = own.select(F.lit(k).alias("k"), *DOC, "seq", "rank", "later", F.lit(1 << k).alias("len"))
+        members = own if members is None else members.unionByName(own)
+    ranks = None
+    for k, level in enumerate(levels[1:], 1):
+        own = level.select(F.lit(k).alias("k"), *DOC, F.col("seq").alias("at"), F.col("rank").alias("last"))
+        ranks = own if ranks is None else ranks.unionByName(own)
+    members = C.materialise(members, "members")
+    for j in reversed(range(len(levels) - 1)):
+        tried = members.filter(F.col("k") > j)
+        wanted = tried.filter("later").select("k", "rank", (F.col("len") + (1 << j)).alias("try")).distinct()
+        # the last 2**k lines of so many; a suffix that has none there is alone
+        at = (F.col("seq") + F.col("try") - F.expr("shiftleft(1, k)")).alias("at")
+        met = tried.join(wanted, ["k", "rank"]).select("k", "rank", "try", *DOC, "seq", (F.col("later") & (F.col("try") == F.col("len") + (1 << j))).alias("own"), at)
+        met = C.materialise(met.join(ranks, ["k", *DOC, "at"]).drop("at"), f"tried{j}")
+        alike = ["k", "rank", "try", "last"]
+        first = C.materialise(met.groupBy(*alike).agg(F.min(place()).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), f"firsts{j}")
+        longer = met.filter("own").join(first, alike).filter(place() > F.col("first")).select("k", *DOC, "seq", F.lit(1 << j).alias("more"))
+        members = C.materialise(members.join(longer, ["k", *DOC, "seq"], "left").withColumn("len", F.col("len") + F.coalesce("more", F.lit(0))).drop("more"), f"members{j}")
+    return found.unionByName(members.filter("later").select(*DOC, "seq", "len"))
+
+
+def maximal_runs(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``d, t, first, last, chars``: later copies that can't be extended to either side, the last exclusive."""
+    lines = repeated_lines(docs, text_col)
+    level, levels = lines.select(*DOC, "seq", "rank"), []
+    while not level.isEmpty():
+        k = len(levels)
+        levels.append(flagged(level, k))
+        level = doubled(levels[k], 1 << k, k + 1)
+    if not levels:
+        return lines.select(*DOC, F.col("seq").alias("first"), F.col("seq").alias("last"), F.lit(0).cast("long").alias("chars")).limit(0)
+    found = C.materialise(_longest(levels), "longest")
+    order = Window.partitionBy(*DOC).orderBy("seq")
+    before = (F.lag("seq").over(order) == F.col("seq") - 1) & (F.lag("len").over(order) > F.col("len"))
+    found = found.withColumn("tail", F.coalesce(before, F.lit(False))).filter("not tail")
+    # characters up to each repeated line; a run has no other lines
+    so_far = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    lines = C.materialise(lines.join(found.select(*DOC).distinct(), DOC, "left_semi").select(*DOC, "seq", "size", so_far.alias("upto")), "upto")
+    begin = lines.select(*DOC, "seq", (F.col("upto") - F.col("size")).alias("before"))
+    end = lines.select(*DOC, (F.col("seq") + 1).alias("last"), "upto")
+    run = found.withColumn("last", F.col("seq") + F.col("len")).join(begin, [*DOC, "seq"]).join(end, [*DOC, "last"])
+    return run.select(*DOC, F.col("seq").alias("first"), "last", (F.col("upto") - F.col("before")).alias("chars"))
 
 
 def runs(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``d, t, first, last``: maximal stretches of lines to delete, the last exclusive."""
-    level = repeated_lines(docs, text_col, min_chars)
-    found = later_copies(level.filter("long"), 1)
-    step, k = 1, 0
-    while True:
-        k += 1
-        level = doubled(level, step, k)
-        step *= 2
-        if level.isEmpty():
-            break
-        if step >= MIN_LINES:
-            found = found.unionByName(later_copies(level, step))
-    found = C.materialise(found.groupBy(*DOC, "seq").agg(F.max("to").alias("to")), "copies")
-    order = Window.partitionBy(*DOC).orderBy("seq")
-    reach = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = found.withColumn("reach", reach).withColumn("new", F.when(F.col("reach").isNull() | (F.col("seq") > F.col("reach")), 1).otherwise(0))
+    """``d, t, first, last``: stretches of lines to delete, the last exclusive: runs that are long enough, joined where they touch."""
+    found = C.materialise(maximal_runs(docs, text_col).filter(F.col("chars") >= min_chars), "runs")
+    order = Window.partitionBy(*DOC).orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.withColumn("reach", reach).withColumn("new", F.when(F.col("reach").isNull() | (F.col("first") > F.col("reach")), 1).otherwise(0))
     marked = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*DOC, "island").agg(F.min("seq").alias("first"), F.max("to").alias("last")).drop("island")
+    return marked.groupBy(*DOC, "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:

@@ -61,19 +61,28 @@ def op5_every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+# stretches of every length that occur again; of a later copy the longest counts
 _OP5 = """
-WITH l AS (SELECT doc_id, i, ls[i] AS line, ls[i + 1] AS next FROM (
+WITH RECURSIVE l AS (SELECT doc_id, i, ls[i] AS line FROM (
            SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (
            SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
-one AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS n FROM l WHERE trim(line) <> '' AND length(line) >= 100),
-two AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) AS n FROM l WHERE trim(line) <> '' AND trim(next) <> ''),
-gone AS (SELECT doc_id, i FROM one WHERE n > 1 UNION SELECT doc_id, i FROM two WHERE n > 1 UNION SELECT doc_id, i + 1 FROM two WHERE n > 1),
-n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (first) AS r FROM (
+full_ AS (SELECT doc_id, i, line, md5(line) AS h, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l WHERE trim(line) <> ''),
+r AS (SELECT 1 AS n, doc_id, i, h FROM (SELECT doc_id, i, h, count(*) OVER (PARTITION BY h) AS c FROM full_) WHERE c > 1
+      UNION ALL
+      SELECT n, doc_id, i, h FROM (
+          SELECT n, doc_id, i, h, count(*) OVER (PARTITION BY h) AS c FROM (
+              SELECT r.n + 1 AS n, r.doc_id, r.i, md5(r.h || f.h) AS h FROM r JOIN full_ f ON f.doc_id = r.doc_id AND f.i = r.i + r.n)) WHERE c > 1),
+longest AS (SELECT doc_id, i, max(n) AS n FROM (
+            SELECT n, doc_id, i, row_number() OVER (PARTITION BY n, h ORDER BY doc_id, i) AS k FROM r) WHERE k > 1 GROUP BY doc_id, i),
+run AS (SELECT x.doc_id, x.i, x.n FROM longest x JOIN full_ a ON a.doc_id = x.doc_id AND a.i = x.i
+        JOIN full_ b ON b.doc_id = x.doc_id AND b.i = x.i + x.n - 1 WHERE b.upto - a.upto + length(a.line) >= 30),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM run),
+m AS (SELECT doc_id, count(*) AS n, count(*) FILTER (first) AS r FROM (
       SELECT doc_id, i - lag(i, 1, -1) OVER (PARTITION BY doc_id ORDER BY i) <> 1 AS first FROM gone) GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
 total AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
-SELECT d.doc_id, coalesce(total.n, 0) AS n_lines, coalesce(n.n, 0) AS n_deleted, coalesce(n.r, 0) AS n_runs, sha256(coalesce(t, '')) AS kept_sha256
-FROM documents d LEFT JOIN total ON total.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+SELECT d.doc_id, coalesce(total.n, 0) AS n_lines, coalesce(m.n, 0) AS n_deleted, coalesce(m.r, 0) AS n_runs, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN total ON total.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
 # a run of two lines repeats only if each of its lines does
 _OP5_EVERY = """

@@ -290,25 +290,31 @@ def test_token_files_round_trip(spark, tmp_path):
 
 
 # ------------------------------------------------------------------------------------------ line dedup
-def brute_lines(rows):
-    """Keeps by (id, line): copies of runs of two lines, or of one long line, that occur earlier."""
-    seen1, seen2, gone, out = set(), set(), set(), {}
-    ordered = sorted(rows)
-    for i, t in ordered:
-        ls = (t or "").split("\n")
-        blank = [not x.strip(" ") for x in ls]
-        for k, x in enumerate(ls):
-            if not blank[k]:
-                if x in seen1 and len(x) >= line_runs.MIN_CHARS:
-                    gone.add((i, k))
-                seen1.add(x)
-                if k + 1 < len(ls) and not blank[k + 1]:
-                    pair = (x, ls[k + 1])
-                    if pair in seen2:
-                        gone |= {(i, k), (i, k + 1)}
-                    seen2.add(pair)
-        out[i] = ls
-    return {i: "\n".join(x for k, x in enumerate(ls) if (i, k) not in gone) for i, ls in out.items()}
+def brute_lines(rows, least=None):
+    """Keeps by id: every later copy is extended as far as some earlier stretch goes, and goes if it is long enough."""
+    least = line_runs.MIN_CHARS if least is None else least
+    lines = {i: (t or "").split("\n") for i, t in rows}
+    at = collections.defaultdict(list)
+    for i in sorted(lines):
+        for k, x in enumerate(lines[i]):
+            if x.strip(" "):
+                at[x].append((i, k))
+    gone = set()
+    for x in at:
+        for n, (i, k) in enumerate(at[x]):
+            top = 0
+            for j, q in at[x][:n]:
+                m = 0
+                while k + m < len(lines[i]) and q + m < len(lines[j]) and lines[i][k + m] == lines[j][q + m] and lines[i][k + m].strip(" "):
+                    m += 1
+                top = max(top, m)
+            if sum(map(len, lines[i][k : k + top])) >= least:
+                gone |= {(i, k + m) for m in range(top)}
+    return {i: "\n".join(x for k, x in enumerate(ls) if (i, k) not in gone) for i, ls in lines.items()}
+
+
+def lines_kept(spark, rows, **options):
+    return {r.doc_id: r.kept for r in line_runs.dedup(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
 
 
 def test_line_runs(spark):
@@ -323,6 +329,29 @@ def test_line_runs(spark):
     assert (got[61].n_deleted, got[61].n_runs, got[61].kept) == (37, 1, "")
 
 
+def test_the_whole_run_decides(spark, monkeypatch):
+    """Neither lines nor pairs of lines are long enough, runs of four and more are; without the later rounds none goes."""
+    short = [f"l{k:04d}" for k in range(40)]
+    rows = [(1, "\n".join(short)), (2, "\n".join(["x", *short[3:14], "y", *short[20:24], "z"])), (3, "\n".join(short[30:40])), (4, "\n".join([*short[3:9], *short[20:26]]))]
+    got, want = lines_kept(spark, rows), brute_lines(rows)
+    assert got == want and got[1] == rows[0][1] and got[2] == "\n".join(["x", "y", *short[20:24], "z"]) and got[3] == got[4] == ""
+    monkeypatch.setattr(line_runs, "doubled", lambda level, step, k: level.drop("later").limit(0))
+    assert lines_kept(spark, rows) == dict(rows)
+
+
+def test_maximal_runs_have_their_whole_length(spark):
+    """Lengths between the powers of two, copies at the ends of texts, and lines that repeat next to each other."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(40):
+        base = [f"b{k}" for k in range(i % 4 * 40, i % 4 * 40 + 40)]
+        a = rng.randrange(30)
+        rows.append((i, "\n".join([f"own{i}"] * (i % 2) + base[a : a + rng.randrange(1, 40)] + ["u%d" % rng.randrange(3)] * rng.randrange(3))))
+    rows += [(90, "\n".join("a" * 12 for _ in range(9))), (91, "\n".join("ab" * 8 if k % 2 else "cd" * 8 for k in range(21)))]
+    for least in (1, 9, 30, 61):
+        assert lines_kept(spark, rows, min_chars=least) == brute_lines(rows, least)
+
+
 def test_no_later_copy_of_a_line_stays(spark):
     rows = [(1, "a\nShort line.\n\nb\nShort line."), (2, "Short line.\nc\n \na"), (3, "d\n\nShort line."), (4, "Short line.")]
     got = {r.doc_id: (r.kept, r.n_deleted, r.n_runs) for r in line_runs.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=1).collect()}
