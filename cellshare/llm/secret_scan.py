@@ -7,8 +7,8 @@ counting, and only candidate rows are verified with the expression; a rule witho
 rows.
 
 Positions come without Python: the lengths of what lies between matches and of the matches themselves, summed
-in order, are code points.  A row is known by the hash of its id and text; rows alike in both have the same
-result, and a hash that two rows share only adds a candidate.
+in order, are code points.  All rules are verified in one pass, each on the rows that are its candidates.  A row is
+known by a 128-bit hash of its id and text; rows alike in both have the same result.
 
 Null and empty texts have no matches; every row of the table has a result, null ids and repeated ids included.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BROADCAST_ROWS = 200_000
+KEY = ["k0", "k1"]
 MAX_STRINGS = 256
 
 
@@ -138,8 +139,9 @@ def trigram_query(pattern: str) -> Query:
 
 
 # --------------------------------------------------------------------------------------------- index
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """``k0, k1``: two hashes of 64 bits."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("k0"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("k1")]
 
 
 def _quoted(s: str) -> str:
@@ -147,61 +149,56 @@ def _quoted(s: str) -> str:
 
 
 def postings(docs: DataFrame, trigrams: set[str], text_col: str = "text") -> DataFrame:
-    """``trigram, key``: the rows that hold each of the trigrams."""
+    """``trigram, k0, k1``: the rows that hold each of the trigrams."""
     by: dict[str, list[str]] = {}
     for t in sorted(trigrams):
         by.setdefault(t[0], []).append(t[1:])
     one = "|".join(f"{_quoted(a)}(?:{'|'.join(map(_quoted, rest))})" for a, rest in by.items())
     found = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(f"(?s)(?=({one}))"), F.lit(1)))
-    return docs.select("key", F.explode(found).alias("trigram")).select("trigram", "key")
+    return docs.select(*KEY, F.explode(found).alias("trigram")).select("trigram", *KEY)
 
 
 def candidates(index: DataFrame, rules: list[tuple[Rule, Query]]) -> DataFrame:
-    """``key, kind``: rows that hold all trigrams of one conjunction of a rule; rows that share a key count each once."""
+    """``k0, k1, kinds``: rows that hold all trigrams of one conjunction of a rule; rows that share a key count each once."""
     rows = [(t, r.kind, n, len(q)) for r, query in rules for n, q in enumerate(query) for t in q]
     # one row for each trigram of each rule: as small as the rules
     terms = index.sparkSession.createDataFrame(rows, "trigram string, kind string, part int, size int")
-    held = index.join(F.broadcast(terms), "trigram").groupBy("key", "kind", "part", "size").agg(F.count_distinct("trigram").alias("n"))
-    return held.filter("n = size").select("key", "kind").distinct()
+    held = index.join(F.broadcast(terms), "trigram").groupBy(*KEY, "kind", "part", "size").agg(F.count_distinct("trigram").alias("n"))
+    return held.filter("n = size").groupBy(*KEY).agg(F.collect_set("kind").alias("kinds"))
 
 
 # ------------------------------------------------------------------------------------------- verify
-def _pieces(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``key, kind, i, gap, hit``: each match and the length of what lies before it."""
-    pattern = F.lit(rule.pattern)
-    hits = F.regexp_extract_all("text", pattern, F.lit(0))
+def _pieces(rule: Rule, asked: Column | None) -> Column:
+    """Each match of a text and the length of what lies before it; none where ``asked`` doesn't hold."""
+    hits = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))
     gaps = F.transform(F.split("text", rule.pattern, -1), lambda x: F.length(x))
-    own = docs.filter(F.col("text").rlike(rule.pattern if rule.kind != "hex" else f"[0-9a-f]{{{rule.least},}}"))
-    own = own.select("key", F.posexplode(F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"))).alias("i", "m"))
-    return own.select("key", F.lit(rule.kind).alias("kind"), "i", F.col("m.gap").alias("gap"), F.col("m.hit").alias("hit"))
+    each = F.transform(F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap")), lambda m, i: F.struct(F.lit(rule.kind).alias("kind"), i.alias("i"), m["gap"].alias("gap"), m["hit"].alias("hit")))
+    found = F.col("text").rlike(rule.pattern if rule.kind != "hex" else f"[0-9a-f]{{{rule.least},}}")
+    return F.when(found if asked is None else asked & found, each).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:int,hit:string>>"))
 
 
 def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key, kind, start, end``: all matches that count, in code points, the end exclusive."""
-    own = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    """``k0, k1, kind, start, end``: all matches that count, in code points, the end exclusive."""
+    own = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     queries = [(r, trigram_query(r.pattern)) for r in rules]
     indexed = [(r, q) for r, q in queries if all(q)]
-    parts = [_pieces(own, r) for r, q in queries if not all(q)]
     if indexed:
         index = C.materialise(postings(own, set().union(*(t for _, q in indexed for t in q))), "postings")
         found = C.materialise(candidates(index, indexed), "candidates")
-        few = found.count() <= BROADCAST_ROWS
-        for r, _ in indexed:
-            keys = found.filter(F.col("kind") == r.kind).select("key")
-            parts.append(_pieces(own.join(F.broadcast(keys) if few else keys, "key", "left_semi"), r))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        # else the texts move, once for all rules
+        own = own.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, KEY, "left")
+    parts = [_pieces(r, F.array_contains("kinds", r.kind) if all(q) else None) for r, q in queries]
+    every = own.select(*KEY, F.explode(F.concat(*parts)).alias("m")).select(*KEY, "m.kind", "m.i", "m.gap", "m.hit")
     # rows alike in id and text give the same pieces
-    every = every.dropDuplicates(["key", "kind", "i"])
-    order = Window.partitionBy("key", "kind").orderBy("i")
+    every = every.dropDuplicates([*KEY, "kind", "i"])
+    order = Window.partitionBy(*KEY, "kind").orderBy("i")
     placed = every.withColumn("step", F.col("gap") + F.coalesce(F.lag(F.length("hit")).over(order), F.lit(0)))
     placed = placed.withColumn("start", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     counts = F.lit(False)
     for r in rules:
         size = F.length(F.regexp_extract("hit", r.pattern, r.group)) if r.group else F.length("hit")
         counts = counts | ((F.col("kind") == r.kind) & (size >= r.least))
-    return placed.filter(counts).select("key", "kind", "start", (F.col("start") + F.length("hit")).alias("end"))
+    return placed.filter(counts).select(*KEY, "kind", "start", (F.col("start") + F.length("hit")).alias("end"))
 
 
 def digest(docs: DataFrame, found: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,8 +207,8 @@ def digest(docs: DataFrame, found: DataFrame, rules: tuple[Rule, ...] = RULES, i
     one = F.struct("start", place[F.col("kind")].alias("place"), F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")).alias("s"))
     listed = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["s"]), ",")
     base = [r.kind for r in rules[:3]]
-    rows = found.groupBy("key").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in base], F.collect_list(F.when(F.col("kind").isin(base), one)).alias("base"), F.collect_list(one).alias("all"))
-    own = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"))
-    out = own.join(rows, "key", "left")
+    rows = found.groupBy(*KEY).agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in base], F.collect_list(F.when(F.col("kind").isin(base), one)).alias("base"), F.collect_list(one).alias("all"))
+    own = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col))
+    out = own.join(rows, KEY, "left")
     text = lambda c: F.coalesce(listed(c), F.lit(""))
     return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in base], F.sha2(text("base"), 256).alias("base_sha256"), text("all").alias("spans"))
