@@ -7,8 +7,8 @@ closest to the capacity, and backtracking gives the counts of each length.  That
 counts last.  A piece then finds its sequence from its rank within its length: ranks come from the piece's
 task and a running sum over tasks, so no length's pieces meet in one place.
 
-Null and empty texts have the end id alone.  Rows that share an id are packed as texts of their own.  Empty
-input gives no rows.
+Null and empty texts have the end id alone.  Rows that share an id, and rows with a null id, are packed as texts of
+their own.  A text of any length is cut, whole, into pieces of the capacity.  Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -115,7 +115,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAPACITY
     where = spark.createDataFrame(rows, "length int, lo long, hi long, first long, each long, at long")
     running = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
-    rank = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("slot") + F.col("base"))
+    # as many rows as tasks and lengths together: never broadcast
+    rank = pieces.join(base.hint("shuffle_hash"), ["part", "length"]).withColumn("rank", F.col("slot") + F.col("base"))
     placed = rank.join(F.broadcast(where), (rank.length == where.length) & (rank.rank >= where.lo) & (rank.rank < where.hi)).drop(where.length)
     nth = F.col("rank") - F.col("lo")
     return placed.select(
