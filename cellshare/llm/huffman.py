@@ -30,6 +30,8 @@ from . import common as C
 STEP = 1024
 CHUNK = 2_000_000
 TAIL = 8
+#: Bytes of payload from which bit offsets take 64 bits.
+WIDE = 1 << 29
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -100,12 +102,14 @@ class Table:
         raw = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint32)
         word = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
         out = np.empty((STEP, len(checkpoints)), np.uint32)
-        at, last, down = checkpoints.astype(np.uint32), np.uint32(len(word) - 1), np.uint32(32 - self.bits)
-        three, seven, five, low = np.uint32(3), np.uint32(7), self.entry.dtype.type(5), self.entry.dtype.type(31)
+        # bit offsets of a chunk of over half a gigabyte, as one very long text makes it, need 64 bits
+        place = np.uint32 if len(payload) < WIDE else np.uint64
+        at, last, down = checkpoints.astype(place), place(len(word) - 1), np.uint32(32 - self.bits)
+        three, seven, five, low = place(3), place(7), self.entry.dtype.type(5), self.entry.dtype.type(31)
         for k in range(min(STEP, n)):
-            entry = self.entry[word[np.minimum(at >> three, last)] << (at & seven) >> down]
+            entry = self.entry[word[np.minimum(at >> three, last)] << (at & seven).astype(np.uint32, copy=False) >> down]
             out[k] = entry >> five
-            at += (entry & low).astype(np.uint32)
+            at += (entry & low).astype(place)
         return out.T.reshape(-1)[:n] if n >= STEP else out[:n, 0]
 
 
