@@ -4,8 +4,9 @@ Each byte is eight binary decisions; a decision's contexts are the bits of the b
 0, 1, ... ``DEPTH`` bytes (a text starts after a run of zero bytes, letters A-Z in lower case).  Every context node
 holds counts and their Krichevsky-Trofimov block probability; a node's weighted probability is half that and half
 the product of its children's.  The predictive probability mixes the nodes' estimates along the path with the
-posterior weights that follow, and stops where training never went.  The sum of logarithms over a text is its
-score, and the code length per byte.
+posterior weights that follow, and stops where training never went.  A text ends with the byte 255, which UTF-8 never
+has, so that the probabilities of all texts add up to one.  The sum of logarithms over a text and its end is its
+score, and gives the code length per byte (of the text; null where it is empty).
 
 All of it is counts, so it distributes:
 
@@ -19,7 +20,7 @@ All of it is counts, so it distributes:
 The word model for comparison goes the same way: distinct words and their training counts to buckets, totals
 back.  Nothing that grows with the corpus is broadcast or collected.
 
-Null and empty texts have the end token alone and the score 0.  Rows with a null id are scored, belong to no fold
+Null and empty texts have the end token and the end byte alone.  Rows with a null id are scored, belong to no fold
 and aren't learned from.  Rows that share an id are learned from and scored each for itself.  Without training
 texts every decision has probability one half.
 """
@@ -41,6 +42,7 @@ CHUNK_BYTES = 1 << 20
 BUCKETS_PER_PARTITION = 2
 _MULTIPLIERS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 END = np.uint64(0x9D39247E33776D41)  # the end token's place among the word hashes
+END_BYTE = 255
 
 
 # ------------------------------------------------------------------------------------------- estimates
@@ -173,6 +175,11 @@ def _strings(data: np.ndarray, offs: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def _ended(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with their end bytes."""
+    return np.insert(data, offs[1:], END_BYTE), offs + np.arange(len(offs))
+
+
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First and last text, bytes (lower case) and offsets, about ``CHUNK_BYTES`` at a time."""
     data, offs = C.utf8(texts)
@@ -203,7 +210,8 @@ def _inventory(texts: pa.Array, learned: np.ndarray, depth: int):
     found: dict[str, tuple[list, list]] = {"gram": ([], []), "word": ([], [])}
     for a, b, data, offs in _chunks(texts):
         s, e, first = C.word_spans(data, offs)
-        for kind, values, mask in (("gram", _strings(data, offs, depth), np.repeat(learned[a:b], np.diff(offs))), ("word", C.word_hashes(data, s, e), np.repeat(learned[a:b], np.diff(first)))):
+        ended, ends = _ended(data, offs)
+        for kind, values, mask in (("gram", _strings(ended, ends, depth), np.repeat(learned[a:b], np.diff(ends))), ("word", C.word_hashes(data, s, e), np.repeat(learned[a:b], np.diff(first)))):
             k, c = _distinct(values, mask)
             found[kind][0].append(k)
             found[kind][1].append(c)
@@ -457,10 +465,9 @@ def _apply(depth: int, tokens: int, kinds: int):
         end = int(v[k.find(np.array([END]))[0]])
         for a, b, data, offs in _chunks(texts.column("text")):
             g, logs = model["gram"]
-            if len(data):
-                each = logs[g.find(_strings(data, offs, depth))].astype(np.float64)
-                run_ = np.concatenate([[0.0], np.cumsum(each)])
-                score[a:b] = run_[offs[1:]] - run_[offs[:-1]]
+            ended, ends = _ended(data, offs)
+            run_ = np.concatenate([[0.0], np.cumsum(logs[g.find(_strings(ended, ends, depth))].astype(np.float64))])
+            score[a:b] = run_[ends[1:]] - run_[ends[:-1]]
             s, e, first = C.word_spans(data, offs)
             c = v[k.find(C.word_hashes(data, s, e))] if len(s) else np.zeros(0, np.int64)
             run_ = np.concatenate([[0.0], np.cumsum(np.log10(c + 1.0) - base)])
@@ -474,7 +481,7 @@ def _apply(depth: int, tokens: int, kinds: int):
 
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes`` (log10)."""
+    """For every row ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes`` (log10), ``bits_per_byte``."""
     spark = C.ship(docs.sparkSession)
     n = C.partitions(spark)
     crc = F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % folds
@@ -492,4 +499,5 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH, id
     C.release(spark, flush=True)
     replies = C.grouped(held.filter("kind not in ('top')").select("bucket", "kind", "block", "keys", "counts"), "bucket", _answer(top, depth), _REPLY)
     texts = own.select("doc_id", "held_out", "text", "block")
-    return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_apply(depth, int(total[0]), int(total[1])), _SCORED)
+    scored = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_apply(depth, int(total[0]), int(total[1])), _SCORED)
+    return scored.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") / float(np.log10(2)) / F.col("n_bytes")))
