@@ -6,9 +6,11 @@ single longer text is a block of its own), so the memory of a Python worker does
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -34,6 +36,10 @@ _LONG_WORD = 64
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
+#: Seconds between two collections of garbage that free shuffle files.
+PAUSE = 2.0
+
+
 # --------------------------------------------------------------------------------------------- session
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable in the Python workers, once for each SparkContext; bound Arrow batches."""
@@ -54,14 +60,39 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset, a folder of our own is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder under ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs on one machine.
+
+    It lies in a folder of this application, which is removed when Python ends.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="cellshare_")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/cellshare_{uuid.uuid4().hex}"
+        held = sc._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            base = held.get()
+        elif sc.master.split("[")[0] == "local":
+            base = tempfile.mkdtemp(prefix="cellshare_")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(base)
+    own = f"{base}/cellshare_{sc.applicationId}"
+    if getattr(sc, "_cellshare_scratch", None) != own:
+        sc._cellshare_scratch = own
+        atexit.register(lambda: sc._jsc is not None and _remove(spark, own))
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a frame from ``materialise`` that nothing reads any more."""
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        _remove(df.sparkSession, path)
 
 
 def materialise(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
@@ -74,14 +105,18 @@ def materialise(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFram
 
 
 def release(spark: SparkSession, flush: bool = False) -> None:
-    """Let Spark drop the shuffle files of steps that nothing refers to any more.
+    """Let Spark drop the shuffle files of steps that nothing refers to any more; for small steps not each time.
 
     The listeners refer to the last query until there is another; ``flush`` runs a small one.
     """
+    sc = spark.sparkContext
     if flush:
         spark.range(1).collect()
+    elif time.monotonic() - getattr(sc, "_cellshare_released", 0.0) < PAUSE:
+        return
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    sc._jvm.System.gc()
+    sc._cellshare_released = time.monotonic()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -223,6 +258,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = best.select(F.col("node").alias("component"), F.col("component").alias("up"))
         new = materialise(best.join(jump, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component")), f"label{k}")
         changed = new.alias("n").join(label.alias("o"), "node").filter(F.col("n.component") != F.col("o.component")).limit(1).count()
+        discard(label)
         label = new
         if not changed:
             return label
