@@ -1,14 +1,15 @@
 """Substring dedup: super-k-mer partitioning of word windows.
 
-A window is ``width`` consecutive words of one text.  Its minimiser is the smallest hash of ``MINI``
-neighbouring words in it.  Consecutive windows with the same minimiser travel as one packed string (a slice
+A window is ``width`` consecutive words of one text.  Its minimiser is the first of its runs of ``MINI`` neighbouring
+words, ordered by length, longest first, and then by hash: short words are the common ones, and a minimiser that
+most texts have would gather their windows in one bucket.  Consecutive windows with the same minimiser travel as one packed string (a slice
 of the text) to the minimiser's bucket.  The bucket sorts the windows, so that equal ones stand together, and
 finds the smallest document that starts each.  A window that also starts in a smaller document is repeated;
 the words it covers are removed.
 
 A block first sorts its own windows: what a smaller document of the same block repeats is settled there, and
 only the smallest document's copy travels.  So a bucket gets a window once from each block at most, however many
-documents hold it.  Equality is that of a 64-bit window hash and a 64-bit minimiser together.
+documents hold it.  Equality is that of a 64-bit window hash and the minimiser (its length and 58 bits) together.
 
 Null and empty texts have no words and nothing is removed; a text shorter than a window keeps all words; a
 repeat inside one document alone is kept.  Rows that share an id count as one document for the order, and
@@ -34,9 +35,11 @@ _SENT = "bucket int, ids binary, texts binary, starts binary, counts binary, pac
 _NAMES = ["bucket", "ids", "texts", "starts", "counts", "packed"]
 
 
-def minimisers(h: np.ndarray, width: int) -> np.ndarray:
-    """Smallest hash of ``MINI`` neighbours in each run of ``width`` words."""
+def minimisers(h: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """The first of the runs of ``MINI`` words in each run of ``width``: ``size`` are the words' lengths, ``h`` their hashes."""
     low, span, want = C.rolling(h, MINI), 1, width - MINI + 1
+    length = sum(size[j : len(size) - MINI + 1 + j] for j in range(MINI))
+    low = (63 - np.minimum(length, 63)).astype(C.U64) << C.U64(58) | low >> C.U64(6)
     while span * 2 <= want:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
@@ -83,7 +86,7 @@ def _pack(width: int, buckets: int):
             at, doc = C.window_starts(first, width)
             if not len(at):
                 continue
-            keys, minis = C.rolling(h, width)[at], minimisers(h, width)[at]
+            keys, minis = C.rolling(h, width)[at], minimisers(h, e - s, width)[at]
             repeated = ids[doc] > _smallest(keys, minis, ids[doc])
             same = np.zeros(len(at), bool)
             same[1:] = doc[1:] == doc[:-1]
@@ -124,7 +127,7 @@ def _found(width: int):
             h = C.word_hashes(data, s, e)
             first = np.concatenate([[0], np.cumsum(n.astype(np.int64) + (width - 1))])
             at, piece = C.window_starts(first, width)
-            keys, minis = C.rolling(h, width)[at], minimisers(h, width)[at]
+            keys, minis = C.rolling(h, width)[at], minimisers(h, e - s, width)[at]
             repeated = own[piece] > _smallest(keys, minis, own[piece])
             same = np.zeros(len(at), bool)
             same[1:] = piece[1:] == piece[:-1]
