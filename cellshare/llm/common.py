@@ -89,10 +89,10 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the table of a frame from ``materialise`` that nothing reads any more."""
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        _remove(df.sparkSession, path)
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables of frames from ``materialise`` that nothing reads any more."""
+    for df in frames:
+        _remove(df.sparkSession, df._cellshare_path)
 
 
 def materialise(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
@@ -101,7 +101,9 @@ def materialise(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFram
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", codec).parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cellshare_path = path
+    return out
 
 
 def release(spark: SparkSession, flush: bool = False) -> None:

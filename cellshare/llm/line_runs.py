@@ -52,7 +52,9 @@ def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = C.materialise(lines.select(*DOC, "seq", F.xxhash64("line").alias("rank"), F.length("line").alias("size")), "lines")
     # a table of its own: the join may then split a line that has very many copies
     shared = C.materialise(lines.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"), "shared")
-    return C.materialise(lines.join(shared, "rank", "left_semi").select(*DOC, "seq", "rank", "size").dropDuplicates([*DOC, "seq"]), "repeated")
+    out = C.materialise(lines.join(shared, "rank", "left_semi").select(*DOC, "seq", "rank", "size").dropDuplicates([*DOC, "seq"]), "repeated")
+    C.discard(lines, shared)
+    return out
 
 
 def flagged(level: DataFrame, k: int) -> DataFrame:
@@ -61,7 +63,9 @@ def flagged(level: DataFrame, k: int) -> DataFrame:
     The firsts are a table of their own, so that the join may split a line that has very many copies.
     """
     first = C.materialise(level.groupBy("rank").agg(F.min(place()).alias("first")), f"first{k}")
-    return C.materialise(level.join(first, "rank").select(*DOC, "seq", "rank", (place() > F.col("first")).alias("later")), f"level{k}")
+    out = C.materialise(level.join(first, "rank").select(*DOC, "seq", "rank", (place() > F.col("first")).alias("later")), f"level{k}")
+    C.discard(first)
+    return out
 
 
 def doubled(level: DataFrame, step: int, k: int) -> DataFrame:
@@ -72,7 +76,10 @@ def doubled(level: DataFrame, step: int, k: int) -> DataFrame:
     n = C.partitions(level.sparkSession)
     # sorted over all partitions, ids given in order are ranks
     ranked = shared.repartitionByRange(n, "rank", "next").sortWithinPartitions("rank", "next").withColumn("new", F.monotonically_increasing_id())
-    return C.materialise(pairs.join(C.materialise(ranked, f"ranks{k}"), ["rank", "next"]).select(*DOC, "seq", F.col("new").alias("rank")), f"doubled{k}")
+    ranked = C.materialise(ranked, f"ranks{k}")
+    out = C.materialise(pairs.join(ranked, ["rank", "next"]).select(*DOC, "seq", F.col("new").alias("rank")), f"doubled{k}")
+    C.discard(pairs, ranked)
+    return out
 
 
 def _longest(levels: list[DataFrame]) -> DataFrame:
@@ -103,7 +110,8 @@ def _longest(levels: list[DataFrame]) -> DataFrame:
         alike = ["k", "rank", "try", "last"]
         first = C.materialise(met.groupBy(*alike).agg(F.min(place()).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), f"firsts{j}")
         longer = met.filter("own").join(first, alike).filter(place() > F.col("first")).select("k", *DOC, "seq", F.lit(1 << j).alias("more"))
-        members = C.materialise(members.join(longer, ["k", *DOC, "seq"], "left").withColumn("len", F.col("len") + F.coalesce("more", F.lit(0))).drop("more"), f"members{j}")
+        before, members = members, C.materialise(members.join(longer, ["k", *DOC, "seq"], "left").withColumn("len", F.col("len") + F.coalesce("more", F.lit(0))).drop("more"), f"members{j}")
+        C.discard(met, first, before)
     return found.unionByName(members.filter("later").select(*DOC, "seq", "len"))
 
 
@@ -114,16 +122,20 @@ def maximal_runs(docs: DataFrame, text_col: str = "text") -> DataFrame:
     while not level.isEmpty():
         k = len(levels)
         levels.append(flagged(level, k))
+        if k:
+            C.discard(level)
         level = doubled(levels[k], 1 << k, k + 1)
     if not levels:
         return lines.select(*DOC, F.col("seq").alias("first"), F.col("seq").alias("last"), F.lit(0).cast("long").alias("chars")).limit(0)
     found = C.materialise(_longest(levels), "longest")
+    C.discard(level, *levels)
     order = Window.partitionBy(*DOC).orderBy("seq")
     before = (F.lag("seq").over(order) == F.col("seq") - 1) & (F.lag("len").over(order) > F.col("len"))
     found = found.withColumn("tail", F.coalesce(before, F.lit(False))).filter("not tail")
     # characters up to each repeated line; a run has no other lines
     so_far = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    lines = C.materialise(lines.join(found.select(*DOC).distinct(), DOC, "left_semi").select(*DOC, "seq", "size", so_far.alias("upto")), "upto")
+    every, lines = lines, C.materialise(lines.join(found.select(*DOC).distinct(), DOC, "left_semi").select(*DOC, "seq", "size", so_far.alias("upto")), "upto")
+    C.discard(every)
     begin = lines.select(*DOC, "seq", (F.col("upto") - F.col("size")).alias("before"))
     end = lines.select(*DOC, (F.col("seq") + 1).alias("last"), "upto")
     run = found.withColumn("last", F.col("seq") + F.col("len")).join(begin, [*DOC, "seq"]).join(end, [*DOC, "last"])
