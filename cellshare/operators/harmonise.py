@@ -106,8 +106,8 @@ def sea_id(name: Column) -> Column:
 
 
 def dictionary_join(table: DataFrame, names: DataFrame, on: str, name: str, parent: str, into: str, default: str = "Other") -> DataFrame:
-    """``into`` = the parent of the lower-case name, or the default."""
-    side = names.select(F.lower(name).alias("_k"), F.col(parent).alias("_v")).dropDuplicates(["_k"])
+    """``into`` = the parent of the lower-case name, or the default; of a name's several parents the first by name."""
+    side = names.select(F.lower(name).alias("_k"), F.col(parent).alias("_v")).filter("_k is not null").groupBy("_k").agg(F.min("_v").alias("_v"))
     return table.join(side, F.lower(table[on]) == F.col("_k"), "left").withColumn(into, F.coalesce("_v", F.lit(default))).drop("_k", "_v")
 
 

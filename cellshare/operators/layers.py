@@ -108,26 +108,46 @@ def split_countries(table: DataFrame, rules: tuple[SplitRule, ...], key: str = "
     return kept.unionByName(added, allowMissingColumns=True)
 
 
+def united(table: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``keys, geometry``: the geometric union of each group's members.
+
+    Parts whose bounding box overlaps no other part's of the group stay as they are, in order; of the others the union
+    follows, as parts that don't overlap.  Members that only touch stay parts of their own.
+    """
+    # kept: the union reads them several times
+    parts = G.parts(table.select(*keys, F.col(order).alias("_o"), "geometry")).withColumn("_id", F.struct("_o", "part")).persist()
+    pairs = predicates.overlapping_boxes(parts.select(*keys, "_id", G.bounds("geometry").alias("_b")), keys)
+    met = pairs.select(*keys, "_id").distinct()
+    on = [*keys, "_id"]
+    alone = parts.join(met, on, "left_anti").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_id", F.col("geometry")[0].alias("p")))), lambda s: s["p"]).alias("_alone"))
+    edges = G.edges(parts.join(met, on, "left_semi").select(*keys, "geometry"), keys).select(*keys, *G.EDGE).persist()
+    joint = boolean.trapezoids(edges, keys).withColumnRenamed("geometry", "_joint")
+    none = F.array().cast(G.GEOMETRY)
+    return alone.join(joint, keys, "full").select(*keys, F.concat(F.coalesce("_alone", none), F.coalesce("_joint", none)).alias("geometry"))
+
+
 def merge_regions(table: DataFrame, key: str, values: tuple[str, ...], base: str | None = None, overrides: Mapping[str, str] | None = None, order: str = "row_id") -> DataFrame:
-    """One row for the rows with the values: attributes of the base row, or else of the first, then the overrides; appended last."""
+    """One row for the rows with the values, their union: attributes of the base row, or else of the first, then the overrides; appended last."""
     chosen = table.filter(F.col(key).isin(*values))
     if chosen.isEmpty():
         raise ValueError(f"no row with {key} in {values}")
     rank = F.when(F.col(key) == base, 0).otherwise(1) if base is not None else F.lit(0)
     others = [c for c in table.columns if c != "geometry"]
-    one = chosen.agg(F.min_by(F.struct(*others), F.struct(rank.alias("r"), F.col(order).alias("o"))).alias("s"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "geometry"))), lambda s: s["geometry"])).alias("geometry"))
-    new = one.select("s.*", "geometry")
+    one = chosen.agg(F.min_by(F.struct(*others), F.struct(rank.alias("r"), F.col(order).alias("o"))).alias("s")).withColumn("_one", F.lit(1))
+    shape = united(chosen.withColumn("_one", F.lit(1)), ["_one"], order)
+    new = one.join(shape, "_one", "left").select("s.*", "geometry")
     for c, v in (overrides or {}).items():
         new = new.withColumn(c, F.lit(v))
     return harmonise.delete_where(table, F.col(key).isin(*values)).unionByName(new.select(table.columns))
 
 
 def dissolve(table: DataFrame, by: str, order: str = "row_id", columns: list[str] | None = None) -> DataFrame:
-    """One row for each non-null key: parts together, other columns the first value that isn't null."""
+    """One row for each non-null key: the union of its members, other columns the first value that isn't null."""
     others = [c for c in (columns if columns is not None else table.columns) if c not in (by, "geometry")]
     first = [F.expr(f"min_by(`{c}`, `{order}`) FILTER (WHERE `{c}` IS NOT NULL)").alias(c) for c in others]
-    shape = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "geometry"))), lambda s: s["geometry"])).alias("geometry")
-    return table.filter(F.col(by).isNotNull()).groupBy(by).agg(*first, shape)
+    own = table.filter(F.col(by).isNotNull())
+    rows = own.groupBy(by).agg(*first) if first else own.select(by).distinct()
+    return rows.join(united(own, [by], order), by, "left")
 
 
 def dissolve_edges(edges: DataFrame, by: list[str], disjoint: bool = False) -> DataFrame:

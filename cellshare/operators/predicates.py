@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
 
-SMALL = 10_000
-
 
 def _edge_meets_box(e: str, b: str) -> Column:
     """Closed test of an edge against a box: the parameters inside both slabs overlap."""
@@ -28,16 +25,16 @@ def touching(parts: DataFrame, boxes: DataFrame, keys: list[str], bucket: float
     """``keys`` and ``box_id``: parts (one geometry with an id each) that a box intersects; contact counts, nothing is cut.
 
     Edges and boxes meet in buckets of x; a box wholly inside a part has no edge in it and is found by counting
-    edges to the right of its corner.
+    edges to the right of its corner.  Which side travels is left to Spark, which knows the boxes' size.
     """
     e = G.edges(parts, keys).select(*keys, *G.EDGE)
     b = boxes.select("box_id", *[F.col(c).cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy")])
     b = b.select("box_id", F.least("minx", "maxx").alias("minx"), F.least("miny", "maxy").alias("miny"), F.greatest("minx", "maxx").alias("maxx"), F.greatest("miny", "maxy").alias("maxy"))
     dealt = lambda df, lo, hi: df.withColumn("bucket", F.explode(F.sequence(F.floor(lo / bucket).cast("long"), F.floor(hi / bucket).cast("long"))))
-    near = dealt(e, F.least("x0", "x1"), F.greatest("x0", "x1")).join(F.broadcast(dealt(b, F.col("minx"), F.col("maxx"))), "bucket")
+    near = dealt(e, F.least("x0", "x1"), F.greatest("x0", "x1")).join(dealt(b, F.col("minx"), F.col("maxx")), "bucket")
     met = near.filter(_edge_meets_box("", "")).select(*keys, "box_id")
     # a corner inside: edges strictly above and below it, to the right
-    y = dealt(e, F.least("y0", "y1"), F.greatest("y0", "y1")).join(F.broadcast(dealt(b, F.col("miny"), F.col("miny"))), "bucket")
+    y = dealt(e, F.least("y0", "y1"), F.greatest("y0", "y1")).join(dealt(b, F.col("miny"), F.col("miny")), "bucket")
     over = y.filter("(y0 > miny) <> (y1 > miny) and x0 + (miny - y0) * (x1 - x0) / (y1 - y0) > minx")
     inside = over.groupBy(*keys, "box_id").agg(F.count("*").alias("n")).filter("n % 2 = 1").select(*keys, "box_id")
     return met.union(inside).distinct()
@@ -56,6 +53,15 @@ def bounding_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, bucket: flo
     return both.filter("s.minx <= t.maxx and t.minx <= s.maxx and s.miny <= t.maxy and t.miny <= s.maxy").select(a_id, b_id).distinct()
 
 
+def overlapping_boxes(boxes: DataFrame, keys: list[str], bucket: float = 8.0) -> DataFrame:
+    """``keys, _id, _other``: boxes ``_b`` of one key whose insides overlap, both ways; contact alone doesn't count."""
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"_b.{lo}") / bucket).cast("long"), F.floor(F.col(f"_b.{hi}") / bucket).cast("long")))
+    dealt = boxes.withColumn("bx", cells("minx", "maxx")).withColumn("by", cells("miny", "maxy"))
+    other = dealt.select(*keys, "bx", "by", F.col("_id").alias("_other"), F.col("_b").alias("_c"))
+    both = dealt.join(other, [*keys, "bx", "by"]).filter(F.col("_id") != F.col("_other"))
+    return both.filter("_b.minx < _c.maxx and _c.minx < _b.maxx and _b.miny < _c.maxy and _c.miny < _b.maxy").select(*keys, "_id", "_other").distinct()
+
+
 def _segment_distance() -> Column:
     """Squared distance of the edges ``x0 ... y1`` and ``p0 ... q1``."""
 
@@ -73,45 +79,59 @@ def _segment_distance() -> Column:
     return F.when(cross, 0.0).otherwise(ends)
 
 
-def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, project: bool = True) -> DataFrame:
-    """``a_id, b_id, distance``: for each region of ``a`` those of ``b`` at the least distance, ties all kept.
+def _candidates(sa: DataFrame, sb: DataFrame, a_id: str, b_id: str) -> DataFrame:
+    """``a_id, b_id``: for each box ``s`` of ``a`` the boxes ``t`` of ``b`` that can hold what is nearest.
 
-    Distances are planar, in Mercator metres if ``project``; 0 if regions touch, overlap or contain each other.
-    ``b`` is taken in blocks of about ``SMALL`` regions, of which the least distances are kept; in each, bounding boxes
-    rule out most before edges are compared.
+    Boxes meet in square cells of the plane, each ``s`` widened by the cell's size.  If among what it meets some box lies
+    whole within that distance, the rest of ``b`` is too far, and boxes that begin beyond the nearest end are, too.  What
+    finds none goes on with cells four times the size, until one cell holds everything.
     """
-    n = b.count()
-    if n <= SMALL:
-        return _nearest(a, b, a_id, b_id, project)
-    blocks = -(-n * 5 // (4 * SMALL))  # hashed, so filled to four fifths
-    block = F.pmod(F.xxhash64(b_id), F.lit(blocks))
-    found = [_nearest(a, b.filter(block == k), a_id, b_id, project) for k in range(blocks)]
-    return _least(reduce(DataFrame.unionByName, found), a_id, b_id)
-
+    ends = sa.select(F.col("s").alias("b")).union(sb.select(F.col("t").alias("b"))).agg(*[f(f"b.{c}") for f, c in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy"))]).collect()[0]
+    if ends[0] is None:
+        return sa.sparkSession.createDataFrame([], StructType([sa.schema[a_id], sb.schema[b_id]]))
+    sa = sa.persist()
+    extent = max(ends[2] - ends[0], ends[3] - ends[1], 1e-9)
+    size, left, out = extent / 64, sa, None
+    gap = lambda lo, hi: F.greatest(F.col(f"s.{lo}") - F.col(f"t.{hi}"), F.col(f"t.{lo}") - F.col(f"s.{hi}"), F.lit(0.0))
+    far = lambda lo, hi: F.greatest(F.col(f"s.{hi}") - F.col(f"t.{lo}"), F.col(f"t.{hi}") - F.col(f"s.{lo}"))
+    dx, dy, wx, wy = gap("minx", "maxx"), gap("miny", "maxy"), far("minx", "maxx"), far("miny", "maxy")
+    while True:
+        cells = lambda c, lo, hi, wide, size=size: F.explode(F.sequence(F.floor((F.col(f"{c}.{lo}") - wide) / size).cast("long"), F.floor((F.col(f"{c}.{hi}") + wide) / size).cast("long")))
+        x = left.withColumn("bx", cells("s", "minx", "maxx", size)).withColumn("by", cells("s", "miny", "maxy", size))
+        y = sb.withColumn("bx", cells("t", "minx", "maxx", 0.0)).withColumn("by", cells("t", "miny", "maxy", 0.0))
+        met = x.join(y, ["bx", "by"]).select(a_id, b_id, (dx * dx + dy * dy).alias("least"), (wx * wx + wy * wy).alias("most")).distinct()
+        met = met.withColumn("bound", F.min("most").over(Window.partitionBy(a_id)))
+        last = size > 2 * extent
+        done = met.filter("least <= bound" if last else (F.col("least") <= F.col("bound")) & (F.col("bound") <= size * size)).select(a_id, b_id)
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        # ids and boxes alone; kept, as each round would otherwise go through all before it twice
+        left = left.join(done.select(a_id).distinct(), a_id, "left_anti").persist()
+        if left.isEmpty():
+            return out
+        size *= 4
 
-def _least(pairs: DataFrame, a_id: str, b_id: str) -> DataFrame:
-    return pairs.withColumn("r", F.rank().over(Window.partitionBy(a_id).orderBy("distance"))).filter("r = 1").select(a_id, b_id, "distance")
 
+def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, project: bool = True) -> DataFrame:
+    """``a_id, b_id, distance``: for each region of ``a`` those of ``b`` at the least distance, ties all kept.
 
-def _nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, project: bool) -> DataFrame:
-    """``nearest`` among one block of regions."""
+    Distances are planar, in Mercator metres if ``project``; 0 if regions touch, overlap or contain each other.
+    Bounding boxes that meet in cells of the plane rule out most before edges are compared.
+    """
     move = (lambda p: G.point(*G.mercator(p["x"], p["y"]))) if project else (lambda p: p)
     ga, gb = (df.select(F.col(i), G.map_points("geometry", move).alias("geometry")) for df, i in ((a, a_id), (b, b_id)))
-    sa, sb = ga.select(a_id, G.bounds("geometry").alias("s")), gb.select(b_id, G.bounds("geometry").alias("t"))
-    gap = lambda lo, hi: F.greatest(F.col(f"s.{lo}") - F.col(f"t.{hi}"), F.col(f"t.{lo}") - F.col(f"s.{hi}"), F.lit(0.0))
-    far = lambda lo, hi: F.greatest(F.col(f"s.{hi}") - F.col(f"t.{lo}"), F.col(f"t.{hi}") - F.col(f"s.{lo}"))
-    dx, dy, wx, wy = gap("minx", "maxx"), gap("miny", "maxy"), far("minx", "maxx"), far("miny", "maxy")
-    boxes = sa.join(F.broadcast(sb)).select(a_id, b_id, (dx * dx + dy * dy).alias("least"), (wx * wx + wy * wy).alias("most"))
-    pairs = boxes.withColumn("bound", F.min("most").over(Window.partitionBy(a_id))).filter("least <= bound").select(a_id, b_id)
+    full = lambda df, i, c: df.select(i, G.bounds("geometry").alias(c)).filter(F.col(f"{c}.minx").isNotNull())
+    pairs = _candidates(full(ga, a_id, "s"), full(gb, b_id, "t"), a_id, b_id)
     ea = G.edges(ga, [a_id]).select(a_id, *G.EDGE)
     eb = G.edges(gb, [b_id]).select(b_id, F.col("x0").alias("p0"), F.col("y0").alias("q0"), F.col("x1").alias("p1"), F.col("y1").alias("q1"))
     apart = pairs.join(ea, a_id).join(eb, b_id).groupBy(a_id, b_id).agg(F.min(_segment_distance()).alias("d2"))
     # one inside the other: an odd number of edges to the right of its first point
-    first = ga.select(a_id, F.col("geometry")[0][0][0].alias("p"))
-    right = pairs.join(first, a_id).join(eb, b_id).filter("(q0 > p.y) <> (q1 > p.y) and p0 + (p.y - q0) * (p1 - p0) / (q1 - q0) > p.x")
-    back = gb.select(b_id, F.col("geometry")[0][0][0].alias("p"))
-    left = pairs.join(back, b_id).join(ea, a_id).filter("(y0 > p.y) <> (y1 > p.y) and x0 + (p.y - y0) * (x1 - x0) / (y1 - y0) > p.x")
+    first = ga.select(a_id, F.col("geometry")[0][0][0].alias("_p"))
+    right = pairs.join(first, a_id).join(eb, b_id).filter("(q0 > _p.y) <> (q1 > _p.y) and p0 + (_p.y - q0) * (p1 - p0) / (q1 - q0) > _p.x")
+    back = gb.select(b_id, F.col("geometry")[0][0][0].alias("_p"))
+    left = pairs.join(back, b_id).join(ea, a_id).filter("(y0 > _p.y) <> (y1 > _p.y) and x0 + (_p.y - y0) * (x1 - x0) / (y1 - y0) > _p.x")
     odd = lambda df: df.groupBy(a_id, b_id).agg(F.count("*").alias("n")).filter("n % 2 = 1").select(a_id, b_id)
     inside = odd(right).union(odd(left)).distinct().withColumn("in", F.lit(True))
     exact = apart.join(inside, [a_id, b_id], "left").withColumn("distance", F.when(F.col("in"), 0.0).otherwise(F.sqrt("d2")))
-    return _least(exact, a_id, b_id)
+    return exact.withColumn("r", F.rank().over(Window.partitionBy(a_id).orderBy("distance"))).filter("r = 1").select(a_id, b_id, "distance")

@@ -16,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.geometry import GEOMETRY
 
 POLYGON = 5
+#: Kinds of shape that are read: nothing, and polygons, also with heights or measures, which follow x and y.
+NOTHING, POLYGONS = 0, (POLYGON, 15, 25)
 MAX_ROWS = 100_000
 
 
@@ -88,8 +90,11 @@ def _parts(rings: list[list[tuple[float, float]]]):
 
 
 def _polygon(content: bytes):
-    if struct.unpack_from("<i", content)[0] != POLYGON:
+    kind = struct.unpack_from("<i", content)[0]
+    if kind == NOTHING:
         return None
+    if kind not in POLYGONS:
+        raise ValueError(f"shapes of kind {kind} aren't polygons")
     n_parts, n_points = struct.unpack_from("<ii", content, 36)
     starts = [*struct.unpack_from(f"<{n_parts}i", content, 44), n_points]
     flat = struct.unpack_from(f"<{2 * n_points}d", content, 44 + 4 * n_parts)
