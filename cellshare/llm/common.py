@@ -7,6 +7,7 @@ single longer text is a block of its own), so the memory of a Python worker does
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
@@ -117,6 +118,11 @@ def release(spark: SparkSession, flush: bool = False) -> None:
     elif time.monotonic() - getattr(sc, "_cellshare_released", 0.0) < PAUSE:
         return
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    # the C library keeps what Python has freed, unless asked (glibc alone can be)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
     sc._jvm.System.gc()
     sc._cellshare_released = time.monotonic()
 

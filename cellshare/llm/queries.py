@@ -142,6 +142,18 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(C.documents(spark, sf_dir))[0]
 
 
+_OP8 = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT edge.y, r.c FROM r JOIN edge ON edge.x = r.doc_id WHERE r.c < edge.y)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+
 def op4_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .huffman import read, write
     from .tokens import tokenizer_path
@@ -172,4 +184,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_superkmer_dedup": _OP3, "op5_suffix_array_line_dedup": _OP5, "op5_every_line_dedup": _OP5_EVERY, "op7_trigram_secret_scan": _op7()}
+    return {"op3_superkmer_dedup": _OP3, "op5_suffix_array_line_dedup": _OP5, "op5_every_line_dedup": _OP5_EVERY, "op7_trigram_secret_scan": _op7(), "op8_ngram_jaccard": _OP8}
