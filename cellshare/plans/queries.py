@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import boolean, coverage, harmonise, layers, predicates
 from ..sources import tables
+from . import build
 from .fixtures import load, sql
 from .grid import Grid
 
@@ -216,7 +217,8 @@ def _(spark, sf):
 
 @query("g10_repair_overlapping_parts", f"SELECT grp, CAST(count(*) AS DOUBLE) / 64 AS area FROM ({_fine('fx_boxes', 'grp')}) GROUP BY grp")
 def _(spark, sf):
-    e = G.edges(layers.dissolve(layer(spark, sf, "fx_boxes"), "grp", "row_id", ["row_id"]), ["grp"])
+    # parts of one region that overlap, as a layer may hold them
+    e = G.edges(layer(spark, sf, "fx_boxes"), ["grp", "region_id"])
     return boolean.repair(e, ["grp"]).groupBy("grp").agg(G.bag_area().alias("area"))
 
 
@@ -400,6 +402,33 @@ def _(spark, sf):
     return m.select("region_id", "grp", "row_id", F.size("geometry").cast("bigint").alias("parts"))
 
 
+@query("a2_dissolve_overlapping", f"SELECT grp, CAST(x // 8 AS INTEGER) AS col, CAST(15 - y // 8 AS INTEGER) AS row, CAST(count(*) AS DOUBLE) / 64 AS frac FROM ({_fine('fx_boxes', 'grp')}) GROUP BY ALL")
+def _(spark, sf):
+    own = layers.dissolve(layer(spark, sf, "fx_boxes"), "grp", "row_id", ["row_id"])
+    return coverage.coverage(G.edges(own, ["grp"]), GRID, "grp")
+
+
+_MERGED = "('N00', 'N05', 'N10', 'N11', 'N13', 'N24')"
+
+
+@query("a4_merge_overlapping", f"SELECT region_id, CAST(x // 8 AS INTEGER) AS col, CAST(15 - y // 8 AS INTEGER) AS row, CAST(count(*) AS DOUBLE) / 64 AS frac FROM ({_fine(f"(SELECT CASE WHEN region_id IN {_MERGED} THEN 'NX' ELSE region_id END AS region_id, minx, miny, maxx, maxy FROM fx_boxes)", 'region_id')}) GROUP BY ALL")
+def _(spark, sf):
+    m = layers.merge_regions(layer(spark, sf, "fx_boxes"), "region_id", ("N00", "N05", "N10", "N11", "N13", "N24"), "N05", {"region_id": "NX"})
+    return coverage.coverage(G.edges(m, ["region_id"]), GRID)
+
+
+# a quarter of a degree west of the grid's zero; boxes that reach over the cut are in two places
+_TURNED = """(SELECT region_id, greatest(minx - 12, -0.25) + 0.25 AS minx, miny, maxx - 12 + 0.25 AS maxx, maxy FROM fx_boxes WHERE maxx - 12 > -0.25
+    UNION ALL SELECT region_id, minx - 12 + 360.25 AS minx, miny, least(maxx - 12, -0.25) + 360.25 AS maxx, maxy FROM fx_boxes WHERE minx - 12 < -0.25)"""
+
+
+@query("mask_build", f"""WITH m AS (SELECT region_id, row, col, CAST(sum(frac) AS DOUBLE) AS frac FROM ({_cov(_TURNED).replace('x < 32', 'x < 360')}) GROUP BY ALL)
+    SELECT region_id, row, col, frac / sum(frac) OVER (PARTITION BY row, col) AS frac FROM m""")
+def _(spark, sf):
+    b = load(spark, sf, "fx_boxes").withColumns({"minx": F.col("minx") - 12, "maxx": F.col("maxx") - 12})
+    return build.mask(G.from_boxes(b), Grid(-0.25, 0, 359.75, 16, 1)).select("region_id", "row", "col", "frac")
+
+
 @query("a5_total_bounds", "SELECT min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM fx_parcels")
 def _(spark, sf):
     e = G.edges(layer(spark, sf, "fx_parcels"), ["region_id"])
@@ -448,7 +477,10 @@ def _(spark, sf):
     return one.select(F.explode(back).alias("r")).select("r.region_id", "r.grp")
 
 
-@query("k1_geojson_features")
+_PAIRS = " || ',' || ".join(f"'[' || CAST({x} AS STRING) || ',' || CAST({y} AS STRING) || ']'" for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny")))
+
+
+@query("k1_geojson_features", f"""SELECT '{{"type":"Feature","properties":{{"region_id":"' || region_id || '","grp":' || CAST(grp AS STRING) || '}},"geometry":{{"type":"MultiPolygon","coordinates":[[[' || {_PAIRS} || ']]]}}}}' AS value FROM fx_boxes""")
 def _(spark, sf):
     return tables.geojson(layer(spark, sf, "fx_boxes").select("region_id", "grp", "geometry"))
 

@@ -23,12 +23,112 @@ def test_nearest_keeps_ties(spark):
     assert len(predicates.nearest(gap, sea, "gap", "sea").collect()) == 2
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
-    boxes = lambda rows, i: G.from_boxes(spark.createDataFrame(rows, f"{i} string, minx double, miny double, maxx double, maxy double"))
-    gap = boxes([("g", 0.0, 0.0, 1.0, 1.0)], "gap")
-    sea = boxes([(f"s{k}", 4.0 + k // 2, 0.0, 5.0 + k // 2, 1.0) for k in range(8)], "sea")
-    monkeypatch.setattr(predicates, "SMALL", 4)
-    assert {(r.sea, r.distance) for r in predicates.nearest(gap, sea, "gap", "sea", project=False).collect()} == {("s0", 3.0), ("s1", 3.0)}
+def test_nearest_near_and_far(spark):
+    """Against all pairs; some regions are far from everything, some are wide, and one layer may be empty."""
+    import random
+
+    rng = random.Random(5)
+    make = lambda n, wide: [(k, x := rng.choice([rng.uniform(0, 10), rng.uniform(0, 900)]), y := rng.uniform(0, 10), x + rng.choice([0.5, wide]), y + 0.5) for k in range(n)]
+    a, b = make(40, 30.0), make(30, 5.0)
+    layer = lambda rows, i: G.from_boxes(spark.createDataFrame(rows, f"{i} int, minx double, miny double, maxx double, maxy double")).select(i, "geometry")
+    gap = lambda p, q: (max(p[1] - q[3], q[1] - p[3], 0) ** 2 + max(p[2] - q[4], q[2] - p[4], 0) ** 2) ** 0.5
+    got = {}
+    for r in predicates.nearest(layer(a, "p"), layer(b, "q"), "p", "q", project=False).collect():
+        got.setdefault(r.p, {})[r.q] = r.distance
+    for p in a:
+        least = min(gap(p, q) for q in b)
+        assert got[p[0]].keys() == {q[0] for q in b if gap(p, q) == least}
+        assert all(abs(d - least) < 1e-9 for d in got[p[0]].values())
+    assert predicates.nearest(layer(a, "p"), layer(b, "q").limit(0), "p", "q").count() == 0
+
+
+def _clip(points, a, b):
+    out, side = [], lambda p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    for p, q in zip(points, points[1:] + points[:1], strict=True):
+        if side(p) >= 0:
+            out.append(p)
+        if side(p) * side(q) < 0:
+            t = side(p) / (side(p) - side(q))
+            out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+    return out
+
+
+def _area(points):
+    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1], strict=True)) / 2
+
+
+def _common(p, c, q, d):
+    """Area of two star polygons' intersection: of all pairs of triangles around their centres."""
+    total = 0.0
+    for a, b in zip(p, p[1:] + p[:1], strict=True):
+        for e, f in zip(q, q[1:] + q[:1], strict=True):
+            w, corners = [c, a, b], [d, e, f]
+            for i in range(3):
+                w = _clip(w, corners[i], corners[(i + 1) % 3]) if w else w
+            total += _area(w) if len(w) > 2 else 0.0
+    return total
+
+
+@pytest.mark.parametrize("cell", [None, 0.5])
+def test_overlay_of_star_polygons(spark, cell):
+    import math
+    import random
+
+    from cellshare.operators import boolean
+
+    rng, rows, want = random.Random(1), ([], []), {}
+    for k in range(4):
+        centres = [(rng.uniform(-10, 10), rng.uniform(-10, 10))]
+        centres.append((centres[0][0] + rng.uniform(-2, 2), centres[0][1] + rng.uniform(-2, 2)))
+        stars = []
+        for (x, y), into in zip(centres, rows, strict=True):
+            n, size = rng.randrange(5, 30), rng.uniform(2, 9)
+            radii = [size * rng.uniform(0.3, 1) for _ in range(n)]
+            stars.append([(x + r * math.cos(2 * math.pi * i / n), y + r * math.sin(2 * math.pi * i / n)) for i, r in enumerate(radii)])
+            into += [(k, *map(float, (*a, *b))) for a, b in zip(stars[-1], stars[-1][1:] + stars[-1][:1], strict=True)]
+        both = _common(stars[0], centres[0], stars[1], centres[1])
+        want[k] = {"intersection": both, "difference": _area(stars[0]) - both, "union": _area(stars[0]) + _area(stars[1]) - both}
+    a, b = (spark.createDataFrame(r, "k int, x0 double, y0 double, x1 double, y1 double") for r in rows)
+    for how in ("intersection", "difference", "union"):
+        got = {r.k: r.a for r in boolean.overlay(a, b, how, ["k"], cell).groupBy("k").agg(G.bag_area().alias("a")).collect()}
+        assert all(abs(got.get(k, 0.0) - want[k][how]) < 1e-6 for k in want)
+    # the union again, as parts that don't overlap
+    parts = boolean.trapezoids(a.unionByName(b), ["k"], cell).select("k", G.area("geometry").alias("a"))
+    assert all(abs(r.a - want[r.k]["union"]) < 1e-6 for r in parts.collect())
+
+
+def test_dissolve_is_a_union(spark):
+    t = boxes(spark, [("a", 0.0, 0.0, 2.0, 1.0), ("a", 1.0, 0.0, 3.0, 1.0), ("a", 5.0, 0.0, 6.0, 1.0), ("b", 0.0, 0.0, 1.0, 1.0), ("c", 0.0, 0.0, 1.0, 1.0)]).withColumn("row_id", F.monotonically_increasing_id())
+    t = t.withColumn("geometry", F.when(F.col("id") != "c", F.col("geometry")))
+    got = {r.id: r.a for r in layers.dissolve(t, "id").select("id", G.area("geometry").alias("a")).collect()}
+    assert got == {"a": 4.0, "b": 1.0, "c": None}
+    merged = layers.merge_regions(t.filter("id <> 'c'"), "id", ("a", "b"), "b")
+    assert [(r.id, r.a) for r in merged.select("id", G.area("geometry").alias("a")).collect()] == [("b", 4.0)]
+
+
+def test_mask_from_settings_to_file(spark, tmp_path):
+    """Settings, shapefile, repair, turn of longitude, coverage, normalisation, mask; overlapping parts count once."""
+    from cellshare.plans import build
+
+    twice = F.array(G.box(F.lit(-2.0), F.lit(0.0), F.lit(-1.0), F.lit(1.0))[0], G.box(F.lit(-1.5), F.lit(0.0), F.lit(0.5), F.lit(1.0))[0])
+    t = spark.createDataFrame([("A", 1), ("B", 2), ("C", 3)], "ID string, N bigint")
+    t = t.withColumn("geometry", F.when(F.col("N") == 1, twice).when(F.col("N") == 2, G.box(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))))
+    shapefile.write_shapefile(t, str(tmp_path / "l.shp"))
+    env = {"MASK_SHAPE_FILE_PATH": str(tmp_path / "l.shp"), "MASK_FILE_PATH": str(tmp_path / "m"), "MASK_RESOLUTION": "1", "MASK_MIN_LON": "0", "MASK_MAX_LON": "360", "MASK_MIN_LAT": "0", "MASK_MAX_LAT": "1"}
+    got = {(r.ID, r.col): round(r.frac, 6) for r in build.run(spark, MaskConfig.from_env(env)).collect()}
+    assert got == {("A", 358): 1.0, ("A", 359): 1.0, ("A", 0): round(0.5 / 1.5, 6), ("B", 0): round(1 / 1.5, 6)}
+    assert spark.read.parquet(str(tmp_path / "m" / "metadata")).count() == 3
+
+
+def test_country_layer(spark):
+    from cellshare.plans import build
+
+    two = F.array(G.box(F.lit(5.0), F.lit(60.0), F.lit(10.0), F.lit(65.0))[0], G.box(F.lit(12.0), F.lit(76.0), F.lit(20.0), F.lit(80.0))[0])
+    t = spark.createDataFrame([("Norway", "NOR", "NO", "578", 11), ("Akrotiri Sovereign Base Area", "-99", "-99", "-99", 12), ("Dhekelia Sovereign Base Area", "-99", "-99", "-99", 13)], "NAME_LONG string, ISO_A3 string, ISO_A2 string, ISO_N3 string, NE_ID bigint")
+    t = t.withColumn("geometry", F.when(F.col("NE_ID") == 11, two).otherwise(G.box(F.col("NE_ID").cast("double"), F.lit(30.0), F.col("NE_ID") + 1.5, F.lit(31.0))))
+    codes = spark.createDataFrame([("NO", "Norway", "11", "NOR", "NO", "578", "7"), ("SJ", "Svalbard", None, "SJM", "SJ", "744", "8"), ("EWSB", "Bases", None, None, None, None, "9")], "ID string, NAME string, NE_ID string, ISO3_CODE string, ISO2_CODE string, ISON_CODE string, NUM_ID string")
+    got = {r.ID: (r.NAME, r.ISO3_CODE, r.ISON_CODE, r.NUM_ID, round(r.a, 6)) for r in build.countries(t, codes).withColumn("a", G.area("geometry")).collect()}
+    assert got == {"NO": ("Norway", "NOR", "578", 7, 25.0), "SJ": ("Svalbard and Jan Mayen", "SJM", "744", 8, 32.0), "EWSB": ("Cyprus U.K. Bases", None, None, 9, 2.5)}
 
 
 def test_touching_counts_contact_and_containment(spark):
@@ -107,6 +207,24 @@ def test_shapefile_round_trip(spark, tmp_path):
     assert shapefile.crs(path) == "GEOGCS[]"
 
 
+def test_shapefile_kinds(spark, tmp_path):
+    """Polygons with heights or measures are read like plain ones; other kinds raise."""
+    import struct
+
+    t = boxes(spark, [("a", 0.0, 0.0, 2.0, 1.0)]).select("id", "geometry")
+    path = tmp_path / "layer.shp"
+    shapefile.write_shapefile(t, str(path))
+    raw = bytearray(path.read_bytes())
+    for kind in (15, 25):
+        raw[108:112] = struct.pack("<i", kind)
+        path.write_bytes(raw)
+        assert [r.a for r in shapefile.read_shapefile(spark, str(path), 1).select(G.area("geometry").alias("a")).collect()] == [2.0]
+    raw[108:112] = struct.pack("<i", 3)
+    path.write_bytes(raw)
+    with pytest.raises(Exception, match="kind 3"):
+        shapefile.read_shapefile(spark, str(path), 1).collect()
+
+
 def test_mask_round_trip(spark, tmp_path):
     from cellshare.operators import coverage
 
