@@ -10,6 +10,7 @@ import atexit
 import ctypes
 import gc
 import os
+import shutil
 import tempfile
 import time
 import uuid
@@ -73,6 +74,7 @@ def shared_dir(spark: SparkSession) -> str:
             base = held.get()
         elif sc.master.split("[")[0] == "local":
             base = tempfile.mkdtemp(prefix="cellshare_")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():

@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from cellshare.llm import common, decontaminate, packing, queries, toxicity
 
-from .test_operators import brute_components, brute_lines
+from .test_operators import awkward, brute_components, brute_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,6 +48,20 @@ def test_stages(spark):
     assert max(filled.values()) <= packing.CAPACITY and sum(packing.CAPACITY - f for f in filled.values()) < 2 * packing.CAPACITY
 
 
+def test_stages_awkward(spark):
+    """Every stage on nulls, ties, repeated rows, very long texts and clashing columns, and on no rows at all."""
+    docs = awkward(spark).selectExpr("*", "cast(length(text) as int) as n_chars")
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.materialise(stage(spark, docs, SF), name)
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+        assert stage(spark, none, SF).count() == 0
+        docs = out
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert corpus_pipeline.STAGES[-1][1](spark, none, SF).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     c = duckdb.connect()
