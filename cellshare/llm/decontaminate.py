@@ -181,7 +181,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = spark.createDataFrame([], "doc_id long, item_id long, edits int")
     for block in item_blocks(benchmark):
-        out = out.unionByName(own.mapInArrow(_match(block), "doc_id long, item_id long, edits int"))
+        out = out.unionByName(own.mapInArrow(C.lean(_match(block)), "doc_id long, item_id long, edits int"))
     return out
 
 
@@ -199,7 +199,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
     """The rows whose text holds no item, with all their columns."""
     C.ship(docs.sparkSession)
     for block in item_blocks(benchmark):
-        docs = docs.mapInArrow(_clean(block, docs.columns.index(text_col)), docs.schema)
+        docs = docs.mapInArrow(C.lean(_clean(block, docs.columns.index(text_col))), docs.schema)
     return docs
 
 

@@ -174,7 +174,7 @@ def sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     order; ``classes`` are their frequency classes, each with as many keys as ``each`` says."""
     spark = C.ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    sent = own.mapInArrow(_deal(n, BUCKETS_PER_PARTITION * C.partitions(spark), "doc_id", "text"), _SENT)
+    sent = own.mapInArrow(C.lean(_deal(n, BUCKETS_PER_PARTITION * C.partitions(spark), "doc_id", "text")), _SENT)
     back = C.grouped(sent, "bucket", _repeated, "block long, ids binary, sizes binary, grams binary, freqs binary")
     return C.materialise(C.grouped(back, "block", _assemble(percent), "row long, doc_id long, n_shingles long, class_key string, keys array<long>, classes array<int>, each array<int>, bitmap array<long>"), "sets")
 
@@ -272,7 +272,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     reps = able.filter("class_key is null").unionByName(able.join(classes.select("row"), "row", "left_semi").select(able.columns))
     reps = C.materialise(reps.select("row", "doc_id", "n_shingles", F.size("keys").alias("able"), "bitmap", "keys", "classes", "each"), "reps")
     cut = _segments(bounds(reps, FRAGMENTS))
-    segments = C.materialise(reps.select("row", "keys", "classes", "each").mapInArrow(cut, "row long, fragment int, keys array<long>"), "segments")
+    segments = C.materialise(reps.select("row", "keys", "classes", "each").mapInArrow(C.lean(cut), "row long, fragment int, keys array<long>"), "segments")
     postings = posting_lists(reps, percent)
 
     def verified(met: DataFrame, name: str) -> DataFrame:

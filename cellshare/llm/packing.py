@@ -78,7 +78,7 @@ def _pieces(path: str, end: int, capacity: int):
         from .tokens import encoder
 
         enc, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in C.blocks(batches, limit=8 << 20):
+        for b in C.blocks(batches, limit=2 << 20):
             ids, off = enc.encode(b.column(1), end)
             total = np.diff(off)
             per = -(-total // capacity)
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAPACITY
     """
     spark = C.ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = C.materialise(own.mapInArrow(_pieces(tokenizer, end, capacity), _PIECE), "pieces")
+    pieces = C.materialise(own.mapInArrow(C.lean(_pieces(tokenizer, end, capacity), holds=True), _PIECE), "pieces")
     counts = C.materialise(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     # at most `capacity` rows come to the driver
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -191,7 +191,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """``doc_id, score, predicted`` for every row."""
     C.ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = own.mapInArrow(_score(model), "doc_id long, score double")
+    out = own.mapInArrow(C.lean(_score(model)), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -210,4 +210,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go; every column stays."""
     C.ship(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.mapInArrow(_accept(model, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(C.lean(_accept(model, docs.columns.index("text"))), docs.schema)

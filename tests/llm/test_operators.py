@@ -3,11 +3,17 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -680,3 +686,35 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 499), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in common.components(edges).collect()}
     assert got == {k: 0 for k in range(201)} | {499: 499, 500: 499}
+
+
+def test_executors_give_their_memory_back(tmp_path):
+    """On executors of their own: a release collects garbage in each of them, as the log of each says."""
+    code = f"""
+import time
+from pyspark.sql import SparkSession
+from cellshare.llm import common
+spark = SparkSession.builder.master("local-cluster[2,1,500]").config("spark.executor.memory", "500m").config("spark.ui.enabled", "false").config("spark.executor.extraJavaOptions", "-Xlog:gc:file={tmp_path}/gc-%p.log").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+while spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() < 3:
+    time.sleep(0.2)
+common.release(spark)
+common.release(spark, flush=True)
+"""
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():  # executors write to work in Spark's home
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = os.environ | {"PYTHONPATH": str(Path(common.__file__).parents[2]), "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1"}
+    subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, check=True, timeout=120, capture_output=True)
+    # executors that come as the application ends have logs too
+    assert sum("(System.gc())" in p.read_text() for p in tmp_path.glob("gc-*.log")) == 2
+
+
+def test_lean_workers():
+    """A task of another kind drops what tokenizers hold, one of theirs keeps it; rows pass unchanged."""
+    batches = [pa.RecordBatch.from_arrays([pa.array([k])], names=["n"]) for k in range(3)]
+    common.held.clear()
+    held = tokens.encoder(WORD)
+    assert list(common.lean(lambda b: b, holds=True)(iter(batches))) == batches and tokens.encoder(WORD) is held
+    assert list(common.lean(lambda b: b)(iter(batches))) == batches and not common.held
