@@ -179,9 +179,34 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+_OP13 = f"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+f AS (SELECT part, CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+          || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+          || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails,
+          doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM w),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS x, filter_order[1:step - 1] AS past FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+r AS (SELECT part, filter_order, step, x, n, good, toxic, contains(fails, x) AS own, fails = x AS alone,
+             len(list_intersect(string_split(fails, ''), string_split(past, ''))) > 0 AND past <> '' AND fails <> '' AS gone FROM g, s),
+q AS (SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0) AS removed,
+             coalesce(sum(n) FILTER (own AND gone), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (own AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (own AND NOT gone), 0) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM q"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_context_tree_weighting, op2_pigeonhole_decontamination, op3_superkmer_dedup, op4_huffman_token_ids, op5_suffix_array_line_dedup, op5_every_line_dedup, op6_adaptive_scan_neighbours, op7_trigram_secret_scan, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity)}
+    return {f.__name__: f for f in (op1_context_tree_weighting, op2_pigeonhole_decontamination, op3_superkmer_dedup, op4_huffman_token_ids, op5_suffix_array_line_dedup, op5_every_line_dedup, op6_adaptive_scan_neighbours, op7_trigram_secret_scan, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_superkmer_dedup": _OP3, "op5_suffix_array_line_dedup": _OP5, "op5_every_line_dedup": _OP5_EVERY, "op7_trigram_secret_scan": _op7(), "op8_ngram_jaccard": _OP8}
+    return {"op3_superkmer_dedup": _OP3, "op5_suffix_array_line_dedup": _OP5, "op5_every_line_dedup": _OP5_EVERY, "op7_trigram_secret_scan": _op7(), "op8_ngram_jaccard": _OP8, "op13_filter_audit": _OP13}
