@@ -319,5 +319,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label
 
 
+def spread_join(rows: DataFrame, side: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``side`` (one row a key, null keys aside); a key may have any share of the rows.
+
+    A key with a ``share``-th of the rows or more is hot.  There can be ``share`` of them at most, so what ``side`` has for
+    them is broadcast and their rows stay where they are; the others go by shuffle.  ``rows`` is read three times.
+    """
+    n = rows.count()
+    hot = materialise(rows.groupBy(key).agg(F.count("*").alias("_n")).filter((F.col("_n") * share >= n) & (F.col("_n") > share)).select(key), "hot")
+    if hot.isEmpty():
+        return rows.join(side, key, "left")
+    few = materialise(side.join(F.broadcast(hot), key, "left_semi"), "hot_side")
+    apart = rows.join(F.broadcast(hot), key, "left_anti").join(side, key, "left")
+    return rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, "left").unionByName(apart)
+
+
 def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     return df.groupBy(key).applyInArrow(fn, schema)
