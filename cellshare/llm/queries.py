@@ -179,6 +179,13 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op11_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+    from .tokens import tokenizer_path
+
+    return align(C.documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -211,7 +218,7 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_context_tree_weighting, op2_pigeonhole_decontamination, op3_superkmer_dedup, op4_huffman_token_ids, op5_suffix_array_line_dedup, op5_every_line_dedup, op6_adaptive_scan_neighbours, op7_trigram_secret_scan, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity, op12_simhash_balls, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_context_tree_weighting, op2_pigeonhole_decontamination, op3_superkmer_dedup, op4_huffman_token_ids, op5_suffix_array_line_dedup, op5_every_line_dedup, op6_adaptive_scan_neighbours, op7_trigram_secret_scan, op8_ngram_jaccard, op9_bin_slack_packing, op10_zstd_toxicity, op11_segment_alignment, op12_simhash_balls, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
