@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -164,7 +165,11 @@ def _dealt(paths: tuple[str, str], limit: int):
             full = np.flatnonzero(np.diff(offs))
             data = np.insert(data, offs[full], 32)
             starts = offs[full] + np.arange(len(full))
-            at = np.union1d(cuts(data, pair.starters), starts) if len(full) else np.zeros(0, np.int64)
+            begins = np.zeros(len(data), bool)
+            begins[starts] = True
+            if len(full):
+                begins[cuts(data, pair.starters)] = True
+            at = np.flatnonzero(begins)
             segments = _strings(data, at)
             coded = segments.dictionary_encode()
             number, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
@@ -213,40 +218,46 @@ def _larger(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
 
 
 # -------------------------------------------------------------------------------------------- alignment
-_ALIGNED = "segment string, n long, n_a int, groups string, a array<int>, b array<int>"
+_ALIGNED = "segment string, n long, packed binary, a array<int>, b array<int>"
 
 
 def _aligned(paths: tuple[str, str]):
-    """Groups and links (``a[k]`` with ``b[k]``) of each distinct segment."""
+    """Groups and links (``a[k]`` with ``b[k]``) of each distinct segment.
+
+    A group is packed as the numbers of its A and B ids and then these.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(paths)
         for batch in C.blocks(batches, "segment", 1 << 20):
             if not batch.num_rows:
                 continue
-            segments = batch.column("segment").to_pylist()
             data, offs = C.utf8(batch.column("segment"))
-            lists = pair.ids(segments)
-            count = [np.fromiter(map(len, x), np.int64, len(x)) for x in lists]
-            ids = [np.fromiter((i for x in y for i in x), np.int64, int(c.sum())) for y, c in zip(lists, count, strict=True)]
+            lists = pair.ids(batch.column("segment").to_pylist())
+            ids = [np.fromiter(chain.from_iterable(x), np.int64) for x in lists]
+            ends, marks = [], np.zeros((2, len(data) + 1), bool)
             for which in (0, 1):
                 if not np.array_equal(pair.bytes_of(which, ids[which]), data):
                     raise ValueError("tokens of a segment don't give it back")
-            ends = [pair.ends(which, ids[which]) for which in (0, 1)]
-            every, common = np.union1d(*ends), np.intersect1d(*ends)
+                ends.append(pair.ends(which, ids[which]))
+                marks[which, ends[which]] = True
+            every, common = np.flatnonzero(marks.any(0)), np.flatnonzero(marks.all(0))
             linked = [ids[which][np.searchsorted(ends[which], every)] for which in (0, 1)]
-            link_at = np.searchsorted(every, offs, "right")
-            link_at[0] = 0
+            link_at, group_at = (np.append(0, np.searchsorted(x, offs[1:], "right")) for x in (every, common))
             group = [np.searchsorted(common, e) for e in ends]
-            group_at = np.searchsorted(common, offs, "right")
-            group_at[0] = 0
-            first = [np.searchsorted(g, np.arange(len(common) + 1)).tolist() for g in group]
-            words = [list(map(str, x.tolist())) for x in ids]
-            texts = [f"{','.join(words[0][first[0][g] : first[0][g + 1]])}|{','.join(words[1][first[1][g] : first[1][g + 1]])}" for g in range(len(common))]
-            at = group_at.tolist()
-            groups = [";".join(texts[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+            first = [np.searchsorted(g, np.arange(len(common) + 1)) for g in group]
+            p, q = np.diff(first[0]), np.diff(first[1])
+            base = np.append(0, np.cumsum(2 + p + q))
+            row = np.empty(base[-1], np.int64)
+            row[base[:-1]], row[base[:-1] + 1] = p, q
+            for which, before in ((0, 0), (1, p)):
+                at = base[:-1] + 2 + before - first[which][:-1]
+                row[at[group[which]] + np.arange(len(ids[which]))] = ids[which]
+            raw, byte_at = _packed(row)
+            cut = byte_at[base[group_at]].astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cut), pa.py_buffer(raw)])
             lists_of = lambda v: pa.ListArray.from_arrays(pa.array(link_at.astype(np.int32)), pa.array(v.astype(np.int32)))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("n"), pa.array(count[0].astype(np.int32)), pa.array(groups), lists_of(linked[0]), lists_of(linked[1])], names=["segment", "n", "n_a", "groups", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("n"), packed, lists_of(linked[0]), lists_of(linked[1])], names=["segment", "n", "packed", "a", "b"])
 
     return run
 
@@ -254,16 +265,38 @@ def _aligned(paths: tuple[str, str]):
 _COMPOSED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+def _written(packed: bytes) -> tuple[str, tuple[int, int, int]]:
+    """A segment's groups as text, and how many A ids, B ids and groups it has."""
+    numbers, shift, value = [], 0, 0
+    for byte in packed:
+        value |= (byte & 127) << shift
+        if byte < 128:
+            numbers.append(value)
+            shift = value = 0
+        else:
+            shift += 7
+    groups, i, n_a, n_b = [], 0, 0, 0
+    while i < len(numbers):
+        p, q = numbers[i], numbers[i + 1]
+        j, i = i + 2 + p, i + 2 + p + q
+        groups.append(f"{','.join(map(str, numbers[j - p : j]))}|{','.join(map(str, numbers[j:i]))}")
+        n_a, n_b = n_a + p, n_b + q
+    return ";".join(groups), (n_a, n_b, len(groups))
+
+
 def _composed(whole: bool):
     """Texts of one block from its segments' alignments."""
 
     def run(docs: pa.Table, segments: pa.Table) -> pa.Table:
         order = np.argsort(segments.column("no").to_numpy(), kind="stable")
-        groups = segments.column("groups").take(pa.array(order)).to_pylist()
         column = lambda c: segments.column(c).to_numpy()[order].astype(np.int64)
-        per = np.array([(g.count("|"), g.count(",")) for g in groups], np.int64).reshape(-1, 2)
-        n_a, n_groups = column("n_a"), per[:, 0]
-        n_b = per[:, 1] + 2 * n_groups - n_a  # a group of p and q ids has p + q - 2 commas
+        groups, per = [], np.zeros((len(order), 3), np.int64)
+        for k, packed in enumerate(segments.column("packed").take(pa.array(order)).to_pylist()):
+            text, counts = _written(packed)
+            groups.append(text)
+            per[k] = counts
+        n_a, n_b, n_groups = per.T
+        # each token end but the first begins a link, and where both end, one link begins for two tokens
         table = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups, column("n_best"), column("count_sum")], 1)
         sums, texts = np.zeros((docs.num_rows, 6), np.int64), []
         for k, raw in enumerate(docs.column("numbers").to_pylist()):
@@ -297,7 +330,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, whole: bool = False, id_col
     scored = count.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("best")).cast("long").alias("is_best"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = pairs.select("id", "a", "b", F.pmod("id", F.lit(SALTS)).cast("int").alias("salt"))
     summed = salted.join(scored, ["a", "b", "salt"]).groupBy("id").agg(F.sum("is_best").alias("n_best"), F.sum("count").alias("count_sum"))
-    done = C.materialise(aligned.select("id", "segment", "n_a", "groups").join(summed, "id").drop("id"), "scored")
+    done = C.materialise(aligned.select("id", "segment", "packed").join(summed, "id").drop("id"), "scored")
     C.discard(aligned, count)
     C.release(docs.sparkSession, flush=True)
     # of a segment a block has one row at most, so the commonest have as many rows as there are blocks
