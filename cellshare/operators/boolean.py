@@ -121,22 +121,6 @@ def overlay(a: DataFrame, b: DataFrame | None, how: str, keys: list[str], cell:
     return kept.select(*keys, pick("xb", "xa", "x0"), pick("yb", "ya", "y0"), pick("xa", "xb", "x1"), pick("ya", "yb", "y1"))
 
 
-def trapezoids(edges: DataFrame, keys: list[str], cell: float | None = None) -> DataFrame:
-    """``keys, geometry``: the area of non-zero winding as parts that don't overlap, each a slab's stretch within a strip.
-
-    Along a slab entering and leaving edges alternate; what doesn't leave ends at the next strip's border.
-    """
-    size = cell or cell_size(edges)
-    order = Window.partitionBy(*keys, "strip", "ya", "yb").orderBy(F.desc("border"), F.col("xa") + F.col("xb"), "xa")
-    pair = wound(edges, None, "union", keys, size).withColumns({"qa": F.lead("xa").over(order), "qb": F.lead("xb").over(order)}).filter("inside")
-    end = (F.col("strip") + 1) * F.lit(size)
-    pair = pair.withColumns({"qa": F.coalesce("qa", end), "qb": F.coalesce("qb", end)})
-    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    ring = F.array(corner("xa", "ya"), corner("qa", "ya"), corner("qb", "yb"), corner("xb", "yb"), corner("xa", "ya"))
-    each = F.struct(F.col("ya"), F.col("xa"), F.col("xb"), F.array(ring).alias("part"))
-    return pair.select(*keys, each.alias("s")).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["part"]).alias("geometry"))
-
-
 def repair(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Boundary of the non-zero winding: self-crossings and overlapping parts count once."""
     return overlay(edges, None, "union", keys)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from . import boolean, harmonise, predicates
+from ..sources.scratch import settle
+from . import boolean, harmonise, predicates, rings
 
 Box = tuple[float, float, float, float]
 
@@ -109,19 +110,20 @@ def split_countries(table: DataFrame, rules: tuple[SplitRule, ...], key: str = "
 
 
 def united(table: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``keys, geometry``: the geometric union of each group's members.
+    """``keys, geometry``: the geometric union of each group's members, as polygons.
 
-    Parts whose bounding box overlaps no other part's of the group stay as they are, in order; of the others the union
-    follows, as parts that don't overlap.  Members that only touch stay parts of their own.
+    Parts whose bounding box meets no other part's of the group stay as they are, in order; the polygons of the others'
+    union follow.  Members that share more than a point become one part, holes and all.
     """
-    # kept: the union reads them several times
-    parts = G.parts(table.select(*keys, F.col(order).alias("_o"), "geometry")).withColumn("_id", F.struct("_o", "part")).persist()
-    pairs = predicates.overlapping_boxes(parts.select(*keys, "_id", G.bounds("geometry").alias("_b")), keys)
-    met = pairs.select(*keys, "_id").distinct()
+    # written: the union reads them several times
+    parts = settle(G.parts(table.select(*keys, F.col(order).alias("_o"), "geometry")).withColumn("_id", F.struct("_o", "part")))
+    met = settle(predicates.meeting_boxes(parts.select(*keys, "_id", G.bounds("geometry").alias("_b")), keys))
     on = [*keys, "_id"]
     alone = parts.join(met, on, "left_anti").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_id", F.col("geometry")[0].alias("p")))), lambda s: s["p"]).alias("_alone"))
-    edges = G.edges(parts.join(met, on, "left_semi").select(*keys, "geometry"), keys).select(*keys, *G.EDGE).persist()
-    joint = boolean.trapezoids(edges, keys).withColumnRenamed("geometry", "_joint")
+    if met.isEmpty():
+        return alone.withColumnRenamed("_alone", "geometry")
+    edges = G.edges(parts.join(met, on, "left_semi").select(*keys, "geometry"), keys).select(*keys, *G.EDGE)
+    joint = rings.polygons(boolean.repair(settle(edges), keys), keys).withColumnRenamed("geometry", "_joint")
     none = F.array().cast(G.GEOMETRY)
     return alone.join(joint, keys, "full").select(*keys, F.concat(F.coalesce("_alone", none), F.coalesce("_joint", none)).alias("geometry"))
 
@@ -180,6 +182,11 @@ def gaps(whole: DataFrame, covering: DataFrame, whole_id: str) -> DataFrame:
     return boolean.overlay(G.edges(whole, [whole_id]), cover, "difference", [whole_id])
 
 
+def gap_polygons(whole: DataFrame, covering: DataFrame, whole_id: str) -> DataFrame:
+    """``whole_id, geometry``: the polygons of what no covering region covers; rows that are covered whole have none."""
+    return rings.polygons(gaps(whole, covering, whole_id), [whole_id])
+
+
 def group_seas(seas: DataFrame, names: DataFrame) -> DataFrame:
     """``parent_reg`` of each sea: its note where the name is missing, looked up in lower case, ``Other`` if unknown."""
     named = seas.withColumn("name", F.coalesce("name", "note"))

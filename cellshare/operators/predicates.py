@@ -53,13 +53,20 @@ def bounding_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, bucket: flo
     return both.filter("s.minx <= t.maxx and t.minx <= s.maxx and s.miny <= t.maxy and t.miny <= s.maxy").select(a_id, b_id).distinct()
 
 
-def overlapping_boxes(boxes: DataFrame, keys: list[str], bucket: float = 8.0) -> DataFrame:
-    """``keys, _id, _other``: boxes ``_b`` of one key whose insides overlap, both ways; contact alone doesn't count."""
+def meeting_boxes(boxes: DataFrame, keys: list[str], bucket: float = 8.0) -> DataFrame:
+    """``keys, _id``: boxes ``_b`` that meet another of their key, in a point at least.
+
+    Within a cell a box is known to meet another without making the pairs: sorted by their left sides, one that begins before
+    the furthest right side so far, or before which the next begins, may meet it; these alone are compared, box by box.
+    """
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"_b.{lo}") / bucket).cast("long"), F.floor(F.col(f"_b.{hi}") / bucket).cast("long")))
     dealt = boxes.withColumn("bx", cells("minx", "maxx")).withColumn("by", cells("miny", "maxy"))
-    other = dealt.select(*keys, "bx", "by", F.col("_id").alias("_other"), F.col("_b").alias("_c"))
-    both = dealt.join(other, [*keys, "bx", "by"]).filter(F.col("_id") != F.col("_other"))
-    return both.filter("_b.minx < _c.maxx and _c.minx < _b.maxx and _b.miny < _c.maxy and _c.miny < _b.maxy").select(*keys, "_id", "_other").distinct()
+    at = Window.partitionBy(*keys, "bx", "by").orderBy("_b.minx", "_id")
+    beside = (F.max("_b.maxx").over(at.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("_b.minx")) | (F.lead("_b.minx").over(at) <= F.col("_b.maxx"))
+    near = dealt.withColumn("_beside", beside).filter("_beside").drop("_beside")
+    other = near.select(*keys, "bx", "by", F.col("_id").alias("_other"), F.col("_b").alias("_c"))
+    both = near.join(other, [*keys, "bx", "by"]).filter(F.col("_id") != F.col("_other"))
+    return both.filter("_b.minx <= _c.maxx and _c.minx <= _b.maxx and _b.miny <= _c.maxy and _c.miny <= _b.maxy").select(*keys, "_id").distinct()
 
 
 def _segment_distance() -> Column:

@@ -52,6 +52,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sql(body: str) -> str:
     """``body`` with the stand-ins that it names as common tables."""
     used = [f"{n} AS (SELECT {', '.join(e)} FROM {t})" for n, (t, e) in EXPRESSIONS.items() if n in body]
-    if body.lstrip().startswith("WITH "):
-        return "WITH " + ", ".join([*used, body.lstrip()[5:]])
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.lstrip().startswith(head):
+            return head + ", ".join([*used, body.lstrip()[len(head) :]])
     return (f"WITH {', '.join(used)} " if used else "") + body

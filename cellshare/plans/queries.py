@@ -53,6 +53,38 @@ def _fine(fx: str, key: str) -> str:
 
 
 # ----------------------------------------------------------------------------------------- coverage
+def _joined(boxes: str, key: str, name: str) -> str:
+    """CTEs that give boxes (``key, i, minx ... maxy``) their part: those that share more than a point, on and on; ``<name>_part (key, i, part)``."""
+    meet = "least(p.maxx, q.maxx) >= greatest(p.minx, q.minx) AND least(p.maxy, q.maxy) >= greatest(p.miny, q.miny) AND (least(p.maxx, q.maxx) > greatest(p.minx, q.minx) OR least(p.maxy, q.maxy) > greatest(p.miny, q.miny))"
+    return f"""{name}_b AS ({boxes}), {name}_e AS (SELECT p.i AS u, q.i AS v FROM {name}_b p JOIN {name}_b q ON p.{key} = q.{key} AND p.i <> q.i AND {meet}),
+    {name}_r AS (SELECT i, i AS l FROM {name}_b UNION SELECT v, l FROM {name}_r JOIN {name}_e ON u = i WHERE l < v),
+    {name}_part AS (SELECT {key}, b.i, min(l) AS part FROM {name}_r r JOIN {name}_b b ON b.i = r.i GROUP BY ALL)"""
+
+
+def _cell_parts(cells: str, key: str) -> str:
+    """Parts (cells that share a side), holes, area and bounds of sets of 1/8 cells, as ``WITH RECURSIVE``."""
+    return f"""WITH RECURSIVE c AS ({cells}),
+    run AS (SELECT {key}, y, min(x) AS a, max(x) AS b FROM (SELECT *, x - row_number() OVER (PARTITION BY {key}, y ORDER BY x) AS g FROM c) GROUP BY {key}, y, g),
+    n AS (SELECT *, row_number() OVER (ORDER BY {key}, y, a) AS i FROM run),
+    e AS (SELECT p.i AS u, q.i AS v FROM n p JOIN n q ON p.{key} = q.{key} AND abs(p.y - q.y) = 1 AND p.a <= q.b AND q.a <= p.b),
+    r AS (SELECT i, i AS l FROM n UNION SELECT v, l FROM r JOIN e ON u = i WHERE l < v),
+    part AS (SELECT {key}, count(DISTINCT l) AS parts FROM (SELECT i, min(l) AS l FROM r GROUP BY i) JOIN n USING (i) GROUP BY {key}),
+    up AS (SELECT p.{key}, p.x, p.y FROM c p JOIN c q ON p.{key} = q.{key} AND p.x = q.x AND q.y = p.y + 1),
+    block AS (SELECT p.{key}, count(*) AS blocks FROM up p JOIN up q ON p.{key} = q.{key} AND p.y = q.y AND q.x = p.x + 1 GROUP BY ALL),
+    total AS (SELECT {key}, count(*) AS cells, min(x) / 8 AS minx, min(y) / 8 AS miny, (max(x) + 1) / 8 AS maxx, (max(y) + 1) / 8 AS maxy FROM c GROUP BY {key}),
+    side AS (SELECT {key}, count(*) AS sides FROM up GROUP BY {key}), line AS (SELECT {key}, count(*) AS runs FROM run GROUP BY {key})
+    SELECT t.{key}, parts, CASE WHEN parts > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind,
+        CAST(parts - (cells - (cells - runs) - coalesce(sides, 0) + coalesce(blocks, 0)) AS BIGINT) AS holes, CAST(cells AS DOUBLE) / 64 AS area, minx, miny, maxx, maxy
+    FROM total t JOIN part p ON p.{key} = t.{key} JOIN line l ON l.{key} = t.{key} LEFT JOIN side s ON s.{key} = t.{key} LEFT JOIN block b ON b.{key} = t.{key}"""
+
+
+def _shape(key: str):
+    """What tells a geometry apart: parts, type, holes, area, bounds."""
+    b = G.bounds("geometry")
+    parts, ring_count = F.size("geometry"), F.size(F.flatten("geometry"))
+    return [key, parts.cast("bigint").alias("parts"), G.geometry_type("geometry").alias("kind"), (ring_count - parts).cast("bigint").alias("holes"), G.area("geometry").alias("area"), *[b[c].alias(c) for c in ("minx", "miny", "maxx", "maxy")]]
+
+
 @query("r7_fractional_coverage", _cov("fx_boxes"))
 def _(spark, sf):
     return mask_of(spark, sf, "fx_boxes")
@@ -396,7 +428,7 @@ def _(spark, sf):
 
 
 @query("a4_merge_regions", """SELECT region_id, grp, row_id, CAST(1 AS BIGINT) AS parts FROM fx_tiles WHERE region_id NOT IN ('T03', 'T04', 'T09')
-    UNION ALL SELECT 'TX', grp, row_id, CAST(3 AS BIGINT) FROM fx_tiles WHERE region_id = 'T04'""")
+    UNION ALL SELECT 'TX', grp, row_id, CAST(1 AS BIGINT) FROM fx_tiles WHERE region_id = 'T04'""")
 def _(spark, sf):
     m = layers.merge_regions(layer(spark, sf, "fx_tiles"), "region_id", ("T03", "T04", "T09"), "T04", {"region_id": "TX"})
     return m.select("region_id", "grp", "row_id", F.size("geometry").cast("bigint").alias("parts"))
@@ -417,6 +449,28 @@ def _(spark, sf):
     return coverage.coverage(G.edges(m, ["region_id"]), GRID)
 
 
+@query("a2_dissolve_polygons", _cell_parts(_fine("fx_boxes", "grp"), "grp"))
+def _(spark, sf):
+    return layers.dissolve(layer(spark, sf, "fx_boxes"), "grp", "row_id", []).select(*_shape("grp"))
+
+
+@query("a4_merge_polygons", _cell_parts(_fine(f"(SELECT * FROM fx_boxes WHERE region_id IN {_MERGED})", "'NX' AS region_id"), "region_id"))
+def _(spark, sf):
+    m = layers.merge_regions(layer(spark, sf, "fx_boxes"), "region_id", ("N00", "N05", "N10", "N11", "N13", "N24"), "N05", {"region_id": "NX"})
+    return m.filter("region_id = 'NX'").select(*_shape("region_id"))
+
+
+@query("a2_dissolve_parcels", f"WITH RECURSIVE {_joined('SELECT grp, row_id AS i, minx, miny, maxx, maxy FROM fx_parcels', 'grp', 'p')}, c AS ({_fine('fx_parcels', 'grp')}), t AS (SELECT grp, CAST(count(*) AS DOUBLE) / 64 AS area FROM c GROUP BY grp) SELECT t.grp, count(DISTINCT part) AS parts, CASE WHEN count(DISTINCT part) > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, any_value(area) AS area FROM p_part JOIN t ON t.grp = p_part.grp GROUP BY t.grp")
+def _(spark, sf):
+    # grows with customer
+    return layers.dissolve(layer(spark, sf, "fx_parcels"), "grp", "row_id", []).select(*_shape("grp")).select("grp", "parts", "kind", "area")
+
+
+@query("g3_gap_polygons", _cell_parts(f"SELECT t.region_id, x, y FROM ({_fine('fx_tiles', 'region_id')}) t ANTI JOIN (SELECT DISTINCT x, y FROM ({_fine('fx_boxes', 'region_id')})) b USING (x, y)", "region_id"))
+def _(spark, sf):
+    return layers.gap_polygons(layer(spark, sf, "fx_tiles"), layer(spark, sf, "fx_boxes"), "region_id").select(*_shape("region_id"))
+
+
 # a quarter of a degree west of the grid's zero; boxes that reach over the cut are in two places
 _TURNED = """(SELECT region_id, greatest(minx - 12, -0.25) + 0.25 AS minx, miny, maxx - 12 + 0.25 AS maxx, maxy FROM fx_boxes WHERE maxx - 12 > -0.25
     UNION ALL SELECT region_id, minx - 12 + 360.25 AS minx, miny, least(maxx - 12, -0.25) + 360.25 AS maxx, maxy FROM fx_boxes WHERE minx - 12 < -0.25)"""
@@ -447,11 +501,11 @@ _HIT = lambda b: f"(minx <= {max(b[0], b[2])} AND {min(b[0], b[2])} <= maxx AND
 
 def _rule_sql(r: layers.SplitRule) -> str:
     hit = " OR ".join(map(_HIT, r.boxes))
-    out = " AND ".join(f"NOT (minx > {b[0]} AND miny > {b[1]} AND maxx < {b[2]} AND maxy < {b[3]})" for b in r.minus) or "true"
-    return f"SELECT '{r.new_id}' AS ID, count(*) AS parts FROM {_T} WHERE g = '{r.source}' AND ({hit}) AND {out} HAVING count(*) > 0"
+    out = " AND ".join(f"(minx > {b[0]} AND miny > {b[1]} AND maxx < {b[2]} AND maxy < {b[3]})" for b in r.minus) or "false"
+    return f"SELECT '{r.new_id}' AS ID, count(*) AS parts FROM (SELECT part FROM t JOIN t_part p ON p.i = t.row_id WHERE t.g = '{r.source}' GROUP BY part HAVING bool_or({hit}) AND NOT bool_and({out})) HAVING count(*) > 0"
 
 
-@query("split_countries", " UNION ALL ".join(map(_rule_sql, _RULES)) + f" UNION ALL SELECT g, count(*) FROM {_T} WHERE g NOT IN ('0', '2') GROUP BY g")
+@query("split_countries", f"WITH RECURSIVE t AS {_T}, {_joined('SELECT grp, row_id AS i, minx, miny, maxx, maxy FROM fx_tiles', 'grp', 't')} " + " UNION ALL ".join(map(_rule_sql, _RULES)) + " UNION ALL SELECT CAST(grp AS STRING), count(DISTINCT part) FROM t_part WHERE grp NOT IN (0, 2) GROUP BY grp")
 def _(spark, sf):
     t = layers.dissolve(layer(spark, sf, "fx_tiles").withColumn("ID", F.col("grp").cast("string")), "ID", "row_id", ["row_id"]).withColumn("NAME", F.col("ID"))
     s = layers.split_countries(t.select("ID", "NAME", "geometry"), _RULES)
