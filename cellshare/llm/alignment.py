@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ from . import common as C
 #: Text of a block: the larger, the more of its segments are repeats.
 BLOCK = 16 << 20
 SALTS = 16
+#: Bits of a block's number within its task, and of a segment's within its block.
+_BLOCKS, _NUMBERS = 14, 28
 SPACE_PIECE = "▁"
 _BLANK = np.zeros(256, bool)
 _BLANK[[*range(9, 14), *range(28, 33)]] = True
@@ -150,7 +153,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, first) if len(data) else np.zeros(0, np.int64)
 
 
-_DEALT = "block long, doc_id long, numbers binary, no int, segment string, n long"
+_DEALT = "block long, doc_id long, numbers binary, slot long, segment string, n long"
 
 
 def _dealt(paths: tuple[str, str], limit: int):
@@ -188,10 +191,12 @@ def _dealt(paths: tuple[str, str], limit: int):
             for j, row in enumerate(full.tolist()):
                 packed[row] = whole[edge[j] : edge[j + 1]]
             used = order[: int((n > 0).sum())]
-            block, rows, words = part << 32 | k, b.num_rows, len(used)
+            if k >> _BLOCKS or len(used) >> _NUMBERS:
+                raise OverflowError("too many blocks in a task, or segments in a block, to be numbered")
+            block, rows, words = part << _BLOCKS | k, b.num_rows, len(used)
             none = lambda kind, m: pa.nulls(m, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, block)), b.column("doc_id"), pa.array(packed, pa.binary()), none(pa.int32(), rows), none(pa.string(), rows), none(pa.int64(), rows)], names=_NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(words, block)), none(pa.int64(), words), none(pa.binary(), words), pa.array(np.arange(words, dtype=np.int32)), coded.dictionary.take(pa.array(used)).cast(pa.string()), pa.array(n[used])], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, block)), b.column("doc_id"), pa.array(packed, pa.binary()), none(pa.int64(), rows), none(pa.string(), rows), none(pa.int64(), rows)], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(words, block)), none(pa.int64(), words), none(pa.binary(), words), pa.array((block << _NUMBERS) + np.arange(words)), coded.dictionary.take(pa.array(used)).cast(pa.string()), pa.array(n[used])], names=_NAMES)
 
     return run
 
@@ -265,39 +270,68 @@ def _aligned(paths: tuple[str, str]):
 _COMPOSED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _written(packed: bytes) -> tuple[str, tuple[int, int, int]]:
-    """A segment's groups as text, and how many A ids, B ids and groups it has."""
-    numbers, shift, value = [], 0, 0
-    for byte in packed:
-        value |= (byte & 127) << shift
-        if byte < 128:
-            numbers.append(value)
-            shift = value = 0
-        else:
-            shift += 7
-    groups, i, n_a, n_b = [], 0, 0, 0
-    while i < len(numbers):
-        p, q = numbers[i], numbers[i + 1]
-        j, i = i + 2 + p, i + 2 + p + q
-        groups.append(f"{','.join(map(str, numbers[j - p : j]))}|{','.join(map(str, numbers[j:i]))}")
-        n_a, n_b = n_a + p, n_b + q
-    return ";".join(groups), (n_a, n_b, len(groups))
+_ANSWER = "block long, raw binary"
+
+
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What goes to one block from here, as one compressed string: numbers, sums, sizes and packed groups side by side."""
+    press = zstandard.ZstdCompressor(level=3)
+    for b in _larger(batches, 16 << 20):
+        slot = b.column("slot").to_numpy()
+        order = np.argsort(slot)
+        slot = slot[order]
+        data, offs = C.utf8(b.column("packed").take(pa.array(order)))
+        sums = [b.column(c).to_numpy()[order] for c in ("n_best", "count_sum")]
+        at, out = C.runs(slot >> _NUMBERS), []
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            numbers = np.stack([slot[x:y] & (1 << _NUMBERS) - 1, np.diff(offs[x : y + 1]), *(s[x:y] for s in sums)]).astype("<i8")
+            out.append(press.compress(np.int64(y - x).tobytes() + numbers.tobytes() + data[offs[x] : offs[y]].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(slot[at[:-1]] >> _NUMBERS), pa.array(out, pa.binary())], names=["block", "raw"])
+
+
+def _unbundled(rows: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """``number, size, n_best, count_sum`` by number, and the packed groups."""
+    numbers, packed = [np.zeros((4, 0), np.int64)], []
+    for raw in rows:
+        raw = zstandard.ZstdDecompressor().decompress(raw)
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        numbers.append(np.frombuffer(raw, "<i8", 4 * n, 8).reshape(4, n))
+        end = 8 + 32 * n + np.append(0, np.cumsum(numbers[-1][1]))
+        packed += [raw[x:y] for x, y in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
+    every = np.concatenate(numbers, 1)
+    order = np.argsort(every[0])
+    return every[:, order], [packed[k] for k in order.tolist()]
+
+
+def _written(packed: list[bytes]) -> Iterator[tuple[str, int, int, int]]:
+    """Each segment's groups as text, and how many A ids, B ids and groups it has."""
+    for i in range(0, len(packed), 1 << 16):
+        some = packed[i : i + (1 << 16)]
+        raw = b"".join(some)
+        ends = np.append(0, np.cumsum(np.frombuffer(raw, np.uint8) < 128))[np.cumsum([0, *map(len, some)])].tolist()
+        numbers = _unpacked(raw).tolist()
+        for x, y in zip(ends[:-1], ends[1:], strict=True):
+            groups, n_a, n_b = [], 0, 0
+            while x < y:
+                p, q = numbers[x], numbers[x + 1]
+                z, x = x + 2 + p, x + 2 + p + q
+                groups.append(f"{numbers[z - 1]}|{numbers[z]}" if p == q == 1 else f"{','.join(map(str, numbers[z - p : z]))}|{','.join(map(str, numbers[z:x]))}")
+                n_a, n_b = n_a + p, n_b + q
+            yield ";".join(groups), n_a, n_b, len(groups)
 
 
 def _composed(whole: bool):
     """Texts of one block from its segments' alignments."""
 
-    def run(docs: pa.Table, segments: pa.Table) -> pa.Table:
-        order = np.argsort(segments.column("no").to_numpy(), kind="stable")
-        column = lambda c: segments.column(c).to_numpy()[order].astype(np.int64)
-        groups, per = [], np.zeros((len(order), 3), np.int64)
-        for k, packed in enumerate(segments.column("packed").take(pa.array(order)).to_pylist()):
-            text, counts = _written(packed)
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        (_, _, n_best, count_sum), packed = _unbundled(answers.column("raw").to_pylist())
+        groups, per = [], np.zeros((len(packed), 3), np.int64)
+        for k, (text, *counts) in enumerate(_written(packed)):
             groups.append(text)
             per[k] = counts
         n_a, n_b, n_groups = per.T
         # each token end but the first begins a link, and where both end, one link begins for two tokens
-        table = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups, column("n_best"), column("count_sum")], 1)
+        table = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, count_sum], 1)
         sums, texts = np.zeros((docs.num_rows, 6), np.int64), []
         for k, raw in enumerate(docs.column("numbers").to_pylist()):
             numbers = _unpacked(raw)
@@ -318,7 +352,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, whole: bool = False, id_col
     paths = (a_path, b_path)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = C.materialise(own.mapInArrow(C.lean(_dealt(paths, block), holds=True), _DEALT), "dealt")
-    texts, parts = dealt.filter("numbers is not null").select("block", "doc_id", "numbers"), dealt.filter("segment is not null").select("block", "no", "segment", "n")
+    texts, parts = dealt.filter("numbers is not null").select("block", "doc_id", "numbers"), dealt.filter("segment is not null").select("slot", "segment", "n")
     distinct = parts.groupBy("segment").agg(F.sum("n").alias("n"))
     aligned = C.materialise(distinct.mapInArrow(C.lean(_aligned(paths), holds=True), _ALIGNED).withColumn("id", F.monotonically_increasing_id()), "aligned")
     C.release(docs.sparkSession, flush=True)
@@ -334,5 +368,5 @@ def align(docs: DataFrame, a_path: str, b_path: str, whole: bool = False, id_col
     C.discard(aligned, count)
     C.release(docs.sparkSession, flush=True)
     # of a segment a block has one row at most, so the commonest have as many rows as there are blocks
-    back = parts.select(F.col("block").alias("of"), "no", "segment").join(done, "segment").drop("segment")
-    return texts.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_composed(whole), _COMPOSED)
+    back = parts.select("slot", "segment").join(done, "segment").select("slot", "packed", "n_best", "count_sum").mapInArrow(C.lean(_bundled), _ANSWER)
+    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_composed(whole), _COMPOSED)
