@@ -24,12 +24,15 @@ _IN = {
     "intersection": lambda a, b: (a != 0) & (b != 0),
     "difference": lambda a, b: (a != 0) & (b == 0),
     "union": lambda a, b: (a != 0) | (b != 0),
+    # where a bag of shells and holes counts less than nothing or more than once; a shell's left side goes down, which counts -1
+    "below": lambda a, b: a > 0,
+    "above": lambda a, b: a < -1,
 }
 
 
 #: Cells are so many mean edge lengths wide and high, within bounds.
 PER_CELL = 16
-LEAST, MOST = 1 / 256, 8.0
+LEAST, MOST = 1 / 256, 2.0**30
 
 
 def cell_size(edges: DataFrame) -> float:

@@ -69,10 +69,14 @@ EUROSTAT_RULES = (
 #: Merges of the country layer: key column, values, base row, overrides.
 MERGES = (
     ("NAME", ("Australia", "Coral Sea Islands", "Ashmore and Cartier Islands"), "Australia", {}),
-    ("NAME", ("Akrotiri Sovereign Base Area", "Dhekelia Sovereign Base Area"), None, {"NAME": "Cyprus U.K. Bases", "ID": "EWSB"}),
+    ("NAME", ("Akrotiri", "Dhekelia", "Akrotiri Sovereign Base Area", "Dhekelia Sovereign Base Area"), None, {"NAME": "Cyprus U.K. Bases", "ID": "EWSB"}),
 )
-#: Fixed value: east of this meridian the Indian Ocean belongs to the South Pacific.
+#: Codes that the country layer's source lacks, and sources whose parts are all regions of their own.
+ISO3_OF_NAME = {"France": "FRA", "Norway": "NOR"}
+SPLIT_WHOLE = ("Indian Ocean Territories",)
+#: East of this meridian the Indian Ocean belongs to the South Pacific.
 INDIAN_PACIFIC = 146.9167
+INDIAN_OCEAN = ("INDIAN OCEAN", "SOUTH PACIFIC OCEAN (EAST)", "South Pacific Ocean")
 
 
 def _norm(b: Box) -> Box:
@@ -158,13 +162,14 @@ def dissolve_edges(edges: DataFrame, by: list[str], disjoint: bool = False) -> D
     return own if disjoint else boolean.repair(own, by)
 
 
-def cut_at_meridian(table: DataFrame, name: str, value: str, meridian: float, parent: str, east: str) -> DataFrame:
-    """The row with ``name == value`` keeps what lies west of the meridian; the rest is a new row with another parent."""
+def cut_at_meridian(table: DataFrame, name: str, value: str, meridian: float, parent: str, east: str, new_name: str | None = None) -> DataFrame:
+    """The row with ``name == value`` keeps what lies west of the meridian; the rest is a new row with another parent, and another name if one is given."""
     own = F.col(name) == value
     half = lambda less: F.transform("geometry", lambda part: F.transform(part, lambda ring: G.clip_half(ring, "x", F.lit(meridian), less)))
     wide = G.bounds("geometry")
     west = table.withColumn("geometry", F.when(own & (wide["maxx"] > meridian), half(True)).otherwise(F.col("geometry")))
     new = table.filter(own & (wide["maxx"] > meridian)).withColumn("geometry", half(False)).withColumn(parent, F.lit(east))
+    new = new if new_name is None else new.withColumn(name, F.lit(new_name))
     return west.unionByName(new)
 
 
@@ -193,5 +198,31 @@ def group_seas(seas: DataFrame, names: DataFrame) -> DataFrame:
     return harmonise.dictionary_join(named, names, "name", "sea", "parent", "parent_reg")
 
 
+def parts_of_rows(table: DataFrame, into: str) -> DataFrame:
+    """One row for each part, numbered in ``into``: what exploding a layer gives."""
+    own = G.parts(table)
+    return own.drop("part").withColumn(into, F.monotonically_increasing_id())
+
+
+def sea_regions(seas: DataFrame, ocean: DataFrame, names: DataFrame, cut: tuple[str, str, str] = INDIAN_OCEAN, meridian: float = INDIAN_PACIFIC, project: bool = True) -> DataFrame:
+    """``parent_reg, geometry``: the ocean's water by the parent region of the sea that it belongs to.
+
+    ``seas``: name, note, geometry; ``ocean``: geometry; ``names``: sea, parent.  Water of a sea is the sea's; each polygon of what no
+    sea covers goes to the nearest one, to all of them if several are equally near.  The sea ``cut[0]`` ends at the
+    meridian, and what lies east of it is another (``cut[1]``) of parent ``cut[2]``.
+    """
+    named = group_seas(seas, names)
+    named = cut_at_meridian(named, "name", cut[0], meridian, "parent_reg", cut[2], cut[1])
+    marine = settle(named.select(F.monotonically_increasing_id().alias("sea_id"), "parent_reg", "geometry").filter(F.size("geometry") > 0))
+    water = settle(ocean.select(F.monotonically_increasing_id().alias("ocean_id"), "geometry"))
+    parent = marine.select("sea_id", "parent_reg")
+    main = overlay_intersection(water, marine, "ocean_id", "sea_id").join(parent, "sea_id").select("parent_reg", *G.EDGE)
+    left = settle(parts_of_rows(gap_polygons(water, marine, "ocean_id"), "gap_id"))
+    near = predicates.nearest(left.select("gap_id", "geometry"), marine.select("sea_id", "geometry"), "gap_id", "sea_id", project)
+    owner = near.join(parent, "sea_id").select("gap_id", "parent_reg").distinct()
+    gap_edges = G.edges(left.select("gap_id", "geometry"), ["gap_id"]).join(owner, "gap_id").select("parent_reg", *G.EDGE)
+    return rings.polygons(boolean.repair(settle(main.unionByName(gap_edges)), ["parent_reg"]), ["parent_reg"])
+
+
 def default_name(column: Column) -> Column:
     return F.coalesce(column, F.lit("Unassigned Marine Area"))

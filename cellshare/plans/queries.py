@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import boolean, coverage, harmonise, layers, predicates
+from ..operators import boolean, coverage, harmonise, layers, predicates, validity
 from ..sources import tables
 from . import build
 from .fixtures import load, sql
@@ -61,9 +61,9 @@ def _joined(boxes: str, key: str, name: str) -> str:
     {name}_part AS (SELECT {key}, b.i, min(l) AS part FROM {name}_r r JOIN {name}_b b ON b.i = r.i GROUP BY ALL)"""
 
 
-def _cell_parts(cells: str, key: str) -> str:
+def _cell_parts(cells: str, key: str, before: str = "") -> str:
     """Parts (cells that share a side), holes, area and bounds of sets of 1/8 cells, as ``WITH RECURSIVE``."""
-    return f"""WITH RECURSIVE c AS ({cells}),
+    return f"""WITH RECURSIVE {before} c AS ({cells}),
     run AS (SELECT {key}, y, min(x) AS a, max(x) AS b FROM (SELECT *, x - row_number() OVER (PARTITION BY {key}, y ORDER BY x) AS g FROM c) GROUP BY {key}, y, g),
     n AS (SELECT *, row_number() OVER (ORDER BY {key}, y, a) AS i FROM run),
     e AS (SELECT p.i AS u, q.i AS v FROM n p JOIN n q ON p.{key} = q.{key} AND abs(p.y - q.y) = 1 AND p.a <= q.b AND q.a <= p.b),
@@ -240,6 +240,25 @@ def _(spark, sf):
     return t.select("region_id", G.is_empty(shape).alias("empty"), G.is_valid(shape).alias("valid"))
 
 
+@query("f10_g9_validity_reasons", """SELECT region_id, row_id % 10 IN (0, 1, 2) AS valid, CASE row_id % 10 WHEN 3 THEN 'Self-intersection' WHEN 4 THEN 'Hole outside shell or in another hole' WHEN 5 THEN 'Nested shells'
+    WHEN 6 THEN 'Self-intersection' WHEN 7 THEN 'Self-intersection' WHEN 8 THEN 'Hole outside shell or in another hole' WHEN 9 THEN 'Ring self-intersection' END AS reason FROM fx_parcels""")
+def _(spark, sf):
+    # a box; with a hole; with a part that touches its corner; crossing; hole outside; nested; spike; shared side; hole in a hole; touching itself
+    t = load(spark, sf, "fx_parcels")
+    p = lambda u, v: G.point(F.col("minx") + (F.col("maxx") - F.col("minx")) * u, F.col("miny") + (F.col("maxy") - F.col("miny")) * v)
+    ring = lambda *c: F.array(*[p(u, v) for u, v in (*c, c[0])])
+    at = lambda a, b, c, d: ((a, b), (c, b), (c, d), (a, d))
+    box = lambda *b: ring(*at(*b))
+    hole = lambda *b: ring(*at(*b)[::-1])
+    shapes = (
+        [[box(0, 0, 1, 1)]], [[box(0, 0, 1, 1), hole(0.25, 0.25, 0.75, 0.5)]], [[box(0, 0, 1, 1)], [box(1, 1, 2, 2)]], [[ring((0, 0), (1, 1), (1, 0), (0, 1))]],
+        [[box(0, 0, 1, 1), hole(5, 0, 5.5, 0.5)]], [[box(0, 0, 1, 1)], [box(0.25, 0.25, 0.5, 0.5)]], [[ring((0, 0), (1, 0), (1, 0.5), (2, 0.5), (1, 0.5), (1, 1), (0, 1))]],
+        [[box(0, 0, 1, 1)], [box(1, 0, 2, 1)]], [[box(0, 0, 1, 1), hole(0.25, 0.25, 0.75, 0.75), hole(0.375, 0.375, 0.5, 0.5)]], [[ring((0, 0), (1, 0), (1, 1), (0.5, 0), (0, 1))]],
+    )
+    geometry = F.coalesce(*[F.when(F.col("row_id") % 10 == k, F.array(*[F.array(*part) for part in s])) for k, s in enumerate(shapes)])
+    return validity.check(t.withColumn("geometry", geometry), ["region_id"]).select("region_id", "valid", "reason")
+
+
 @query("f7_f8_null_and_flat_geometry", "SELECT region_id FROM fx_boxes WHERE row_id % 3 = 1")
 def _(spark, sf):
     flat = G.box("minx", "miny", "maxx", "miny")
@@ -519,6 +538,61 @@ def _(spark, sf):
     return cut.select("region_id", "parent", G.bounds("geometry").alias("b")).select("region_id", "parent", "b.minx", "b.maxx")
 
 
+_OCEAN = ((0, 0.0, 0.0, 14.0, 8.0), (1, 15.0, 0.0, 29.0, 8.5), (2, 2.0, 9.0, 30.0, 15.0), (3, 33.0, 2.0, 34.0, 3.0))
+_MERC = lambda v: f"6378137.0 * asinh(tan(radians({v})))"
+_DISTANCE = f"""sqrt(pow(6378137.0 * radians(greatest(g.a / 8 - s.maxx, s.minx - (g.b + 1) / 8, 0)), 2)
+    + pow(greatest({_MERC('g.y / 8')} - {_MERC('s.maxy')}, {_MERC('s.miny')} - {_MERC('(g.y + 1) / 8')}, 0), 2))"""
+# every sea has its group for a parent; N03 is cut at 16.5; gaps of the ocean go to the nearest seas
+_SEAS = f"""o AS ({" UNION ALL ".join(f"SELECT {a} AS minx, {b} AS miny, {c} AS maxx, {d} AS maxy, {i} AS ocean" for i, a, b, c, d in _OCEAN)}),
+    s0 AS (SELECT region_id, 'Sea ' || CAST(grp AS STRING) AS parent_reg, minx, miny, CASE WHEN region_id = 'N03' THEN least(maxx, 16.5) ELSE maxx END AS maxx, maxy FROM fx_boxes
+        UNION ALL SELECT region_id, 'Far Sea', 16.5, miny, maxx, maxy FROM fx_boxes WHERE region_id = 'N03' AND maxx > 16.5),
+    s AS (SELECT *, row_number() OVER (ORDER BY region_id, minx) AS sea FROM s0),
+    ow AS ({_fine("o", "ocean")}), sw AS ({_fine("s", "parent_reg")}), gw AS (SELECT * FROM ow ANTI JOIN sw USING (x, y)),
+    grun AS (SELECT ocean, y, min(x) AS a, max(x) AS b FROM (SELECT *, x - row_number() OVER (PARTITION BY ocean, y ORDER BY x) AS k FROM gw) GROUP BY ocean, y, k),
+    gn AS (SELECT *, row_number() OVER (ORDER BY ocean, y, a) AS i FROM grun),
+    ge AS (SELECT p.i AS u, q.i AS v FROM gn p JOIN gn q ON p.ocean = q.ocean AND abs(p.y - q.y) = 1 AND p.a <= q.b AND q.a <= p.b),
+    gr AS (SELECT i, i AS l FROM gn UNION SELECT v, l FROM gr JOIN ge ON u = i WHERE l < v),
+    gap AS (SELECT i, min(l) AS gap FROM gr GROUP BY i),
+    gd AS (SELECT gap, parent_reg, sea, min({_DISTANCE}) AS d FROM gap JOIN gn g USING (i), s GROUP BY gap, parent_reg, sea),
+    gp AS (SELECT DISTINCT gap, parent_reg FROM (SELECT *, rank() OVER (PARTITION BY gap ORDER BY round(d, 6)) AS k FROM gd) WHERE k = 1),"""
+_SEA_CELLS = """SELECT DISTINCT parent_reg, x, y FROM sw JOIN (SELECT DISTINCT x, y FROM ow) USING (x, y)
+    UNION SELECT parent_reg, x, y FROM gp JOIN gap USING (gap) JOIN gn USING (i), unnest(range(gn.a, gn.b + 1)) AS t(x)"""
+
+
+@query("sea_layer", _cell_parts(_SEA_CELLS, "parent_reg", _SEAS))
+def _(spark, sf):
+    t = layer(spark, sf, "fx_boxes")
+    seas = t.select(F.when(F.col("row_id") % 2 == 0, F.col("region_id")).alias("name"), F.col("region_id").alias("note"), "geometry")
+    names = t.select(F.upper("region_id").alias("sea"), F.concat(F.lit("Sea "), F.col("grp").cast("string")).alias("parent"))
+    ocean = G.from_boxes(spark.createDataFrame([b[1:] for b in _OCEAN], "minx double, miny double, maxx double, maxy double"))
+    return layers.sea_regions(seas, ocean, names, ("N03", "N03 EAST", "Far Sea"), 16.5).select(*_shape("parent_reg"))
+
+
+@query("country_layer", """SELECT id AS ID, name AS NAME, iso AS ISO3_CODE, num AS NUM_ID, parts, area FROM (
+    SELECT CASE WHEN k = 0 THEN 'NO' WHEN k = 1 THEN 'FR' ELSE 'Z' || lpad(CAST(k AS STRING), 2, '0') END AS id, CASE WHEN k = 0 THEN 'Norway' WHEN k = 1 THEN 'France' ELSE n_name END AS name,
+        CASE WHEN k = 0 THEN 'NOR' WHEN k = 1 THEN 'FRA' WHEN k % 3 <> 0 THEN 'Z' || lpad(CAST(k AS STRING), 2, '0') END AS iso, k + 1 AS num, CAST(1 AS BIGINT) AS parts, CAST(3 AS DOUBLE) AS area
+    FROM (SELECT *, CAST(n_nationkey AS BIGINT) AS k FROM nation) WHERE k NOT IN (2, 3, 4)
+    UNION ALL SELECT 'SJ', 'Svalbard and Jan Mayen', 'SJM', 101, 1, 2 UNION ALL SELECT 'YT', 'Mayotte', 'MYT', 102, 1, 0.375
+    UNION ALL SELECT 'CX', 'Christmas Island', 'CXR', 103, 1, 0.25 UNION ALL SELECT 'CC', 'Cocos (Keeling) Islands', 'CCK', 104, 1, 0.5
+    UNION ALL SELECT 'EWSB', 'Cyprus U.K. Bases', NULL, 105, 1, 5)""")
+def _(spark, sf):
+    # -99 codes, a source that is split whole, two rows that are merged, the rest as it is
+    n = spark.read.parquet(f"{sf}/nation.parquet").withColumn("k", F.col("n_nationkey").cast("bigint"))
+    part = lambda *b: G.box(*[F.lit(float(v)) for v in b])
+    own = G.box(F.col("k").cast("double"), F.lit(58.0), F.col("k") + 1.0, F.lit(61.0))
+    place = {0: F.concat(part(6, 58, 7, 61), part(15, 76, 17, 77)), 1: F.concat(part(1, 45, 2, 48), part(44.5, -13.25, 45.25, -12.75)), 2: F.concat(part(105.25, -10.75, 105.75, -10.25), part(96.5, -12.5, 97.5, -12)), 3: part(32, 34, 33, 37), 4: part(33, 34, 34, 36)}
+    name = {0: "Norway", 1: "France", 2: "Indian Ocean Territories", 3: "Akrotiri", 4: "Dhekelia"}
+    pick = lambda d, other: F.coalesce(*[F.when(F.col("k") == k, v if not isinstance(v, str) else F.lit(v)) for k, v in d.items()], other)
+    code = F.when((F.col("k") < 5) | (F.col("k") % 3 == 0), "-99").otherwise(F.concat(F.lit("Z"), F.lpad(F.col("k").cast("string"), 2, "0")))
+    t = n.select(pick(name, F.col("n_name")).alias("NAME_LONG"), code.alias("ISO_A3"), F.lit("-99").alias("ISO_A2"), F.lit("-99").alias("ISO_N3"), (F.col("k") + 1000).alias("NE_ID"), pick(place, own).alias("geometry"))
+    ids = pick({0: "NO", 1: "FR"}, F.concat(F.lit("Z"), F.lpad(F.col("k").cast("string"), 2, "0")))
+    table = n.select(ids.alias("ID"), (F.col("k") + 1000).cast("string").alias("NE_ID"), pick({0: "NOR", 1: "FRA"}, ids).alias("ISO3_CODE"), (F.col("k") + 1).cast("string").alias("NUM_ID"))
+    more = spark.createDataFrame([("SJ", "SJM", "101"), ("YT", "MYT", "102"), ("CX", "CXR", "103"), ("CC", "CCK", "104"), ("EWSB", None, "105")], "ID string, ISO3_CODE string, NUM_ID string")
+    codes_of = table.unionByName(more, allowMissingColumns=True).withColumns({"ISO2_CODE": F.lit(None).cast("string"), "ISON_CODE": F.lit(None).cast("string"), "NAME": F.col("ID")})
+    out = build.countries(t, codes_of)
+    return out.select("ID", "NAME", "ISO3_CODE", "NUM_ID", F.size("geometry").cast("bigint").alias("parts"), G.area("geometry").alias("area"))
+
+
 @query("d11_metadata_json", "SELECT region_id, CAST(json_object('region_id', region_id, 'grp', grp, 'row_id', row_id) AS STRING) AS metadata FROM fx_boxes")
 def _(spark, sf):
     return tables.metadata(layer(spark, sf, "fx_boxes").select("region_id", "grp", "row_id", "geometry"))
