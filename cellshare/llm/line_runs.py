@@ -1,6 +1,6 @@
 """Line dedup: a suffix array over line ids by distributed prefix doubling, with DataFrame functions only.
 
-Every line has an id, its 64-bit hash.  A suffix starts at each line and runs to the end of its text.  Round k
+Lines are alike if two 64-bit hashes are; those that occur twice get numbers for ids.  A suffix starts at each line and runs to the end of its text.  Round k
 ranks suffixes by their first 2**k lines: two neighbouring ranks of round k - 1 make a pair, the distinct pairs are
 sorted over all partitions, and a pair's place is the new rank.  A suffix whose rank nobody shares is done, so
 rounds work on repeated stretches alone and end when the longest is passed.
@@ -13,8 +13,8 @@ places tell, and all suffixes of an interval are searched side by side, one bit
 interval only the first suffix of each interval of the next round takes part: it stands for the others.
 
 A later copy that isn't the tail of one that starts a line before is a maximal repeated run: it can't be extended to
-either side.  Its lines are deleted if together they have ``min_chars`` characters (``MIN_CHARS`` if not given; with
-1 no later copy of a line that isn't blank stays).  A copy may overlap its own original, as in ``a a a``: the
+either side.  Its lines are deleted if together they have ``min_chars`` characters; with ``MIN_CHARS``, which is 1,
+no later copy of a line that isn't blank stays.  A copy may overlap its own original, as in ``a a a``: the
 second and third line are a later copy of the first and second, and the first alone stays.
 
 Blank lines (empty or spaces) are never deleted and end a run.  Null texts stay null; empty texts stay.  Rows
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_CHARS = 30
+MIN_CHARS = 1
 NO_ID = -(1 << 63)
 DOC = ["d", "t"]
 #: Names that a table's own columns don't have.
@@ -49,10 +49,11 @@ def place() -> Column:
 def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``d, t, seq, rank, size``: lines that occur more than once, with their ids as first ranks and their lengths."""
     lines = docs.select(*DOC, F.posexplode(F.split(text_col, "\n")).alias("seq", "line")).filter(F.trim("line") != "")
-    lines = C.materialise(lines.select(*DOC, "seq", F.xxhash64("line").alias("rank"), F.length("line").alias("size")), "lines")
+    both = {"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")}
+    lines = C.materialise(lines.select(*DOC, "seq", *[v.alias(k) for k, v in both.items()], F.length("line").alias("size")), "lines")
     # a table of its own: the join may then split a line that has very many copies
-    shared = C.materialise(lines.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"), "shared")
-    out = C.materialise(lines.join(shared, "rank", "left_semi").select(*DOC, "seq", "rank", "size").dropDuplicates([*DOC, "seq"]), "repeated")
+    shared = C.materialise(lines.groupBy(*both).agg(F.count("*").alias("n")).filter("n > 1").select(*both, F.monotonically_increasing_id().alias("rank")), "shared")
+    out = C.materialise(lines.join(shared, [*both]).select(*DOC, "seq", "rank", "size").dropDuplicates([*DOC, "seq"]), "repeated")
     C.discard(lines, shared)
     return out
 
