@@ -70,6 +70,19 @@ def is_empty(geometry: Column | str) -> Column:
     return F.size(geometry) == 0
 
 
+def boundary(geometry: Column | str) -> Column:
+    """The rings as lines, shells and holes alike: ``array<array<struct<x, y>>>``."""
+    return F.flatten(geometry)
+
+
+def line_length(line: Column) -> Column:
+    """Planar length of a line of points."""
+    n = F.size(line)
+    ahead, behind = F.slice(line, 2, F.greatest(n - 1, F.lit(0))), F.slice(line, 1, F.greatest(n - 1, F.lit(0)))
+    step = F.zip_with(behind, ahead, lambda p, q: F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"])))
+    return F.aggregate(step, F.lit(0.0), lambda acc, v: acc + v)
+
+
 def geometry_type(geometry: Column | str) -> Column:
     return F.when(F.size(geometry) > 1, "MultiPolygon").otherwise("Polygon")
 

@@ -59,6 +59,28 @@ def coverage(edges: DataFrame, grid: Grid, region: str = "region_id") -> DataFra
     return filled.select(region, "row", F.col("c.col").alias("col"), F.col("c.frac").alias("frac")).filter(F.col("frac") > TINY)
 
 
+def touched(edges: DataFrame, grid: Grid, region: str = "region_id") -> DataFrame:
+    """``region, row, col`` of every cell that a region meets, if only in a point of its border.
+
+    ``edges`` is a whole bag, level edges too.  Each edge is followed row by row through the cells that its closed
+    squares meet; cells inside, away from all edges, come from the coverage.
+    """
+    u = lambda x: (F.col(x) - grid.min_lon) / grid.dx
+    v = lambda y: (F.lit(grid.max_lat) - F.col(y)) / grid.dy
+    e = edges.select(region, u("x0").alias("u0"), v("y0").alias("v0"), u("x1").alias("u1"), v("y1").alias("v1"))
+    lo, hi = F.least("v0", "v1"), F.greatest("v0", "v1")
+    met = lambda a, b, n: F.sequence(F.greatest(F.ceil(a) - 1, F.lit(0)).cast("int"), F.least(F.floor(b), F.lit(n - 1)).cast("int"))
+    within = lambda a, b, n: (F.ceil(a) - 1 <= n - 1) & (F.floor(b) >= 0)
+    rows = e.filter(within(lo, hi, grid.height)).withColumn("row", F.explode(met(lo, hi, grid.height)))
+    at = lambda h: F.when(h == F.col("v0"), F.col("u0")).when(h == F.col("v1"), F.col("u1")).otherwise(F.col("u0") + (F.col("u1") - F.col("u0")) * ((h - F.col("v0")) / (F.col("v1") - F.col("v0"))))
+    level = F.col("v0") == F.col("v1")
+    a = F.when(level, F.col("u0")).otherwise(at(F.greatest(lo, F.col("row").cast("double"))))
+    b = F.when(level, F.col("u1")).otherwise(at(F.least(hi, F.col("row") + F.lit(1.0))))
+    ends = rows.select(region, "row", F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter(within(F.col("a"), F.col("b"), grid.width))
+    border = ends.select(region, "row", F.explode(met(F.col("a"), F.col("b"), grid.width)).alias("col"))
+    return border.unionByName(coverage(edges, grid, region).select(region, "row", "col")).distinct()
+
+
 def cut_edges(edges: DataFrame, axis: str, at: float, keys: list[str]) -> DataFrame:
     """Edges that cross a line parallel to an axis, as two."""
     other = "y" if axis == "x" else "x"

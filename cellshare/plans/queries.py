@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import boolean, coverage, harmonise, layers, predicates, validity
+from ..operators import boolean, coverage, harmonise, layers, predicates, simplify, validity
 from ..sources import tables
 from . import build
 from .fixtures import load, sql
@@ -240,6 +240,33 @@ def _(spark, sf):
     return t.select("region_id", G.is_empty(shape).alias("empty"), G.is_valid(shape).alias("valid"))
 
 
+@query("r5_all_touched", """SELECT region_id, CAST(15 - y AS INTEGER) AS row, CAST(x AS INTEGER) AS col FROM (SELECT *, unnest(range(greatest(CAST(ceil(miny) AS BIGINT) - 1, 0), least(CAST(floor(maxy) AS BIGINT), 15) + 1)) AS y FROM (
+    SELECT *, unnest(range(greatest(CAST(ceil(minx) AS BIGINT) - 1, 0), least(CAST(floor(maxx) AS BIGINT), 31) + 1)) AS x FROM fx_parcels))""")
+def _(spark, sf):
+    return coverage.touched(G.edges(layer(spark, sf, "fx_parcels"), ["region_id"]), GRID)
+
+
+@query("g16_boundary", "SELECT region_id, CAST(1 AS BIGINT) AS lines, 2 * (maxx - minx + maxy - miny) AS length FROM fx_parcels")
+def _(spark, sf):
+    lines = G.boundary("geometry")
+    length = F.aggregate(F.transform(lines, G.line_length), F.lit(0.0), lambda acc, v: acc + v)
+    return layer(spark, sf, "fx_parcels").select("region_id", F.size(lines).cast("bigint").alias("lines"), length.alias("length"))
+
+
+# each box with bumps on two sides, one lower and one higher than the tolerance
+_BUMP = "CASE WHEN row_id % 2 = 0 THEN 0.0078125 ELSE 0.25 END"
+
+
+@query("g15_simplify", f"SELECT region_id, CAST(CASE WHEN row_id % 2 = 0 THEN 5 ELSE 8 END AS BIGINT) AS points, CASE WHEN row_id % 2 = 0 THEN w * h ELSE w * h - w * {_BUMP} / 8 END AS area FROM (SELECT *, maxx - minx AS w, maxy - miny AS h FROM fx_parcels)")
+def _(spark, sf):
+    t = load(spark, sf, "fx_parcels")
+    at = lambda u, v, more=0.0: G.point(F.col("minx") + (F.col("maxx") - F.col("minx")) * u, F.col("miny") + (F.col("maxy") - F.col("miny")) * v + more)
+    bump = F.expr(_BUMP).cast("double")
+    ring = F.array(at(0, 0), at(0.25, 0), at(0.375, 0, bump), at(0.5, 0), at(1, 0), at(1, 0.5), at(1, 1), at(0, 1), at(0, 0))
+    out = simplify.simplify(t.withColumn("geometry", F.array(F.array(ring))), ["region_id"], 0.015625)
+    return out.select("region_id", F.size(F.col("geometry")[0][0]).cast("bigint").alias("points"), G.area("geometry").alias("area"))
+
+
 @query("f10_g9_validity_reasons", """SELECT region_id, row_id % 10 IN (0, 1, 2) AS valid, CASE row_id % 10 WHEN 3 THEN 'Self-intersection' WHEN 4 THEN 'Hole outside shell or in another hole' WHEN 5 THEN 'Nested shells'
     WHEN 6 THEN 'Self-intersection' WHEN 7 THEN 'Self-intersection' WHEN 8 THEN 'Hole outside shell or in another hole' WHEN 9 THEN 'Ring self-intersection' END AS reason FROM fx_parcels""")
 def _(spark, sf):
