@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import boolean, coverage, harmonise, layers, predicates, simplify, validity
-from ..sources import tables
+from ..sources import arrays, scratch, tables
 from . import build
 from .fixtures import load, sql
 from .grid import Grid
@@ -620,6 +621,14 @@ def _(spark, sf):
     return out.select("ID", "NAME", "ISO3_CODE", "NUM_ID", F.size("geometry").cast("bigint").alias("parts"), G.area("geometry").alias("area"))
 
 
+@query("k2_array_round_trip", f"SELECT region_id, row, col, frac FROM ({_cov('fx_parcels')})")
+def _(spark, sf):
+    path = f"{scratch.folder(spark)}/array-{uuid.uuid4().hex}"
+    t = layer(spark, sf, "fx_parcels")
+    arrays.write_array(mask_of(spark, sf, "fx_parcels"), t, GRID, path, normalised=False, chunk=(64, 16, 16))
+    return arrays.read_array(spark, path).withColumn("frac", F.col("frac").cast("double"))
+
+
 @query("d11_metadata_json", "SELECT region_id, CAST(json_object('region_id', region_id, 'grp', grp, 'row_id', row_id) AS STRING) AS metadata FROM fx_boxes")
 def _(spark, sf):
     return tables.metadata(layer(spark, sf, "fx_boxes").select("region_id", "grp", "row_id", "geometry"))
