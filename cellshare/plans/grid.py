@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,9 +51,22 @@ class Grid:
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.range(self.height).select(F.col("id").cast("int").alias("row"), (F.lit(self.max_lat) - (F.col("id") + 0.5) * self.dy).alias("lat"))
 
+    def box_of(self, row: Column, col: Column) -> dict[str, Column]:
+        """Bounds of a cell."""
+        x0, y1 = F.lit(self.min_lon) + col * self.dx, F.lit(self.max_lat) - row * self.dy
+        return {"x0": x0, "y0": y1 - self.dy, "x1": x0 + self.dx, "y1": y1}
+
+    def centre_of(self, row: Column, col: Column) -> dict[str, Column]:
+        return {"lon": F.lit(self.min_lon) + (col + 0.5) * self.dx, "lat": F.lit(self.max_lat) - (row + 0.5) * self.dy}
+
     def cells(self, spark: SparkSession) -> DataFrame:
         """All cells with bounds and centres, by arithmetic on one range."""
         i = spark.range(self.width * self.height)
         at = i.select(F.expr(f"cast(id div {self.width} as int)").alias("row"), F.expr(f"cast(id % {self.width} as int)").alias("col"))
-        x0, y1 = F.lit(self.min_lon) + F.col("col") * self.dx, F.lit(self.max_lat) - F.col("row") * self.dy
-        return at.select("row", "col", x0.alias("x0"), (y1 - self.dy).alias("y0"), (x0 + self.dx).alias("x1"), y1.alias("y1"), (F.lit(self.min_lon) + (F.col("col") + 0.5) * self.dx).alias("lon"), (F.lit(self.max_lat) - (F.col("row") + 0.5) * self.dy).alias("lat"))
+        return at.withColumns(self.box_of(F.col("row"), F.col("col")) | self.centre_of(F.col("row"), F.col("col")))
+
+
+def sizes(low: Column, high: Column, resolution: float) -> tuple[Column, Column]:
+    """Number and width of the cells between bounds, truncated as in ``Grid``."""
+    n = F.floor((high - low) / resolution).cast("int")
+    return n, (high - low) / n

@@ -13,7 +13,7 @@ from ..operators import boolean, coverage, harmonise, layers, predicates, simpli
 from ..sources import arrays, scratch, tables
 from . import build
 from .fixtures import load, sql
-from .grid import Grid
+from .grid import Grid, sizes
 
 GRID = Grid(0, 0, 32, 16, 1)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,21 +182,30 @@ def _(spark, sf):
 
 
 # --------------------------------------------------------------------------------------------- grid
-@query("r1_r2_grid", "SELECT CAST(3 AS INTEGER) AS width, CAST(2 AS INTEGER) AS height, CAST(10 AS DOUBLE) / 3 AS dx, CAST(3.5 AS DOUBLE) AS dy, CAST(3 AS DOUBLE) AS resolution")
+@query("r1_r2_grid", "SELECT region_id, CAST(floor((maxx - minx) / 0.375) AS INTEGER) AS width, CAST(floor((maxy - miny) / 0.375) AS INTEGER) AS height, (maxx - minx) / floor((maxx - minx) / 0.375) AS dx, (maxy - miny) / floor((maxy - miny) / 0.375) AS dy FROM fx_parcels")
 def _(spark, sf):
-    g = Grid(0, 0, 10, 7, 3)
-    return spark.range(1).select(F.lit(g.width).alias("width"), F.lit(g.height).alias("height"), F.lit(g.dx).alias("dx"), F.lit(g.dy).alias("dy"), F.lit(float(g.resolution)).alias("resolution"))
+    # a grid of its own for each layer's bounds
+    width, dx = sizes(F.col("minx"), F.col("maxx"), 0.375)
+    height, dy = sizes(F.col("miny"), F.col("maxy"), 0.375)
+    return load(spark, sf, "fx_parcels").select("region_id", width.alias("width"), height.alias("height"), dx.alias("dx"), dy.alias("dy"))
 
 
-@query("r3_cell_bounds", "SELECT CAST(i // 32 AS INTEGER) AS row, CAST(i % 32 AS INTEGER) AS col, CAST(i % 32 AS DOUBLE) AS x0, CAST(15 - i // 32 AS DOUBLE) AS y0, CAST(i % 32 + 1 AS DOUBLE) AS x1, CAST(16 - i // 32 AS DOUBLE) AS y1 FROM (SELECT unnest(range(512)) AS i)")
+_OBS_CELLS = "(SELECT DISTINCT CAST(floor((16 - lat) / 0.5) AS INTEGER) AS row, CAST(floor(lon / 0.5) AS INTEGER) AS col FROM fx_obs WHERE lon >= 0 AND lon < 32 AND lat > 0 AND lat <= 16)"
+_HALF = Grid(0, 0, 32, 16, 0.5)
+
+
+def _cells_of(spark, sf):
+    return coverage.to_cells(load(spark, sf, "fx_obs"), _HALF).select("row", "col").distinct()
+
+
+@query("r3_cell_bounds", f"SELECT row, col, col / 2.0::DOUBLE AS x0, 16 - (row + 1) / 2.0::DOUBLE AS y0, (col + 1) / 2.0::DOUBLE AS x1, 16 - row / 2.0::DOUBLE AS y1 FROM {_OBS_CELLS}")
 def _(spark, sf):
-    return GRID.cells(spark).select("row", "col", "x0", "y0", "x1", "y1")
+    return _cells_of(spark, sf).withColumns(_HALF.box_of(F.col("row"), F.col("col")))
 
 
-@query("r4_cell_centres", "SELECT 'lon' AS axis, CAST(i AS INTEGER) AS place, CAST(-0.25 + (i + 0.5) * 0.5 AS DOUBLE) AS centre FROM (SELECT unnest(range(720)) AS i) UNION ALL SELECT 'lat', CAST(i AS INTEGER), CAST(90.25 - (i + 0.5) * 0.5 AS DOUBLE) FROM (SELECT unnest(range(360)) AS i)")
+@query("r4_cell_centres", f"SELECT row, col, (col + 0.5::DOUBLE) / 2 AS lon, 16 - (row + 0.5::DOUBLE) / 2 AS lat FROM {_OBS_CELLS}")
 def _(spark, sf):
-    g = Grid()
-    return g.columns(spark).select(F.lit("lon").alias("axis"), F.col("col").alias("place"), F.col("lon").alias("centre")).union(g.rows(spark).select(F.lit("lat"), "row", "lat"))
+    return _cells_of(spark, sf).withColumns(_HALF.centre_of(F.col("row"), F.col("col")))
 
 
 # ----------------------------------------------------------------------------------------- geometry
