@@ -89,7 +89,7 @@ def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
     try:
         whole = zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(dict.fromkeys(samples))[:size]
+        return b" ".join(dict.fromkeys(samples))
     # entropy tables end with the three start offsets; the content follows
     return whole.partition(OFFSETS)[2] or whole
 

@@ -354,10 +354,10 @@ def test_the_whole_run_decides(spark, monkeypatch):
     """Neither lines nor pairs of lines are long enough, runs of four and more are; without the later rounds none goes."""
     short = [f"l{k:04d}" for k in range(40)]
     rows = [(1, "\n".join(short)), (2, "\n".join(["x", *short[3:14], "y", *short[20:24], "z"])), (3, "\n".join(short[30:40])), (4, "\n".join([*short[3:9], *short[20:26]]))]
-    got, want = lines_kept(spark, rows), brute_lines(rows)
+    got, want = lines_kept(spark, rows, min_chars=30), brute_lines(rows, 30)
     assert got == want and got[1] == rows[0][1] and got[2] == "\n".join(["x", "y", *short[20:24], "z"]) and got[3] == got[4] == ""
     monkeypatch.setattr(line_runs, "doubled", lambda level, step, k: level.drop("later").limit(0))
-    assert lines_kept(spark, rows) == dict(rows)
+    assert lines_kept(spark, rows, min_chars=30) == dict(rows)
 
 
 def test_maximal_runs_have_their_whole_length(spark):
