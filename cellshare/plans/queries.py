@@ -630,6 +630,14 @@ def _(spark, sf):
     return out.select("ID", "NAME", "ISO3_CODE", "NUM_ID", F.size("geometry").cast("bigint").alias("parts"), G.area("geometry").alias("area"))
 
 
+@query("s4_j8_stored_mask", f"SELECT 'region' AS asked, region_id, row, col, frac FROM ({_cov('fx_parcels')}) WHERE region_id = 'C42' UNION ALL SELECT 'box', region_id, row, col, frac FROM ({_cov('fx_parcels')}) WHERE row BETWEEN 3 AND 6 AND col BETWEEN 10 AND 13")
+def _(spark, sf):
+    path = f"{scratch.folder(spark)}/mask-{uuid.uuid4().hex}"
+    tables.write_mask(mask_of(spark, sf, "fx_parcels"), load(spark, sf, "fx_parcels").select("region_id", "grp"), GRID, path)
+    one, box = tables.read_mask(spark, path, "C42"), tables.read_mask(spark, path, cells=(3, 6, 10, 13))
+    return one.select(F.lit("region").alias("asked"), "*").unionByName(box.select(F.lit("box").alias("asked"), "*")).withColumn("frac", F.col("frac").cast("double"))
+
+
 @query("k2_array_round_trip", f"SELECT region_id, row, col, frac FROM ({_cov('fx_parcels')})")
 def _(spark, sf):
     path = f"{scratch.folder(spark)}/array-{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.harmonise import NULL_TOKENS, null_tokens
@@ -76,18 +76,54 @@ def metadata_list(layer: DataFrame, order: str) -> DataFrame:
     return layer.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*cols).alias("r")))), lambda s: s["r"]), {"ignoreNullFields": "false"}).alias("metadata"))
 
 
-def write_mask(mask: DataFrame, layer: DataFrame, grid: Grid, path: str, region: str = "region_id", description: str = "fraction of each cell that a region covers") -> None:
-    """Sparse mask by region, its attributes, and the regions' metadata."""
+def hilbert(row: Column, col: Column, bits: int) -> Column:
+    """Place of a cell along the Hilbert curve through ``2**bits`` rows and columns: near in place is near on the map."""
+    # an array of one, so that each step names the state before it once
+    state = F.array(F.struct(col.cast("long").alias("x"), row.cast("long").alias("y"), F.lit(0).cast("long").alias("d")))
+    for k in reversed(range(bits)):
+        state = F.transform(state, _hilbert_step(1 << k))
+    return state[0]["d"]
+
+
+def _hilbert_step(side: int):
+    """Which quarter of a square a cell is in, and the cell as that quarter's own curve sees it."""
+
+    def step(t: Column) -> Column:
+        right, up = t["x"].bitwiseAND(F.lit(side)) != 0, t["y"].bitwiseAND(F.lit(side)) != 0
+        quarter = F.when(right & up, 2).when(right, 3).when(up, 1).otherwise(0)
+        inside = lambda c: t[c].bitwiseAND(F.lit(side - 1))
+        x = F.when(up, inside("x")).when(right, side - 1 - inside("y")).otherwise(inside("y"))
+        y = F.when(up, inside("y")).when(right, side - 1 - inside("x")).otherwise(inside("x"))
+        return F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), (t["d"] + quarter.cast("long") * side * side).alias("d"))
+
+    return step
+
+
+def write_mask(mask: DataFrame, layer: DataFrame, grid: Grid, path: str, region: str = "region_id", description: str = "fraction of each cell that a region covers", group_bytes: int = 8 << 20) -> None:
+    """Sparse mask, its attributes, and the regions' metadata.
+
+    Cells lie along a Hilbert curve: each file holds a stretch of it, and within a file rows are in order of region, row and column, in row
+    groups of ``group_bytes``.  So the bounds that Parquet keeps let a reader of one region, or of one box, skip most groups,
+    and files are as many as the size asks for, however many regions there are.
+    """
     spark = mask.sparkSession
-    mask.withColumn("frac", F.col("frac").cast("float")).write.mode("overwrite").partitionBy(region).option("compression", "zstd").parquet(f"{path}/mask")
+    bits = max(grid.width, grid.height, 2) - 1
+    placed = mask.withColumn("frac", F.col("frac").cast("float")).withColumn("_place", hilbert(F.col("row"), F.col("col"), bits.bit_length()))
+    laid = placed.repartitionByRange("_place").sortWithinPartitions(region, "row", "col").drop("_place")
+    laid.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", group_bytes).parquet(f"{path}/mask")
     attrs = [(list(map(float, grid.transform)), "EPSG:4326", float(grid.resolution), description, grid.width, grid.height)]
     spark.createDataFrame(attrs, "transform array<double>, crs string, resolution double, description string, width int, height int").coalesce(1).write.mode("overwrite").parquet(f"{path}/attributes")
     metadata(layer).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
-def read_mask(spark: SparkSession, path: str, region_id: str | None = None, region: str = "region_id") -> DataFrame:
-    """The mask, or one region of it; a region that isn't there raises."""
+def read_mask(spark: SparkSession, path: str, region_id: str | None = None, region: str = "region_id", cells: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """The mask, one region of it (one that isn't there raises), or what lies in ``cells``: first and last row, first and last column.
+
+    Both conditions reach the scan.
+    """
     mask = spark.read.parquet(f"{path}/mask")
+    if cells is not None:
+        mask = mask.filter(F.col("row").between(*cells[:2]) & F.col("col").between(*cells[2:]))
     if region_id is None:
         return mask
     one = mask.filter(F.col(region) == region_id)
