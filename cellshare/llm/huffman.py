@@ -11,7 +11,8 @@ and a second file holds ``(symbol, bits)``, sorted canonically.  A reader needs
 records it wants: every stretch between two checkpoints decodes by itself, and all stretches of a record are
 decoded side by side with one table look-up for each id.
 
-Null and empty texts hold the end id alone; a null text id is left out; rows that share an id keep all their
+Null and empty texts hold the end id alone; rows with a null id come first, under the
+smallest number that an id can be, and are read back as null; rows that share an id keep all their
 ids, each in its own text, in any order among themselves.  An empty table gives empty files.
 """
 
@@ -32,6 +33,8 @@ CHUNK = 2_000_000
 TAIL = 8
 #: Bytes of payload from which bit offsets take 64 bits.
 WIDE = 1 << 29
+#: The id of rows that have none.
+NO_ID = -(1 << 63)
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -184,8 +187,10 @@ def _encode(symbols: np.ndarray, lengths: np.ndarray):
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all texts in ascending id order and write ``path/data`` and ``path/code``."""
     spark = C.ship(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    dealt = own.repartitionByRange(C.partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # rows that share an id, or have none, needn't be in one part
+    own = own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("place"))
+    dealt = own.repartitionByRange(C.partitions(spark), "doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     chunks = C.materialise(dealt.mapInArrow(_tokenise(tokenizer, end), _CHUNK), "chunks", "uncompressed")
     del dealt
     C.release(spark, flush=True)
@@ -225,4 +230,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     ends = np.concatenate([[0], np.cumsum([n for _, n in parts])]).astype(np.int64)
     base = {p: int(e) for (p, _), e in zip(parts, ends[:-1], strict=True)}
     run = _decode(code["symbol"].to_numpy(np.int64), code["bits"].to_numpy(np.int64), base)
-    return data.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    out = data.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
