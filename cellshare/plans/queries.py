@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import boolean, coverage, harmonise, layers, predicates, simplify, validity
-from ..sources import arrays, scratch, tables
+from ..sources import arrays, scratch, shapefile, tables
 from . import build
 from .fixtures import load, sql
 from .grid import Grid, sizes
@@ -433,10 +433,23 @@ def _(spark, sf):
     return harmonise.first_by(codes(spark, sf), "iso3_code", "num_id").select("iso3_code", "num_id")
 
 
-@query("f11_f12_alignment", "SELECT true AS same_crs, false AS same_columns")
+_PRJ = ('GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],PRIMEM["Greenwich",0]]', 'GEOGCS["WGS 84", DATUM["WGS_1984", SPHEROID["WGS 84", 6378137.0, 298.257223563]], PRIMEM["Greenwich", 0.0]]\n', 'PROJCS["WGS 84 / Pseudo-Mercator"]')
+
+
+@query("f11_f12_alignment", "SELECT 'fx_boxes' AS layer, true AS same_crs, true AS same_columns, count(*) AS regions FROM fx_boxes UNION ALL SELECT 'fx_plain', false, false, count(*) FROM fx_boxes")
 def _(spark, sf):
-    a, b = load(spark, sf, "fx_tiles"), load(spark, sf, "fx_codes")
-    return spark.range(1).select(F.lit(harmonise.same_crs("EPSG:4326", "EPSG:4326")).alias("same_crs"), F.lit(a.columns == b.columns).alias("same_columns"))
+    # layers as files, each beside its own reference system, held against the tiles
+    base = f"{scratch.folder(spark)}/layers-{uuid.uuid4().hex}"
+    tiles, boxes = (layer(spark, sf, n).select("region_id", "grp", "geometry") for n in ("fx_tiles", "fx_boxes"))
+    for t, name, prj in zip((tiles, boxes, boxes.drop("grp")), ("fx_tiles", "fx_boxes", "fx_plain"), _PRJ, strict=True):
+        shapefile.write_shapefile(t, f"{base}/{name}.shp", prj)
+    first, out = shapefile.read_shapefile(spark, f"{base}/fx_tiles.shp"), None
+    for name in ("fx_boxes", "fx_plain"):
+        other = shapefile.read_shapefile(spark, f"{base}/{name}.shp")
+        same = shapefile.aligned(f"{base}/fx_tiles.shp", f"{base}/{name}.shp", strict=False)
+        row = other.agg(F.lit(name).alias("layer"), F.lit(same).alias("same_crs"), F.lit(first.columns == other.columns).alias("same_columns"), F.count("*").alias("regions"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("j1_lookup", f"WITH {_CODES} SELECT b.region_id, CAST(c.num_id AS STRING) AS NUM_ID FROM fx_boxes b LEFT JOIN codes c ON b.region_id = c.id")

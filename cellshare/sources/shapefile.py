@@ -6,6 +6,7 @@ read in ``partitions`` ranges of records.  ``write_shapefile`` is the other way,
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from pathlib import Path
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.geometry import GEOMETRY
+from ..operators.harmonise import same_crs
 
 POLYGON = 5
 #: Kinds of shape that are read: nothing, and polygons, also with heights or measures, which follow x and y.
@@ -157,6 +159,25 @@ def crs(path: str) -> str | None:
     return prj.read_text().strip() if prj.exists() else None
 
 
+def crs_key(text: str) -> str:
+    """What tells reference systems in this text form apart: neither space between its parts, nor case outside quotes, nor how numbers are written."""
+    out = []
+    for k, bit in enumerate(text.strip().split('"')):
+        bare = re.sub(r"\s+", "", bit).upper()
+        out.append(bit if k % 2 else re.sub(r"-?\d+(?:\.\d*)?(?:[E][-+]?\d+)?", lambda m: repr(float(m.group())), bare))
+    return '"'.join(out)
+
+
+def aligned(a: str, b: str, strict: bool = True) -> bool:
+    """Whether two layers have one reference system by their ``.prj``; raises if they must and don't, or if one has none."""
+    texts = [crs(p) for p in (a, b)]
+    if None in texts:
+        if strict:
+            raise ValueError(f"no reference system beside {[p for p, t in zip((a, b), texts, strict=True) if t is None]}")
+        return False
+    return same_crs(*map(crs_key, texts), strict=strict)
+
+
 def write_shapefile(table: DataFrame, path: str, prj: str | None = None) -> None:
     """One layer of at most ``MAX_ROWS`` regions, overwriting; larger ones go to Parquet."""
     rows = table.limit(MAX_ROWS + 1).collect()

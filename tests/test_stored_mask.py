@@ -46,3 +46,18 @@ def test_readers_skip_most_groups(spark, tmp_path):
     assert tables.read_mask(spark, path, "r017").count() == 256
     plan = box._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(row,100)" in plan and "LessThanOrEqual(row,107)" in plan
+
+
+def test_reference_systems(tmp_path):
+    import pytest
+
+    from cellshare.sources import shapefile
+
+    texts = {"a": 'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.25]]]', "b": 'geogcs["WGS 84", DATUM["WGS_1984",\n SPHEROID["WGS 84", 6378137.0, 298.250]]]\n', "c": 'GEOGCS["WGS 85"]'}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.prj").write_text(text)
+    path = lambda n: str(tmp_path / f"{n}.shp")
+    assert shapefile.aligned(path("a"), path("b")) and not shapefile.aligned(path("a"), path("c"), strict=False) and not shapefile.aligned(path("a"), path("none"), strict=False)
+    for other in ("c", "none"):
+        with pytest.raises(ValueError, match="reference system"):
+            shapefile.aligned(path("a"), path(other))
