@@ -228,9 +228,9 @@ def _(spark, sf):
     return load(spark, sf, "fx_boxes").select("region_id").join(area, "region_id", "left").select("region_id", F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
-@query("g11_g12_parts", "SELECT grp, count(*) AS parts, CASE WHEN count(*) > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind FROM fx_tiles GROUP BY grp")
+@query("g11_g12_parts", f"WITH RECURSIVE {_joined('SELECT grp, row_id AS i, minx, miny, maxx, maxy FROM fx_boxes', 'grp', 't')} SELECT grp, count(DISTINCT part) AS parts, CASE WHEN count(DISTINCT part) > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind FROM t_part GROUP BY grp")
 def _(spark, sf):
-    d = layers.dissolve(layer(spark, sf, "fx_tiles"), "grp", "row_id", ["row_id"]).withColumn("kind", G.geometry_type("geometry"))
+    d = layers.dissolve(layer(spark, sf, "fx_boxes"), "grp", "row_id", ["row_id"]).withColumn("kind", G.geometry_type("geometry"))
     return G.parts(d).groupBy("grp", "kind").agg(F.count("*").alias("parts")).select("grp", "parts", "kind")
 
 
