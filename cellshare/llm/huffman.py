@@ -188,8 +188,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0, id_col: str
     """Encode all texts in ascending id order and write ``path/data`` and ``path/code``."""
     spark = C.ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # rows that share an id, or have none, needn't be in one part
-    own = own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("place"))
+    # rows without an id needn't be in one part
+    own = own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).alias("place"))
     dealt = own.repartitionByRange(C.partitions(spark), "doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     chunks = C.materialise(dealt.mapInArrow(_tokenise(tokenizer, end), _CHUNK), "chunks", "uncompressed")
     del dealt
