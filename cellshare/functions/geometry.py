@@ -124,14 +124,15 @@ def parts(table: DataFrame, geometry: str = "geometry") -> DataFrame:
     return table.select(*keep, F.posexplode(geometry).alias("part", "rings")).select(*keep, "part", F.array("rings").alias(geometry))
 
 
-def edges(table: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
-    """The edge bag of a table of geometries; rings are turned so that the interior is on the left."""
+def edges(table: DataFrame, keys: list[str], geometry: str = "geometry", counted: bool = False) -> DataFrame:
+    """The edge bag of a table of geometries; rings are turned so that the interior is on the left.  ``counted``: with ``last``, the ring's number of edges."""
     rings = table.select(*keys, F.posexplode(geometry).alias("part", "rings")).select(*keys, "part", F.posexplode("rings").alias("ring", "pts"))
     turned = F.when((F.col("ring") == 0) == (ring_area(F.col("pts")) >= 0), F.col("pts")).otherwise(F.reverse("pts"))
     n = F.size("pts")
+    last = [(n - 1).alias("last")] if counted else []
     pairs = F.arrays_zip(F.slice("pts", 1, n - 1).alias("p"), F.slice("pts", 2, n - 1).alias("q"))
-    flat = rings.withColumn("pts", turned).filter(n > 1).select(*keys, "part", "ring", F.posexplode(pairs).alias("seq", "e"))
-    return flat.select(*keys, "part", "ring", "seq", F.col("e.p.x").alias("x0"), F.col("e.p.y").alias("y0"), F.col("e.q.x").alias("x1"), F.col("e.q.y").alias("y1"))
+    flat = rings.withColumn("pts", turned).filter(n > 1).select(*keys, "part", "ring", *last, F.posexplode(pairs).alias("seq", "e"))
+    return flat.select(*keys, "part", "ring", "seq", *(["last"] if counted else []), F.col("e.p.x").alias("x0"), F.col("e.p.y").alias("y0"), F.col("e.q.x").alias("x1"), F.col("e.q.y").alias("y1"))
 
 
 def bag_area() -> Column:

@@ -281,7 +281,7 @@ def _(spark, sf):
     WHEN 6 THEN 'Self-intersection' WHEN 7 THEN 'Self-intersection' WHEN 8 THEN 'Hole outside shell or in another hole' WHEN 9 THEN 'Ring self-intersection' END AS reason FROM fx_parcels""")
 def _(spark, sf):
     # a box; with a hole; with a part that touches its corner; crossing; hole outside; nested; spike; shared side; hole in a hole; touching itself
-    t = load(spark, sf, "fx_parcels")
+    t = load(spark, sf, "fx_parcels").repartition("region_id")
     p = lambda u, v: G.point(F.col("minx") + (F.col("maxx") - F.col("minx")) * u, F.col("miny") + (F.col("maxy") - F.col("miny")) * v)
     ring = lambda *c: F.array(*[p(u, v) for u, v in (*c, c[0])])
     at = lambda a, b, c, d: ((a, b), (c, b), (c, d), (a, d))

@@ -56,6 +56,24 @@ def test_reasons(spark):
     assert got == {k: (why is None, why) for k, (_, why) in CASES.items()}
 
 
+def test_large_geometries_meet_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(validity, "FEW", 0)
+    got = {r.id: r.reason for r in validity.check(layer(spark, CASES), ["id"]).collect()}
+    assert got == {k: why for k, (_, why) in CASES.items()}
+
+
+def test_winding_numbers_only_where_they_decide(spark, monkeypatch):
+    """Crossings, rings that touch themselves and rings that keep apart need none; neither do parts side by side."""
+
+    def never(*a, **k):
+        raise AssertionError("a winding number was asked for")
+
+    own = {k: c for k, c in CASES.items() if c[1] in (S, RS, E, R) or k in ("box", "hole", "island in a hole", "nested shells", "hole outside", "hole in a hole", "parts that touch in a point")}
+    monkeypatch.setattr(validity.boolean, "overlay", never)
+    got = {r.id: r.reason for r in validity.check(layer(spark, {k: c for k, c in own.items() if k != "shells that cross at points"}), ["id"]).collect()}
+    assert got == {k: why for k, (_, why) in own.items() if k != "shells that cross at points"}
+
+
 def test_moved_and_turned(spark):
     """The same shapes elsewhere, larger and turned, so that edges cross many cells."""
     rng, cases = random.Random(2), {}
