@@ -33,6 +33,7 @@ _IN = {
 #: Cells are so many mean edge lengths wide and high, within bounds.
 PER_CELL = 16
 LEAST, MOST = 1 / 256, 2.0**30
+CROWD = 64
 
 
 def cell_size(edges: DataFrame) -> float:
@@ -41,6 +42,15 @@ def cell_size(edges: DataFrame) -> float:
     return 2.0 ** round(math.log2(min(MOST, max(LEAST, PER_CELL * (mean or 1.0)))))
 
 
+def crowded_size(edges: DataFrame, keys: list[str]) -> float:
+    """``cell_size``, less where edges of one key lie over each other: so that a cell holds about ``CROWD`` of them, but twice the mean length at least."""
+    size = cell_size(edges)
+    middle = lambda c: F.floor((F.col(f"{c}0") + F.col(f"{c}1")) / 2 / size)
+    held = edges.groupBy(*keys, middle("x").alias("bx"), middle("y").alias("by")).agg(F.count("*").cast("double").alias("n"))
+    met = held.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).collect()[0][0] or 0.0
+    return size / 2.0 ** max(0, min(int(math.log2(PER_CELL)) - 1, math.ceil(math.log2(max(met, 1.0) / CROWD) / 2)))
+
+
 def _bucketed(e: DataFrame, size: float) -> DataFrame:
     lo, hi = F.floor(F.col("ylo") / size).cast("long"), F.floor(F.col("yhi") / size).cast("long")
     return e.withColumn("bucket", F.explode(F.sequence(lo, hi)))
@@ -126,7 +136,7 @@ def overlay(a: DataFrame, b: DataFrame | None, how: str, keys: list[str], cell:
 
 def repair(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Boundary of the non-zero winding: self-crossings and overlapping parts count once."""
-    return overlay(edges, None, "union", keys)
+    return overlay(edges, None, "union", keys, crowded_size(edges, keys))
 
 
 def pieces_of_pairs(a: DataFrame, b: DataFrame, pairs: DataFrame, how: str, a_id: str, b_id: str) -> DataFrame:

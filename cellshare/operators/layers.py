@@ -119,11 +119,13 @@ def united(table: DataFrame, keys: list[str], order: str) -> DataFrame:
     Parts whose bounding box meets no other part's of the group stay as they are, in order; the polygons of the others'
     union follow.  Members that share more than a point become one part, holes and all.
     """
-    # written: the union reads them several times
-    parts = settle(G.parts(table.select(*keys, F.col(order).alias("_o"), "geometry")).withColumn("_id", F.struct("_o", "part")))
-    met = settle(predicates.meeting_boxes(parts.select(*keys, "_id", G.bounds("geometry").alias("_b")), keys))
+    # written: the union reads them several times; of parts that are alike in all points one does
+    every = G.parts(table.select(*keys, F.col(order).alias("_o"), "geometry")).groupBy(*keys, "geometry")
+    parts = settle(every.agg(F.min("_o").alias("_o"), F.min("part").alias("part"), F.count("*").alias("_n")).withColumn("_id", F.monotonically_increasing_id()))
+    copied = parts.filter("_n > 1").select(*keys, "_id")
+    met = settle(predicates.meeting_boxes(parts.select(*keys, "_id", G.bounds("geometry").alias("_b")), keys).unionByName(copied).distinct())
     on = [*keys, "_id"]
-    alone = parts.join(met, on, "left_anti").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_id", F.col("geometry")[0].alias("p")))), lambda s: s["p"]).alias("_alone"))
+    alone = parts.join(met, on, "left_anti").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "part", F.col("geometry")[0].alias("p")))), lambda s: s["p"]).alias("_alone"))
     if met.isEmpty():
         return alone.withColumnRenamed("_alone", "geometry")
     edges = G.edges(parts.join(met, on, "left_semi").select(*keys, "geometry"), keys).select(*keys, *G.EDGE)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
+from ..sources.scratch import settle
 
 
 def _edge_meets_box(e: str, b: str) -> Column:
@@ -53,20 +54,45 @@ def bounding_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, bucket: flo
     return both.filter("s.minx <= t.maxx and t.minx <= s.maxx and s.miny <= t.maxy and t.miny <= s.maxy").select(a_id, b_id).distinct()
 
 
-def meeting_boxes(boxes: DataFrame, keys: list[str], bucket: float = 8.0) -> DataFrame:
+#: A box is compared with so many before and behind it first.
+BESIDE = 4
+
+
+def meeting_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, _id``: boxes ``_b`` that meet another of their key, in a point at least.
 
-    Within a cell a box is known to meet another without making the pairs: sorted by their left sides, one that begins before
-    the furthest right side so far, or before which the next begins, may meet it; these alone are compared, box by box.
+    Boxes are dealt to cells of one to two times their own size.  Within a cell, sorted by their left sides, most that meet
+    another meet one that is next to them; only the rest is compared with all, box by box, so that pairs of boxes which lie
+    over each other in great numbers aren't made.
     """
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"_b.{lo}") / bucket).cast("long"), F.floor(F.col(f"_b.{hi}") / bucket).cast("long")))
-    dealt = boxes.withColumn("bx", cells("minx", "maxx")).withColumn("by", cells("miny", "maxy"))
-    at = Window.partitionBy(*keys, "bx", "by").orderBy("_b.minx", "_id")
-    beside = (F.max("_b.maxx").over(at.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("_b.minx")) | (F.lead("_b.minx").over(at) <= F.col("_b.maxx"))
-    near = dealt.withColumn("_beside", beside).filter("_beside").drop("_beside")
-    other = near.select(*keys, "bx", "by", F.col("_id").alias("_other"), F.col("_b").alias("_c"))
-    both = near.join(other, [*keys, "bx", "by"]).filter(F.col("_id") != F.col("_other"))
-    return both.filter("_b.minx <= _c.maxx and _c.minx <= _b.maxx and _b.miny <= _c.maxy and _c.miny <= _b.maxy").select(*keys, "_id").distinct()
+    edge = lambda c: F.col(f"_b.{c}")
+    extent = F.greatest(edge("maxx") - edge("minx"), edge("maxy") - edge("miny"))
+    # powers of two; boxes without extent, and tiny ones, have the least
+    level = F.when(extent > 2.0**-20, F.ceil(F.log2(extent))).otherwise(-20).cast("int")
+    own = settle(boxes.select(*keys, "_id", "_b", level.alias("level")))
+    levels = sorted(r[0] for r in own.select("level").distinct().collect())
+    if not levels:
+        return own.select(*keys, "_id")
+    size = F.pow(F.lit(2.0), F.col("at"))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(edge(lo) / size).cast("long"), F.floor(edge(hi) / size).cast("long")))
+    dealt = lambda df: df.withColumn("bx", cells("minx", "maxx")).withColumn("by", cells("miny", "maxy"))
+    cell = [*keys, "at", "bx", "by"]
+    meets = lambda o: (edge("minx") <= o["maxx"]) & (o["minx"] <= edge("maxx")) & (edge("miny") <= o["maxy"]) & (o["miny"] <= edge("maxy"))
+    order = Window.partitionBy(*cell).orderBy("_b.minx", "_b.miny", "_id")
+    alike = dealt(own.withColumn("at", F.col("level")))
+    next_ = [f("_b", k).over(order) for f in (F.lag, F.lead) for k in range(1, BESIDE + 1)]
+    beside = alike.select(*keys, "_id", F.array(*next_).alias("_next"), "_b").filter(F.exists("_next", lambda o: F.coalesce(meets(o), F.lit(False))))
+    sure = settle(beside.select(*keys, "_id").distinct())
+    rest = settle(own.join(sure, [*keys, "_id"], "left_anti"))
+    if rest.isEmpty():
+        return sure
+    # of two boxes the smaller one is in every larger one's cells, too
+    upward = lambda df: dealt(df.withColumn("at", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda n: n >= F.col("level")))))
+    at_own = lambda df: dealt(df.withColumn("at", F.col("level")))
+    as_other = lambda df: df.select(*cell, F.col("_id").alias("_other"), F.col("_b").alias("_c"))
+    pairs = upward(rest).join(as_other(at_own(own)), cell).unionByName(at_own(rest).join(as_other(upward(own)), cell))
+    late = pairs.filter((F.col("_id") != F.col("_other")) & meets(F.col("_c"))).select(*keys, "_id")
+    return sure.unionByName(late).distinct()
 
 
 def _segment_distance() -> Column:

@@ -1,10 +1,12 @@
 """Harmonisation, joins, sources and error paths."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from cellshare.functions import geometry as G
-from cellshare.operators import harmonise, layers, predicates
+from cellshare.operators import boolean, harmonise, layers, predicates
 from cellshare.plans.config import MaskConfig, read_env, truth
 from cellshare.plans.grid import Grid
 from cellshare.sources import shapefile, tables
@@ -106,6 +108,41 @@ def test_dissolve_is_a_union(spark):
     assert [(r.id, r.a) for r in merged.select("id", G.area("geometry").alias("a")).collect()] == [("b", 4.0)]
 
 
+def test_boxes_that_meet_another(spark, monkeypatch):
+    """Against all pairs, for boxes of many sizes; where they lie over each other few are compared with all."""
+    rng, rows = random.Random(5), []
+    for k in range(600):
+        w = rng.choice([0.0, 0.03, 1.0, 1.0, 40.0 if k % 50 == 0 else 0.5])
+        x, y = rng.uniform(-180, 180 - w), rng.uniform(-90, 90 - w)
+        rows.append((k % 3, k, (x, y, x + w, y + w * rng.random())))
+    kind = "grp int, _id long, _b struct<minx:double,miny:double,maxx:double,maxy:double>"
+    meet = lambda p, q: p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3]
+    want = {(g, i) for g, i, b in rows if any(g == h and i != j and meet(b, c) for h, j, c in rows)}
+    got = [tuple(r) for r in predicates.meeting_boxes(spark.createDataFrame(rows, kind), ["grp"]).collect()]
+    assert set(got) == want and len(got) == len(want) and 0 < len(want) < 600
+    sizes, settle = [], predicates.settle
+    monkeypatch.setattr(predicates, "settle", lambda df: sizes.append(settle(df)) or sizes[-1])
+    crowd = [(0, k, (x, y, x + 1, y + 1)) for k in range(4000) for x, y in [(rng.uniform(0, 16), rng.uniform(0, 8))]]
+    assert predicates.meeting_boxes(spark.createDataFrame(crowd, kind), ["grp"]).count() == 4000
+    assert sizes[-1].count() < 200
+
+
+def test_copies_dissolve_to_one(spark):
+    box = lambda a, b, c, d: [[[(float(a), float(b)), (float(c), float(b)), (float(c), float(d)), (float(a), float(d)), (float(a), float(b))]]]
+    rows = [("a", k, box(0, 0, 2, 2)) for k in range(20)] + [("a", 20, box(5, 5, 6, 6)), ("a", 21, box(3, 3, 4, 4) + box(8, 8, 9, 9)), ("b", 22, box(0, 0, 1, 1))]
+    got = {r.grp: r.geometry for r in layers.dissolve(spark.createDataFrame(rows, f"grp string, row_id long, geometry {G.GEOMETRY}"), "grp", "row_id", []).collect()}
+    corners = [(min(p.x for p in part[0]), max(p.x for p in part[0])) for part in got["a"]]
+    assert corners == [(5.0, 6.0), (3.0, 4.0), (8.0, 9.0), (0.0, 2.0)] and len(got["b"]) == 1
+
+
+def test_crowded_edges_get_smaller_cells(spark):
+    rows = [("a", [[[(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1), (x, y)]]]) for k in range(3000) for x, y in [(k % 80 / 8.0, k // 80 / 8.0)]]
+    e = G.edges(spark.createDataFrame(rows, f"grp string, geometry {G.GEOMETRY}"), ["grp"])
+    few = e.filter("x0 < 0.125 and y0 < 0.125")
+    assert boolean.crowded_size(e, ["grp"]) < boolean.cell_size(e) and boolean.crowded_size(few, ["grp"]) == boolean.cell_size(few)
+    assert round(boolean.repair(e, ["grp"]).agg(G.bag_area()).collect()[0][0], 6) == 60.546875
+
+
 def test_mask_from_settings_to_file(spark, tmp_path):
     """Settings, shapefile, repair, turn of longitude, coverage, normalisation, mask; overlapping parts count once."""
     from cellshare.plans import build
