@@ -10,6 +10,9 @@ that within a slab they don't cross and their middle tells their order.  Running
 the winding numbers of both operands on either side of an edge; an edge is kept where the operation's result
 differs, with the interior on its left.  Border edges only start the sums and are never kept.  Candidates for a
 crossing meet in the cells, not pair by pair of a key.
+
+Operands are whole bags, level edges too, as these cross borders like any other.  A result has none; before it is an
+operand itself, ``rings.with_levels`` closes it.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
+
 SNAP = 9
 _IN = {
     "intersection": lambda a, b: (a != 0) & (b != 0),
@@ -141,6 +146,7 @@ def repair(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 def pieces_of_pairs(a: DataFrame, b: DataFrame, pairs: DataFrame, how: str, a_id: str, b_id: str) -> DataFrame:
     """Edge bags for each pair of regions, both ids kept."""
-    left = pairs.join(a, a_id).select(a_id, b_id, "x0", "y0", "x1", "y1")
-    right = pairs.join(b, b_id).select(a_id, b_id, "x0", "y0", "x1", "y1")
+    # written: the overlay reads its operands many times
+    pairs = settle(pairs)
+    left, right = (settle(pairs.join(e, i).select(a_id, b_id, "x0", "y0", "x1", "y1")) for e, i in ((a, a_id), (b, b_id)))
     return overlay(left, right, how, [a_id, b_id])

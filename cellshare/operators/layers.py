@@ -186,7 +186,9 @@ def gaps(whole: DataFrame, covering: DataFrame, whole_id: str) -> DataFrame:
     own = covering.withColumn("_c", F.xxhash64("geometry"))
     pairs = predicates.bounding_pairs(whole, own, whole_id, "_c")
     cover = pairs.join(G.edges(own, ["_c"]), "_c")
-    return boolean.overlay(G.edges(whole, [whole_id]), cover, "difference", [whole_id])
+    # written: the overlay reads its operands many times
+    mine, theirs = (settle(e.select(whole_id, *G.EDGE)) for e in (G.edges(whole, [whole_id]), cover))
+    return boolean.overlay(mine, theirs, "difference", [whole_id])
 
 
 def gap_polygons(whole: DataFrame, covering: DataFrame, whole_id: str) -> DataFrame:
@@ -218,7 +220,9 @@ def sea_regions(seas: DataFrame, ocean: DataFrame, names: DataFrame, cut: tuple[
     marine = settle(named.select(F.monotonically_increasing_id().alias("sea_id"), "parent_reg", "geometry").filter(F.size("geometry") > 0))
     water = settle(ocean.select(F.monotonically_increasing_id().alias("ocean_id"), "geometry"))
     parent = marine.select("sea_id", "parent_reg")
-    main = overlay_intersection(water, marine, "ocean_id", "sea_id").join(parent, "sea_id").select("parent_reg", *G.EDGE)
+    # each piece with its level edges: the union counts all that crosses a strip's border
+    own = settle(overlay_intersection(water, marine, "ocean_id", "sea_id"))
+    main = rings.with_levels(own, ["ocean_id", "sea_id"]).join(parent, "sea_id").select("parent_reg", *G.EDGE)
     left = settle(parts_of_rows(gap_polygons(water, marine, "ocean_id"), "gap_id"))
     near = predicates.nearest(left.select("gap_id", "geometry"), marine.select("sea_id", "geometry"), "gap_id", "sea_id", project)
     owner = near.join(parent, "sea_id").select("gap_id", "parent_reg").distinct()

@@ -119,10 +119,11 @@ def _candidates(sa: DataFrame, sb: DataFrame, a_id: str, b_id: str) -> DataFrame
     whole within that distance, the rest of ``b`` is too far, and boxes that begin beyond the nearest end are, too.  What
     finds none goes on with cells four times the size, until one cell holds everything.
     """
+    # ids and boxes alone; written, as are the rounds' results, or the plan would hold each round many times over
+    sa, sb = settle(sa), settle(sb)
     ends = sa.select(F.col("s").alias("b")).union(sb.select(F.col("t").alias("b"))).agg(*[f(f"b.{c}") for f, c in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy"))]).collect()[0]
     if ends[0] is None:
         return sa.sparkSession.createDataFrame([], StructType([sa.schema[a_id], sb.schema[b_id]]))
-    sa = sa.persist()
     extent = max(ends[2] - ends[0], ends[3] - ends[1], 1e-9)
     size, left, out = extent / 64, sa, None
     gap = lambda lo, hi: F.greatest(F.col(f"s.{lo}") - F.col(f"t.{hi}"), F.col(f"t.{lo}") - F.col(f"s.{hi}"), F.lit(0.0))
@@ -135,12 +136,11 @@ def _candidates(sa: DataFrame, sb: DataFrame, a_id: str, b_id: str) -> DataFrame
         met = x.join(y, ["bx", "by"]).select(a_id, b_id, (dx * dx + dy * dy).alias("least"), (wx * wx + wy * wy).alias("most")).distinct()
         met = met.withColumn("bound", F.min("most").over(Window.partitionBy(a_id)))
         last = size > 2 * extent
-        done = met.filter("least <= bound" if last else (F.col("least") <= F.col("bound")) & (F.col("bound") <= size * size)).select(a_id, b_id)
+        done = settle(met.filter("least <= bound" if last else (F.col("least") <= F.col("bound")) & (F.col("bound") <= size * size)).select(a_id, b_id))
         out = done if out is None else out.unionByName(done)
         if last:
             return out
-        # ids and boxes alone; kept, as each round would otherwise go through all before it twice
-        left = left.join(done.select(a_id).distinct(), a_id, "left_anti").persist()
+        left = settle(left.join(done.select(a_id).distinct(), a_id, "left_anti"))
         if left.isEmpty():
             return out
         size *= 4
@@ -149,7 +149,8 @@ def _candidates(sa: DataFrame, sb: DataFrame, a_id: str, b_id: str) -> DataFrame
 def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, project: bool = True) -> DataFrame:
     """``a_id, b_id, distance``: for each region of ``a`` those of ``b`` at the least distance, ties all kept.
 
-    Distances are planar, in Mercator metres if ``project``; 0 if regions touch, overlap or contain each other.
+    Distances are planar, in Mercator metres if ``project``; 0 if regions touch, overlap or contain each other.  They tie if
+    they are equal to the micrometre, or to nine digits of the layer's own unit, as sums of floats part what is equally near.
     Bounding boxes that meet in cells of the plane rule out most before edges are compared.
     """
     move = (lambda p: G.point(*G.mercator(p["x"], p["y"]))) if project else (lambda p: p)
@@ -167,4 +168,5 @@ def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, project: bool = Tr
     odd = lambda df: df.groupBy(a_id, b_id).agg(F.count("*").alias("n")).filter("n % 2 = 1").select(a_id, b_id)
     inside = odd(right).union(odd(left)).distinct().withColumn("in", F.lit(True))
     exact = apart.join(inside, [a_id, b_id], "left").withColumn("distance", F.when(F.col("in"), 0.0).otherwise(F.sqrt("d2")))
-    return exact.withColumn("r", F.rank().over(Window.partitionBy(a_id).orderBy("distance"))).filter("r = 1").select(a_id, b_id, "distance")
+    order = F.round("distance", 6 if project else 9)
+    return exact.withColumn("r", F.rank().over(Window.partitionBy(a_id).orderBy(order))).filter("r = 1").select(a_id, b_id, "distance")

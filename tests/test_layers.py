@@ -25,6 +25,13 @@ def test_nearest_keeps_ties(spark):
     assert len(predicates.nearest(gap, sea, "gap", "sea").collect()) == 2
 
 
+def test_nearest_ties_to_the_micrometre(spark):
+    """In Mercator metres both are a degree away but for the last digit."""
+    gap = boxes(spark, [("g", 5.0, 0.0, 6.0, 1.0)]).select(F.col("id").alias("gap"), "geometry")
+    sea = boxes(spark, [("a", 3.0, 0.0, 4.0, 1.0), ("b", 7.0, 0.0, 8.0, 1.0), ("c", 7.001, 0.0, 8.0, 1.0)]).select(F.col("id").alias("sea"), "geometry")
+    assert {r.sea for r in predicates.nearest(gap, sea, "gap", "sea").collect()} == {"a", "b"}
+
+
 def test_nearest_near_and_far(spark):
     """Against all pairs; some regions are far from everything, some are wide, and one layer may be empty."""
     import random
@@ -143,6 +150,20 @@ def test_crowded_edges_get_smaller_cells(spark):
     assert round(boolean.repair(e, ["grp"]).agg(G.bag_area()).collect()[0][0], 6) == 60.546875
 
 
+def test_seas_over_many_strips(spark, monkeypatch):
+    """Pieces of water, level sides and slanted ones, over strips of the union that only their level sides meet."""
+    flat = boxes(spark, [("a", 0.0, 0.0, 40.0, 1.0), ("b", 0.0, 1.0, 40.0, 2.0), ("c", 0.0, 2.0, 40.0, 3.0)]).select("id", "geometry")
+    slope = [[[(0.0, 10.0), (9.0, 12.0), (9.0, 14.0), (0.0, 14.0), (0.0, 10.0)]]]
+    seas = flat.unionByName(spark.createDataFrame([("d", slope)], f"id string, geometry {G.GEOMETRY}")).select(F.col("id").alias("name"), F.lit("").alias("note"), "geometry")
+    ocean = boxes(spark, [("o", -1.0, 0.0, 40.0, 2.5), ("p", 50.0, 0.0, 51.0, 1.0), ("q", 1.0, 9.0, 8.0, 13.0)]).select("geometry")
+    names = spark.createDataFrame([("A", "P"), ("B", "P"), ("C", "Q"), ("D", "R")], "sea string, parent string")
+    # a gap along a, b and c, one near a alone, one beside d
+    want = {"P": (2, 83.5), "Q": (1, 22.5), "R": (1, 28.0)}
+    monkeypatch.setattr(boolean, "crowded_size", lambda *_: 2.0)
+    out = layers.sea_regions(seas, ocean, names, ("none", "none", "none"), 0.0, project=False)
+    assert {r.parent_reg: (r.n, round(r.a, 6)) for r in out.select("parent_reg", F.size("geometry").alias("n"), G.area("geometry").alias("a")).collect()} == want
+
+
 def test_mask_from_settings_to_file(spark, tmp_path):
     """Settings, shapefile, repair, turn of longitude, coverage, normalisation, mask; overlapping parts count once."""
     from cellshare.plans import build
